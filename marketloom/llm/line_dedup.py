@@ -27,7 +27,7 @@ def host_of(url: Column) -> Column:
 def html_lines(html: Column) -> Column:
     """Trimmed lines of a page that aren't empty: text between block tags, other tags removed."""
     plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(html, UNSEEN, ""), BREAKS, "\n"), "<[^>]*>", "")
-    return F.filter(F.transform(F.split(plain, "\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(plain, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:

@@ -222,3 +222,15 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
             yield batch(SCORED, b.column("doc_id"), [s for s, _ in out], [e for _, e in out])
 
     return plain_ids(documents, "doc_id").mapInArrow(run, "doc_id long, score double, evidence array<long>")
+
+
+def without_toxic(documents: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``documents``, all columns as they are, whose score is under ``threshold``."""
+    held = documents.sparkSession.sparkContext.broadcast(model)  # bounded by n_examples and n_terms
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(held.value.number)
+        for b in batches:
+            yield b.filter(pa.array([held.value.score(reader.read(t))[0] < threshold for t in texts(b.column("text"))], pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)
