@@ -14,7 +14,7 @@ strings mostly share an anchor, so there is about one anchor for every ``(length
     those that a smaller document holds are removed.
 4.  The removed ranges go to the texts.
 
-Steps move packed arrays by a number of slots (``3 x spark.sql.shuffle.partitions``), each small enough for a task.
+Steps move packed arrays by a number of slots (``spark.sql.shuffle.partitions``), each small enough for a task.
 Null and empty texts, and texts shorter than ``length``, lose nothing.  Rows without id come after all others; rows
 with one id do not count as each other's source.
 """
@@ -76,13 +76,13 @@ class Anchors:
         self.begins = np.concatenate([[0], self.ends[:-1]]).astype(np.int64)
         none = np.zeros(0, np.int64)
         self.at = self.first = self.last = self.row = none
-        self.keys = np.zeros(0, np.uint64)
+        self.keys, self.prefix = np.zeros(0, np.uint64), np.zeros(1, np.uint64)
         n = len(self.data) - width + 1
         if n < length - width + 1:
             return
-        prefix = prefix_hashes(self.data)
+        self.prefix = prefix_hashes(self.data)
         places = np.arange(n)
-        hashes = mix(between(prefix, places, places + width))
+        hashes = mix(between(self.prefix, places, places + width))
         # High bits of the hash, then the place: the minimum is the leftmost of the smallest.
         low = np.uint64((1 << 28) - 1)
         best = (hashes & ~low) | places.astype(np.uint64)
@@ -146,7 +146,7 @@ class Dedup:
     def __init__(self, documents: DataFrame, length: int = LENGTH):
         self.rows, self.length = plain_ids(documents, "doc_id"), length
         self.anchor = min(ANCHOR, length)
-        self.slots = min(3 * int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), 60_000)
+        self.slots = min(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), 60_000)
 
     def dealt(self, parcels_: DataFrame) -> DataFrame:
         return parcels_.repartition("slot").sortWithinPartitions("slot", "kind")
@@ -210,7 +210,7 @@ class Dedup:
         return self.dealt(self.rows.mapInArrow(post, PARCEL_DDL)).mapInArrow(meet, PARCEL_DDL)
 
     def strings(self) -> DataFrame:
-        """FINDINGS parcels, dealt by anchor (x: records, y: the bytes of their strings), and RANGES parcels."""
+        """FINDINGS parcels, dealt by anchor (x: documents, y: the other fields, z: the bytes), and RANGES parcels."""
         slots, length, anchor = self.slots, self.length, self.anchor
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,51 +222,7 @@ class Dedup:
                     elif wanted:
                         held.append((r["doc_id"], zstandard.ZstdDecompressor().decompress(r["x"])))
                 if held:
-                    yield from cut_slot(slot, np.unique(joined(wanted, np.uint64)), held)
-
-        def cut_slot(slot: int, wanted: np.ndarray, held: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-            data, records, base = [], [], 0
-            for rows in stretches(held, lambda r: len(r[1])):
-                found = Anchors([t for _, t in rows], length, anchor)
-                ids = np.array([i for i, _ in rows], np.int64)[found.row]
-                keys = (found.keys & np.uint64((1 << 48) - 1)) | (key_slot(found.keys, slots).astype(np.uint64) << np.uint64(48))
-                pairs = pair_hash(ids, keys)
-                at = np.minimum(np.searchsorted(wanted, pairs), len(wanted) - 1)
-                own = np.flatnonzero(wanted[at] == pairs)
-                n = found.last[own] - found.first[own] + length
-                data.append(found.data)
-                records.append(np.rec.fromarrays([found.keys[own], ids[own], found.first[own] - found.begins[found.row[own]], found.at[own] - found.first[own], n, base + found.first[own]], dtype=RECORD))
-                base += len(found.data)
-            data, records = joined(data, np.uint8), np.concatenate(records)
-            if not len(records):
-                return
-            # Records alike in all bytes: the smallest id's go on; larger ids' are settled here.
-            prefix = prefix_hashes(data)
-            alike = mix(between(prefix, records["place"], records["place"] + records["n"]) ^ mix(records["n"].astype(np.uint64) * np.uint64(64) + records["offset"].astype(np.uint64)))
-            order = np.lexsort((records["doc"], alike))
-            records, alike = records[order], alike[order]
-            new = np.append(True, alike[1:] != alike[:-1])
-            head = np.flatnonzero(new)[np.cumsum(new) - 1]
-            settled = np.flatnonzero(records["doc"] > records["doc"][head])
-            settled = settled[[data[records["place"][i] : (e := records["place"][i] + records["n"][i])].tobytes() == data[records["place"][h] : records["place"][h] + records["n"][h]].tobytes() for i, h in zip(settled, head[settled])]] if len(settled) else settled
-            rest = np.ones(len(records), bool)
-            rest[settled] = False
-            out = records[settled]
-            if len(out):
-                yield parcel(slot, RANGES, None, packed(out["doc"].astype(np.int64)), packed(out["start"].astype(np.int64)), packed((out["start"] + out["n"]).astype(np.int64)))
-            out = records[rest]
-            to = key_slot(out["key"], slots)
-            order = np.argsort(to, kind="stable")
-            out, to = out[order], to[order]
-            cuts = np.flatnonzero(np.diff(to)) + 1
-            for s, e in zip([0, *cuts], [*cuts, len(to)]):
-                if e > s:
-                    part = out[s:e].copy()
-                    n = part["n"].astype(np.int64)
-                    begin = np.cumsum(n) - n
-                    steps = np.repeat(part["place"] - begin, n) + np.arange(n.sum())
-                    part["place"] = begin
-                    yield parcel(int(to[s]), FINDINGS, None, packed(part), packed(data[steps]), None)
+                    yield from strings_of(slot, np.unique(joined(wanted, np.uint64)), held, slots, length, anchor)
 
         return self.dealt(self.shared_anchors().unionByName(self.texts())).mapInArrow(cut, PARCEL_DDL)
 
@@ -276,19 +232,16 @@ class Dedup:
 
         def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for _, rows in by_slot(batches):
-                records, data, base = [], [], 0
+                records, data = [], []
                 for r in rows:
                     if r["kind"] == RANGES:  # already dealt by document
                         yield parcel(r["slot"], RANGES, None, r["x"], r["y"], r["z"])
                         continue
-                    part, raw = unpacked(r["x"], RECORD).copy(), unpacked(r["y"], np.uint8)
-                    part["place"] += base
-                    base += len(raw)
-                    records.append(part)
-                    data.append(raw)
+                    records.append(Strings.read(r["x"], r["y"]))
+                    data.append(unpacked(r["z"], np.uint8))
                 if records:
-                    ranges = duplicated(np.concatenate(records), joined(data, np.uint8), length)
-                    yield from parcels(RANGES, doc_slot(ranges[0], slots), x=ranges[0], y=ranges[1], z=ranges[2])
+                    docs, starts, ends = duplicated(Strings.merged(records), joined(data, np.uint8), length)
+                    yield from parcels(RANGES, doc_slot(docs, slots), x=docs, y=starts, z=ends)
 
         return self.dealt(self.strings()).mapInArrow(sort, PARCEL_DDL)
 
@@ -310,57 +263,160 @@ class Dedup:
         return self.dealt(self.removed_ranges().unionByName(self.texts())).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
-#: A run of strings: the anchor's hash, the document, where the run starts in it, where the anchor starts in the
-#: run, the run's bytes, and where they lie in the array beside.
-RECORD = np.dtype([("key", np.uint64), ("doc", np.int64), ("start", np.int64), ("offset", np.int16), ("n", np.int16), ("place", np.int64)])
+class Strings:
+    """Runs of strings, a row each: the anchor's hash, the document, where the run starts in it, where the anchor
+    starts in the run, and the run's bytes ``n``.  The bytes lie one run after the other in an array beside, or, where
+    given, at ``place``."""
+
+    FIELDS = {"keys": np.uint64, "starts": np.int64, "offsets": np.int16, "n": np.int16}
+
+    def __init__(self, docs, keys, starts, offsets, n, place=None):
+        self.docs, self.keys, self.starts, self.offsets, self.n = docs, keys, starts, offsets, n.astype(np.int64)
+        self.place = np.cumsum(self.n) - self.n if place is None else place
+
+    def __len__(self) -> int:
+        return len(self.docs)
+
+    def take(self, at: np.ndarray) -> Strings:
+        return Strings(self.docs[at], self.keys[at], self.starts[at], self.offsets[at], self.n[at], self.place[at])
+
+    def bytes_of(self, data: np.ndarray) -> np.ndarray:
+        """The runs' bytes, one after the other."""
+        return data[np.repeat(self.place - (np.cumsum(self.n) - self.n), self.n) + np.arange(self.n.sum())]
+
+    def written(self) -> tuple[bytes, bytes]:
+        """Field after field, so that each compresses; ``place`` is not written."""
+        return packed(self.docs), zstandard.ZstdCompressor(level=1).compress(b"".join(getattr(self, k).astype(t).tobytes() for k, t in self.FIELDS.items()))
+
+    @classmethod
+    def read(cls, docs: bytes, rest: bytes) -> Strings:
+        ids, raw, at, fields = unpacked(docs, np.int64), zstandard.ZstdDecompressor().decompress(rest), 0, {}
+        for k, t in cls.FIELDS.items():
+            size = len(ids) * np.dtype(t).itemsize
+            fields[k], at = np.frombuffer(raw[at : at + size], t), at + size
+        return cls(ids, **fields)
+
+    @classmethod
+    def merged(cls, parts: list[Strings]) -> Strings:
+        return cls(np.concatenate([p.docs for p in parts]), **{k: np.concatenate([getattr(p, k) for p in parts]) for k in cls.FIELDS})
 
 
 def pair_hash(ids: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return mix(ids.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) ^ keys)
 
 
-def duplicated(records: np.ndarray, data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(documents, starts, ends) of ranges of strings that a smaller document holds too.  Anchors are taken a few at
-    a time; strings can only be equal if anchor and offset are."""
-    records = records[np.argsort(records["key"], kind="stable")]
-    strings = np.cumsum(records["n"].astype(np.int64) - length + 1)
-    new = np.flatnonzero(np.append(True, records["key"][1:] != records["key"][:-1]))
+def strings_of(slot: int, wanted: np.ndarray, held: list[tuple[int, bytes]], slots: int, length: int, anchor: int) -> Iterator[pa.RecordBatch]:
+    """The strings of the ``wanted`` (hashed) pairs of document and anchor in a slot's texts."""
+    data, parts, alike, base = [], [], [], 0
+    for rows in stretches(held, lambda r: len(r[1])):
+        found = Anchors([t for _, t in rows], length, anchor)
+        ids = np.array([i for i, _ in rows], np.int64)[found.row]
+        keys = (found.keys & np.uint64((1 << 48) - 1)) | (key_slot(found.keys, slots).astype(np.uint64) << np.uint64(48))
+        pairs = pair_hash(ids, keys)
+        own = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, pairs), len(wanted) - 1)] == pairs)
+        first = found.first[own]
+        n, offsets = found.last[own] - first + length, found.at[own] - first
+        alike.append(mix(between(found.prefix, first, first + n) ^ mix(n.astype(np.uint64) * np.uint64(64) + offsets.astype(np.uint64))))
+        parts.append(Strings(ids[own], found.keys[own], first - found.begins[found.row[own]], offsets, n, base + first))
+        data.append(found.data)
+        base += len(found.data)
+    data, alike, places = joined(data, np.uint8), joined(alike, np.uint64), joined([p.place for p in parts], np.int64)
+    if not len(alike):
+        return
+    runs = Strings.merged(parts)
+    runs.place = places
+    # Runs alike in all bytes: the smallest id's go on; larger ids' are settled here.
+    order = np.lexsort((runs.docs, alike))
+    new = np.append(True, alike[order[1:]] != alike[order[:-1]])
+    head = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    later = runs.docs[order] > runs.docs[head]
+    a, b = order[later], head[later]
+    later = runs.n[a] == runs.n[b]
+    a, b = a[later], b[later]
+    if len(a):
+        n = runs.n[a]
+        begin = np.cumsum(n) - n
+        steps = np.arange(n.sum())
+        same = np.logical_and.reduceat(data[np.repeat(runs.place[a] - begin, n) + steps] == data[np.repeat(runs.place[b] - begin, n) + steps], begin)
+        out = runs.take(a[same])
+        if len(out):
+            yield parcel(slot, RANGES, None, packed(out.docs), packed(out.starts), packed(out.starts + out.n))
+        rest = np.ones(len(runs), bool)
+        rest[a[same]] = False
+        runs = runs.take(np.flatnonzero(rest))
+    to = key_slot(runs.keys, slots)
+    order = np.argsort(to, kind="stable")
+    runs, to = runs.take(order), to[order]
+    cuts = np.flatnonzero(np.diff(to)) + 1
+    for s, e in zip([0, *cuts], [*cuts, len(to)]):
+        if e > s:
+            part = runs.take(np.arange(s, e))
+            yield parcel(int(to[s]), FINDINGS, None, *part.written(), packed(part.bytes_of(data)))
+
+
+def grouped(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by the columns, and the ascending number of each group of equal rows in that order."""
+    order = np.lexsort(columns[::-1])
+    new = np.zeros(max(len(order) - 1, 0), bool)
+    for c in columns:
+        new |= c[order[1:]] != c[order[:-1]]
+    return order, np.cumsum(np.append(False, new))
+
+
+def duplicated(runs: Strings, data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(documents, starts, ends) of ranges of strings that a smaller document holds too.
+
+    Whole runs are sorted first: those equal to one of a smaller document go as they are, and one of each content is
+    left.  Where an anchor still has several, their strings are sorted one by one.  Anchors are taken a few at a time.
+    """
+    order = np.argsort(runs.keys, kind="stable")
+    runs = runs.take(order)
+    strings = np.cumsum(runs.n - length + 1)
+    new = np.flatnonzero(np.append(True, runs.keys[1:] != runs.keys[:-1]))
     out, begin = [], 0
-    while begin < len(records):
+    while begin < len(runs):
         done = strings[begin - 1] if begin else 0
-        full = np.searchsorted(strings, done + SORTED)
-        k = np.searchsorted(new, max(full, begin + 1))
-        end = int(new[k]) if k < len(new) else len(records)
-        out.append(duplicated_part(records[begin:end], data, length))
+        k = np.searchsorted(new, max(np.searchsorted(strings, done + SORTED), begin + 1))
+        end = int(new[k]) if k < len(new) else len(runs)
+        out += duplicated_part(runs.take(np.arange(begin, end)), data, length)
         begin = end
     return tuple(joined([o[k] for o in out], np.int64) for k in range(3))
 
 
-def duplicated_part(records: np.ndarray, data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    lengths = records["n"].astype(np.int64)
-    steps = np.repeat(records["place"] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
-    own = data[steps]
-    per = lengths - length + 1
-    record = np.repeat(np.arange(len(records)), per)
+def duplicated_part(runs: Strings, data: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    order, group = grouped(runs.keys, runs.offsets, runs.n)
+    runs = runs.take(order)
+    own = runs.bytes_of(data)
+    at = np.cumsum(runs.n) - runs.n
+    content = equal_runs(Comparer(own, at, runs.n), group)
+    least = np.full(int(content.max()) + 1, NO_ID)
+    np.minimum.at(least, content, runs.docs)
+    settled = runs.docs > least[content]
+    yield runs.docs[settled], runs.starts[settled], (runs.starts + runs.n)[settled]
+    # One run of each content is left for each anchor that has several.
+    one = np.flatnonzero(~settled)
+    _, several, times = np.unique(runs.keys[one], return_inverse=True, return_counts=True)
+    one = one[times[several] > 1]
+    if len(one):
+        yield single_strings(runs.take(one), own, at[one], length)
+
+
+def single_strings(runs: Strings, data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    per = runs.n - length + 1
+    run = np.repeat(np.arange(len(runs)), per)
     shift = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
-    starts = (np.cumsum(lengths) - lengths)[record] + shift
-    offset = records["offset"][record].astype(np.int64) - shift
-    order = np.lexsort((offset, records["key"][record]))
-    key, off = records["key"][record][order], offset[order]
-    group = np.cumsum(np.append(False, (key[1:] != key[:-1]) | (off[1:] != off[:-1])))
-    run = np.empty(len(order), np.int64)
-    run[order] = equal_runs(Comparer(own, length), starts[order], group)
-    docs = records["doc"][record]
-    least = np.full(int(run.max()) + 1 if len(run) else 0, NO_ID)
-    np.minimum.at(least, run, docs)
-    hit = np.flatnonzero(docs > least[run])
-    if not len(hit):
-        none = np.zeros(0, np.int64)
-        return none, none, none
-    # Neighbouring strings of a record make one range.
-    new = np.append(True, (record[hit[1:]] != record[hit[:-1]]) | (hit[1:] != hit[:-1] + 1))
-    first, last = hit[new], hit[np.append(np.flatnonzero(new)[1:], len(hit)) - 1]
-    base = records["start"][record[first]]
+    # Strings can only be equal if the anchor and its place in them are.
+    order, group = grouped(runs.keys[run], runs.offsets[run] - shift)
+    content = np.empty(len(order), np.int64)
+    content[order] = equal_runs(Comparer(data, (at[run] + shift)[order], np.full(len(order), length)), group)
+    docs = runs.docs[run]
+    least = np.full(int(content.max()) + 1, NO_ID)
+    np.minimum.at(least, content, docs)
+    hit = np.flatnonzero(docs > least[content])
+    # Neighbouring strings of a run make one range.
+    new = np.append(True, (run[hit[1:]] != run[hit[:-1]]) | (hit[1:] != hit[:-1] + 1))[: len(hit)]
+    first, last = hit[new], hit[np.append(np.flatnonzero(new)[1:], len(hit))[: new.sum()] - 1]
+    base = runs.starts[run[first]]
     return docs[first], base + shift[first], base + shift[last] + length
 
 

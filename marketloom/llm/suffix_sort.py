@@ -13,16 +13,16 @@ from .rolling import between, prefix_hashes
 
 
 class Comparer:
-    """Order of substrings of ``length`` bytes of ``data``, given by where they start."""
+    """Order of substrings of ``data``, given by where they start; those that are compared are equally long."""
 
-    def __init__(self, data: np.ndarray, length: int):
-        self.data, self.length = data, length
+    def __init__(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray):
+        self.data, self.starts, self.lengths = data, starts, lengths
         self.prefix = prefix_hashes(data)
-        self.whole: np.ndarray | None = None
+        self.hashes = between(self.prefix, starts, starts + lengths)
 
-    def extension(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Length of the longest common extension of each pair, up to ``length``."""
-        low, high = np.zeros(len(a), np.int64), np.full(len(a), self.length)
+    def extension(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Length of the longest common extension from each pair of places, up to ``most``."""
+        low, high = np.zeros(len(a), np.int64), most.copy()
         while True:
             open_ = np.flatnonzero(low < high)
             if not len(open_):
@@ -32,32 +32,34 @@ class Comparer:
             low[open_[same]] = middle[same]
             high[open_[~same]] = middle[~same] - 1
 
-    def less(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(a < b, a == b) for each pair."""
-        equal = between(self.prefix, a, a + self.length) == between(self.prefix, b, b + self.length)
-        out = np.zeros(len(a), bool)
+    def less(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(i < j, i == j) for each pair of substrings, given by number."""
+        equal = self.hashes[i] == self.hashes[j]
+        out = np.zeros(len(i), bool)
         rest = np.flatnonzero(~equal)
-        x, y = a[rest], b[rest]
-        at = self.extension(x, y)
+        x, y = self.starts[i[rest]], self.starts[j[rest]]
+        at = self.extension(x, y, self.lengths[i[rest]] - 1)
         out[rest] = self.data[x + at] < self.data[y + at]
         return out, equal
 
-    def same_bytes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def same_bytes(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Whether the substrings of each pair are equal, byte by byte."""
-        out = np.ones(len(a), bool)
-        for s in range(0, len(a), 50_000):
-            x, y = a[s : s + 50_000, None], b[s : s + 50_000, None]
-            steps = np.arange(self.length)[None]
-            out[s : s + 50_000] = (self.data[x + steps] == self.data[y + steps]).all(axis=1)
+        out = np.ones(len(i), bool)
+        for s in range(0, len(i), 50_000):
+            n = self.lengths[i[s : s + 50_000]]
+            begin = np.cumsum(n) - n
+            steps = np.arange(n.sum())
+            x, y = np.repeat(self.starts[i[s : s + 50_000]] - begin, n), np.repeat(self.starts[j[s : s + 50_000]] - begin, n)
+            out[s : s + 50_000] = np.logical_and.reduceat(self.data[x + steps] == self.data[y + steps], begin)
         return out
 
 
-def sort_groups(compare: Comparer, starts: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """Order of the substrings (numbers into ``starts``) by group, then by content; ties keep their order.
+def sort_groups(compare: Comparer, group: np.ndarray) -> np.ndarray:
+    """Order of the comparer's substrings by group, then by content; ties keep their order.
 
-    ``group`` must ascend.
+    ``group`` must ascend, and the substrings of a group be equally long.
     """
-    n = len(starts)
+    n = len(group)
     order = np.arange(n)
     first = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if n else np.zeros(0, np.int64)
     size = np.diff(np.append(first, n))
@@ -73,14 +75,14 @@ def sort_groups(compare: Comparer, starts: np.ndarray, group: np.ndarray) -> np.
         low = other[at].copy()
         high = np.minimum(low + width, end[at])
         base = low.copy()
-        mine = starts[order[at]]
+        mine = order[at]
         # Binary search of each element's rank in its sibling run; on ties the left run comes first.
         while True:
             open_ = np.flatnonzero(low < high)
             if not len(open_):
                 break
             middle = (low[open_] + high[open_]) // 2
-            less, equal = compare.less(starts[order[middle]], mine[open_])
+            less, equal = compare.less(order[middle], mine[open_])
             before = less | (equal & ~from_left[open_])
             low[open_[before]] = middle[before] + 1
             high[open_[~before]] = middle[~before]
@@ -94,14 +96,13 @@ def sort_groups(compare: Comparer, starts: np.ndarray, group: np.ndarray) -> np.
     return order
 
 
-def equal_runs(compare: Comparer, starts: np.ndarray, group: np.ndarray) -> np.ndarray:
+def equal_runs(compare: Comparer, group: np.ndarray) -> np.ndarray:
     """A number for each substring, equal where group and content are equal."""
-    order = sort_groups(compare, starts, group)
+    order = sort_groups(compare, group)
     a, b = order[:-1], order[1:]
-    _, equal = compare.less(starts[a], starts[b]) if len(order) > 1 else (None, np.zeros(0, bool))
-    equal = equal & (group[a] == group[b])
+    equal = (compare.hashes[a] == compare.hashes[b]) & (group[a] == group[b])
     check = np.flatnonzero(equal)
-    equal[check] = compare.same_bytes(starts[a[check]], starts[b[check]])
+    equal[check] = compare.same_bytes(a[check], b[check])
     out = np.empty(len(order), np.int64)
     out[order] = np.cumsum(np.append(0, ~equal)) if len(order) else 0
     return out
