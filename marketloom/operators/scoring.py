@@ -1,0 +1,83 @@
+"""Accuracy, rewards and profiles."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import answers as A
+from ..functions.scalars import DOWN, FAILED, UP
+
+WEIGHTS = (0.50, 0.30, 0.20)
+
+
+def _ratio(part: Column, whole: Column) -> Column:
+    return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
+
+
+def binary_accuracy(df: DataFrame, reference: str = "reference", predicted: str = "predicted") -> DataFrame:
+    """One row: accuracy with failures as wrong, without them, and their number; other references don't count."""
+    known, read = F.col(reference).isin(UP, DOWN), F.col(predicted) != FAILED
+    right = F.count_if(known & (F.col(predicted) == F.col(reference)))
+    total, readable = F.count_if(known), F.count_if(known & read)
+    return df.agg(right.alias("correct"), total.alias("total"), _ratio(right, total).alias("accuracy"), readable.alias("total_read"), _ratio(right, readable).alias("accuracy_read"), F.count_if(~read).alias("failures"))
+
+
+def triplet_score(reference: Column, predicted: Column) -> Column:
+    """Matches / 3; 0 for a prediction that can't be read, null for such a reference."""
+    a, b = A.split_triplet(reference), A.split_triplet(predicted)
+    hits = sum((F.when(a[k] == b[k], 1).otherwise(0) for k in range(3)), F.lit(0))
+    return F.when(a.isNotNull(), F.when(b.isNull(), F.lit(0.0)).otherwise(hits / 3.0))
+
+
+def triplet_accuracy(df: DataFrame, reference: str = "reference", predicted: str = "predicted") -> DataFrame:
+    score, read = triplet_score(F.col(reference), F.col(predicted)), A.split_triplet(F.col(predicted)).isNotNull()
+    scored = df.select(score.alias("_score"), read.alias("_read")).filter("_score is not null")
+    with_all, with_read = F.sum("_score"), F.sum(F.when(F.col("_read"), F.col("_score")))
+    n, n_read = F.count("*"), F.count_if(F.col("_read"))
+    zero = F.lit(0.0)
+    return scored.agg(F.coalesce(with_all, zero).alias("score_sum"), n.alias("total"), _ratio(with_all, n).alias("accuracy"), F.coalesce(with_read, zero).alias("score_sum_read"), n_read.alias("total_read"), _ratio(with_read, n_read).alias("accuracy_read"))
+
+
+def equal_reward(df: DataFrame, reference: str = "reference", completion: str = "completion") -> DataFrame:
+    """With hit_1/3/7, parsed and reward: a third for each hit, all or nothing if an answer can't be read."""
+    gold, said = A.label_triplet(F.col(reference)), A.final_triplet(F.col(completion))
+    out = df.withColumns({"_gold": gold, "_said": said}).withColumn("parsed", F.col("_said").isNotNull())
+    hits = {f"hit_{h}": F.coalesce(F.col("_said")[k] == F.col("_gold")[k], F.lit(False)) for k, h in enumerate(A.HORIZONS)}
+    out = out.withColumns(hits)
+    return out.withColumn("reward", sum((F.col(h).cast("int") for h in hits), F.lit(0)) / 3.0).drop("_gold", "_said")
+
+
+def equal_reward_rates(rewarded: DataFrame) -> DataFrame:
+    """Rates over all rows."""
+    rate = lambda c: F.avg(c.cast("int"))
+    hits = [F.col(f"hit_{h}") for h in A.HORIZONS]
+    return rewarded.agg(F.avg("reward").alias("reward"), rate(F.col("parsed")).alias("parse_rate"), rate(hits[0] & hits[1] & hits[2]).alias("full_match_rate"), *(rate(x).alias(f"hit_rate_{h}") for x, h in zip(hits, A.HORIZONS)))
+
+
+def weighted_reward(df: DataFrame, reference: str = "reference", completion: str = "completion") -> DataFrame:
+    """With parsed_h, hit_h and reward: each horizon that can be read scores its weight."""
+    out = df.withColumns({"_gold": A.label_triplet(F.col(reference), wide=True), "_said": A.partial_triplet(F.col(completion))})
+    out = out.withColumns({f"parsed_{h}": F.col("_said")[k].isNotNull() for k, h in enumerate(A.HORIZONS)} | {f"hit_{h}": F.coalesce(F.col("_said")[k] == F.col("_gold")[k], F.lit(False)) for k, h in enumerate(A.HORIZONS)})
+    return out.withColumn("reward", sum((F.when(F.col(f"hit_{h}"), w).otherwise(0.0) for h, w in zip(A.HORIZONS, WEIGHTS)), F.lit(0.0))).drop("_gold", "_said")
+
+
+def weighted_reward_rates(rewarded: DataFrame) -> DataFrame:
+    """Hit rates over the rows whose horizon was read."""
+    return rewarded.agg(F.avg("reward").alias("reward"), *((F.count_if(f"hit_{h}") / F.greatest(F.lit(1), F.count_if(f"parsed_{h}"))).alias(f"hit_rate_{h}") for h in A.HORIZONS))
+
+
+def regression_reward(predicted: Column, label: Column) -> Column:
+    return F.exp(-F.abs(predicted - label) / 100)
+
+
+def text_profile(df: DataFrame, *columns: str) -> DataFrame:
+    """One row: n_rows, and the least and largest character length of each column (0 when empty)."""
+    sizes = [F.coalesce(f(F.char_length(F.coalesce(c, F.lit("")))), F.lit(0)).cast("bigint").alias(f"{name}_{c}") for c in columns for name, f in (("min", F.min), ("max", F.max))]
+    return df.agg(F.count("*").alias("n_rows"), *sizes)
+
+
+def latest_checkpoint(paths: DataFrame, column: str = "path") -> DataFrame:
+    """The path with the largest numeric suffix."""
+    step = F.nullif(F.regexp_extract(column, r"(\d+)/?$", 1), F.lit("")).try_cast("bigint")
+    return paths.filter(step.isNotNull()).agg(F.max_by(column, step).alias(column))
