@@ -6,8 +6,10 @@ in any order fixed for all sets; here the order is rare first (by approximate co
 documents, then by hash), so that frequent passages hardly ever bring documents together.
 
 1.  Counts of repeated n-grams, and each document's class and size.
-2.  Postings of the first n-grams, dealt by n-gram as packed arrays; classes of neighbouring size in a list are
-    joined to coarse components.  No pair outside a coarse component can reach the bound.
+2.  Postings of the first n-grams, dealt by n-gram as packed arrays.  Pairs of a short list are counted; those that
+    share too few of their first n-grams for the overlap that their sizes demand are discarded (what follows a set's
+    first n-grams can't make up for it), the rest are joined to coarse components.  In a long list classes of
+    neighbouring size are joined.  No pair outside a coarse component can reach the bound.
 3.  Sets of classes in coarse components meet in blocks of bounded size (all of a small component; pairs of blocks of
     neighbouring sizes of a large one).  Each block is a sparse incidence matrix of classes by n-grams; its product
     with its transpose accumulates overlap counts, rare columns by pairs and frequent ones densely.  Pairs below the
@@ -24,20 +26,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, cut, plain_ids, texts
+from .common import batch, cut, plain_ids, slices, texts
 from .graph import components
 from .rolling import BASE, POWERS, VALUES, mix, roots
 
 WORDS, PERCENT = 5, 75
-#: Bytes of text hashed together, n-grams counted together, slots of the table of counts (fixed, so its broadcast is).
-STRETCH, COUNTED, COUNT_SLOTS = 1_000_000, 3_000_000, 1 << 20
+#: Bytes of text hashed together, n-grams counted together, postings packed together, and slots of the table of counts
+#: (fixed, so its broadcast is).
+STRETCH, COUNTED, PACKED, COUNT_SLOTS = 1_000_000, 5_000_000, 2_000_000, 1 << 20
 #: Bits of the filter of classes in coarse components (fixed, so its broadcast is; it only saves shuffling).
 FILTER_BITS = 1 << 23
 #: Classes and n-grams of a block.
-BLOCK_CLASSES, BLOCK_GRAMS = 512, 400_000
+BLOCK_CLASSES, BLOCK_GRAMS = 512, 2_000_000
+#: Lists of an n-gram up to this long are looked at pair by pair.
+SHORT_LIST = 12
 #: Columns with more classes than this are multiplied densely.
 DENSE = 8
 
@@ -49,6 +55,9 @@ WORD_VALUES = np.where(BLANK, np.uint64(0), VALUES)
 
 FIRST = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.int64()), ("slot", pa.int32()), ("n", pa.int64())])
 POSTED = pa.schema([("slot", pa.int32()), ("grams", pa.binary()), ("classes", pa.binary()), ("sizes", pa.binary())])
+SHARED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("size_a", pa.int64()), ("size_b", pa.int64()), ("n", pa.int64())])
+#: Stands for enough shared n-grams.
+ENOUGH = 1 << 40
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 SETS = pa.schema([("cls", pa.int64()), ("grams", pa.binary())])
 
@@ -89,7 +98,7 @@ def class_of(grams: np.ndarray) -> int:
 
 def sets_of(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[list, list[np.ndarray]]]:
     """doc_ids and sets of stretches of about STRETCH bytes."""
-    for b in batches:
+    for b in slices(batches):
         ids, rows = b.column("doc_id").to_pylist(), texts(b.column("text"))
         start, size = 0, 0
         for i, t in enumerate(rows):
@@ -106,15 +115,25 @@ def count_slot(grams: np.ndarray) -> np.ndarray:
 
 
 def prefix(grams: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarray:
-    """The first n-grams of a set, rare ones first: two sets that link share one of these."""
-    n = len(grams)
-    keep = n - -(-percent * n // 100) + 1
-    if keep >= n:
-        return grams
-    level = levels[count_slot(grams)]
-    top = np.partition(level, keep - 1)[keep - 1]
-    lower = grams[level < top]
-    return np.concatenate([lower, grams[level == top][: keep - len(lower)]])  # grams are sorted
+    """The first n-grams of a set in the order rare first, then by hash: two sets that link share one of these."""
+    return grams[np.argsort(levels[count_slot(grams)], kind="stable")[: prefix_length(len(grams), percent)]]  # grams are sorted
+
+
+def prefix_length(n, percent: int):
+    return n - (percent * n + 99) // 100 + 1
+
+
+def packed_set(grams: np.ndarray) -> bytes:
+    """Six bytes of each hash, byte by byte: sorted, so the upper ones compress.  Enough to tell the n-grams of a
+    block apart."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(grams.view(np.uint8).reshape(-1, 8)[:, 2:].T).tobytes())
+
+
+def unpacked_set(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(6, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :6] = planes.T
+    return out.view(np.uint64).ravel()
 
 
 class Join:
@@ -123,7 +142,7 @@ class Join:
     def __init__(self, documents: DataFrame, n: int = WORDS, percent: int = PERCENT):
         self.rows, self.n, self.percent = plain_ids(documents, "doc_id"), n, percent
         self.spark = documents.sparkSession
-        self.slots = 3 * int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.slots = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
 
     def first_pass(self) -> DataFrame:
         """Rows of documents (doc_id, n_shingles, cls) and of counts (slot, n) of n-grams that a task met repeatedly."""
@@ -164,15 +183,16 @@ class Join:
 
             def packed() -> Iterator[pa.RecordBatch]:
                 grams = np.concatenate([p for p, _, _ in parts])
-                lengths = [len(p) for p, _, _ in parts]
+                lengths = np.array([len(p) for p, _, _ in parts])
                 classes = np.repeat(np.array([c for _, c, _ in parts], np.int64), lengths)
                 sizes = np.repeat(np.array([s for _, _, s in parts], np.int32), lengths)
                 slot = ((grams >> np.uint64(8)) % np.uint64(slots)).astype(np.int32)
                 order = np.argsort(slot, kind="stable")
-                grams, classes, sizes, slot = grams[order], classes[order], sizes[order], slot[order]
+                slot = slot[order]
+                columns = [c[order] for c in (grams, classes, sizes)]
                 cuts = np.flatnonzero(np.diff(slot)) + 1
                 for s, e in zip([0, *cuts], [*cuts, len(slot)]):
-                    yield batch(POSTED, [int(slot[s])], [grams[s:e].tobytes()], [classes[s:e].tobytes()], [sizes[s:e].tobytes()])
+                    yield batch(POSTED, [int(slot[s])], *([zstandard.ZstdCompressor(level=1).compress(c[s:e].tobytes())] for c in columns))
 
             for _, sets in sets_of(batches, n):
                 for grams in sets:
@@ -180,7 +200,7 @@ class Join:
                         seen.add(c)
                         parts.append((prefix(grams, held.value, percent), c, len(grams)))
                         size += len(parts[-1][0])
-                        if size > COUNTED:
+                        if size > PACKED:
                             yield from packed()
                             parts, size = [], 0
                             if len(seen) > COUNTED:
@@ -190,23 +210,23 @@ class Join:
 
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for _, rows in by_key((r for b in batches for r in b.to_pylist()), "slot"):
-                got = list(rows)
-                grams, classes, sizes = (np.frombuffer(b"".join(r[k] for r in got), t) for k, t in (("grams", np.uint64), ("classes", np.int64), ("sizes", np.int32)))
-                order = np.lexsort((classes, sizes, grams))
-                grams, classes, sizes = grams[order], classes[order], sizes[order].astype(np.int64)
-                # In a list sorted by size, classes that may link are joined by steps that each keep the ratio.
-                near = (grams[1:] == grams[:-1]) & (classes[1:] != classes[:-1]) & (100 * sizes[:-1] >= percent * sizes[1:])
-                yield forest(classes[:-1][near], classes[1:][near])
+                got, inflate = list(rows), zstandard.ZstdDecompressor().decompress
+                grams, classes, sizes = (np.frombuffer(b"".join(inflate(r[k]) for r in got), t) for k, t in (("grams", np.uint64), ("classes", np.int64), ("sizes", np.int32)))
+                yield from shared_pairs(grams, classes, sizes.astype(np.int64), percent)
 
         dealt = self.rows.mapInArrow(post, "slot int, grams binary, classes binary, sizes binary").repartition("slot").sortWithinPartitions("slot")
-        return dealt.mapInArrow(meet, "a long, b long")
+        shared = dealt.mapInArrow(meet, "a long, b long, size_a long, size_b long, n long").groupBy("a", "b", "size_a", "size_b").agg(F.sum("n").alias("n"))
+        # With the shorter prefix's end at one set's, all n-grams shared beyond it are among the rest of that set.
+        needed = F.expr(f"({percent} * (size_a + size_b) + {99 + percent}) div {100 + percent}")
+        rest = F.expr(f"greatest(({percent} * size_a + 99) div 100, ({percent} * size_b + 99) div 100) - 1")
+        return shared.filter(F.col("n") + rest >= needed).select("a", "b")
 
     def class_filter(self, members: DataFrame) -> np.ndarray:
         """Bits of the classes in ``members``: at most FILTER_BITS of them reach the driver, whatever the input."""
         bit = F.pmod("cls", F.lit(FILTER_BITS))
-        words = members.groupBy(F.floor(bit / 32).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(cls, {FILTER_BITS}) % 32 as int))")).alias("bits")).toPandas()
+        words = members.groupBy(F.floor(bit / 32).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(cls, {FILTER_BITS}) % 32 as int))")).alias("bits")).toArrow()
         out = np.zeros(FILTER_BITS // 32, np.int64)
-        out[words["word"].to_numpy()] = words["bits"].to_numpy()
+        out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
         return out.astype(np.uint32)
 
     def candidate_sets(self, members: DataFrame) -> DataFrame:
@@ -223,7 +243,7 @@ class Join:
                     bit = c % FILTER_BITS
                     if held.value[bit // 32] >> np.uint32(bit % 32) & np.uint32(1):
                         seen.add(c)
-                        out[c] = grams.tobytes()
+                        out[c] = packed_set(grams)
                 if len(seen) > COUNTED:
                     seen.clear()
                 yield batch(SETS, list(out), list(out.values()))
@@ -257,7 +277,7 @@ class Join:
         def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = (r for b in batches for at in range(0, b.num_rows, 256) for r in b.slice(at, 256).to_pylist())
             for _, group in by_key(rows, "root", "block"):
-                block = {r["cls"]: np.frombuffer(r["grams"], np.uint64) for r in group}
+                block = {r["cls"]: unpacked_set(r["grams"]) for r in group}
                 if len(block) > 1:
                     classes = np.array(list(block), np.int64)
                     left, right = linked(list(block.values()), percent)
@@ -281,6 +301,39 @@ def forest(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return batch(LINKS, pa.array(nodes[own]), pa.array(nodes[root[own]]))
 
 
+def shared_pairs(grams: np.ndarray, classes: np.ndarray, sizes: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of classes, the smaller set first, with how many of these n-grams both have; ENOUGH from long lists."""
+    order = np.lexsort((classes, sizes, grams))
+    order = order[np.append(True, (grams[order[1:]] != grams[order[:-1]]) | (classes[order[1:]] != classes[order[:-1]]))]
+    grams, classes, sizes = grams[order], classes[order], sizes[order]
+    start = np.flatnonzero(np.append(True, grams[1:] != grams[:-1]))
+    length = np.diff(np.append(start, len(grams)))
+    ratio = lambda a, b: 100 * sizes[a] >= percent * sizes[b]
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for d in range(2, SHORT_LIST + 1):
+        own = start[length == d]
+        for i in range(d):
+            for j in range(i + 1, d):
+                a, b = own + i, own + j
+                fine = ratio(a, b)
+                left.append(a[fine])
+                right.append(b[fine])
+    yield counted_pairs(classes, sizes, np.concatenate(left), np.concatenate(right), 1)
+    # In a list sorted by size, classes that may link are joined by steps that each keep the ratio.
+    step = np.flatnonzero((grams[1:] == grams[:-1]) & (np.repeat(length, length)[1:] > SHORT_LIST))
+    step = step[ratio(step, step + 1)]
+    yield counted_pairs(classes, sizes, step, step + 1, ENOUGH)
+
+
+def counted_pairs(classes: np.ndarray, sizes: np.ndarray, a: np.ndarray, b: np.ndarray, worth: int) -> pa.RecordBatch:
+    order = np.lexsort((classes[b], classes[a]))
+    a, b = a[order], b[order]
+    new = np.flatnonzero(np.append(True, (classes[a[1:]] != classes[a[:-1]]) | (classes[b[1:]] != classes[b[:-1]]))[: len(a)])
+    times = np.diff(np.append(new, len(a)))
+    a, b = a[new], b[new]
+    return batch(SHARED, *map(pa.array, (classes[a], classes[b], sizes[a], sizes[b], times * worth)))
+
+
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     """Overlap counts of all pairs: the product of the incidence matrix with its transpose, by blocks of columns."""
     m = len(sets)
@@ -320,9 +373,12 @@ def jaccard_join(documents: DataFrame, n: int = WORDS, percent: int = PERCENT) -
     join = Join(documents, n, percent)
     first = cut(join.first_pass())
     rows = first.filter("n_shingles is not null").select("doc_id", "n_shingles", "cls")
-    counted = first.filter("slot is not null").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # COUNT_SLOTS rows at most
+    level = F.floor(F.log2(1 + F.sum("n"))).cast("byte")
+    counted = first.filter("slot is not null").groupBy("slot").agg(level.alias("level")).toArrow()  # COUNT_SLOTS rows at most
     levels = np.zeros(COUNT_SLOTS, np.uint8)
-    levels[counted["slot"].to_numpy()] = np.log2(1 + counted["n"].to_numpy()).astype(np.uint8)
+    levels[counted.column("slot").to_numpy()] = counted.column("level").to_numpy()
+    del counted
+    pa.default_memory_pool().release_unused()
     members = cut(components(join.coarse_links(levels)).withColumnRenamed("node", "cls"))
     classes = rows.filter("cls is not null").groupBy("cls").agg(F.first("n_shingles").alias("n_shingles"), F.min("doc_id").alias("least"))
     roots_of = components(join.links(members, classes.select("cls", "n_shingles"))).withColumnRenamed("node", "cls")

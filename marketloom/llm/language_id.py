@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, texts
+from .common import batch, slices, texts
 
 GRAMS = 1 << 15
 SHARPNESS, AMBIGUOUS, UNKNOWN = 20.0, 0.1, "und"
@@ -123,7 +123,7 @@ def fit(training: DataFrame) -> Model:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
-        for b in batches:
+        for b in slices(batches):
             for lang, own in by_language(b):
                 seen.setdefault(lang, np.zeros(GRAMS, np.int64))
                 seen[lang] += np.bincount(trigrams(own)[0], minlength=GRAMS)
@@ -153,7 +153,7 @@ def measured(rows: DataFrame, model: Model) -> np.ndarray:
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         right, n = np.zeros(held.value.code.shape, np.int64), np.zeros(len(place), np.int64)
-        for b in batches:
+        for b in slices(batches):
             for lang, own in by_language(b):
                 k = place[lang]
                 right[k] += (held.value.margins(own) * held.value.code[k] > 0).sum(axis=0)
@@ -173,7 +173,7 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
     held = documents.sparkSession.sparkContext.broadcast(model)  # bounded by the number of languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = texts(b.column("text"))
             out = [p for s, e in stretches(rows) for p in held.value.predict(rows[s:e])]
             yield batch(PREDICTED, b.column("doc_id"), *([p[k] for p in out] for k in range(3)))

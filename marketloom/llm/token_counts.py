@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import bpe_files
-from .common import batch, plain_ids, texts
+from .common import batch, plain_ids, slices, texts
 
 #: Entries of a worker's memory of pieces; it starts afresh beyond, so memory stays bounded.
 MEMORY = 200_000
@@ -92,7 +92,7 @@ def token_counts(df: DataFrame, path: str | None = None, limit: int = 2048) -> D
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = PieceCounts(path)
-        for b in batches:
+        for b in slices(batches):
             rows = texts(b.column("text"))
             n_tokens = []
             for at in range(0, len(rows), 256):

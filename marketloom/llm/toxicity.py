@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_codec import Memory
-from .common import batch, plain_ids, texts
+from .common import batch, plain_ids, slices, texts
 
 N_EXAMPLES, N_TERMS, NEIGHBOURS, BLOCK = 12_000, 4096, 15, 64
 #: A term must be in so many examples, differ between the labels by this factor, and reach this likelihood ratio.
@@ -119,7 +119,7 @@ def sampled(documents: DataFrame, examples: DataFrame) -> DataFrame:
     """(toxic, term) once for each example that holds the term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             for toxic, text in zip(b.column("toxic").to_pylist(), texts(b.column("text"))):
                 terms = list({t for p in set(text.split()) for t in piece_terms(p)})
                 yield batch(TERMS, [toxic] * len(terms), terms)
@@ -136,7 +136,7 @@ def vectors(documents: DataFrame, examples: DataFrame, number: dict[str, int]) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(number)
-        for b in batches:
+        for b in slices(batches):
             counts = [reader.read(t) for t in texts(b.column("text"))]
             yield batch(VECTORS, b.column("doc_id"), b.column("toxic"), [list(c) for c in counts], [list(c.values()) for c in counts])
 
@@ -197,7 +197,7 @@ def document_frequencies(documents: DataFrame, number: dict[str, int]) -> tuple[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, df, n = Reader(number), np.zeros(len(number) + 1, np.int64), len(number)
-        for b in batches:
+        for b in slices(batches):
             for text in texts(b.column("text")):
                 df[list(reader.read(text))] += 1
                 df[n] += 1
@@ -217,7 +217,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, reader = held.value, Reader(held.value.number)
-        for b in batches:
+        for b in slices(batches):
             out = [model.score(reader.read(t)) for t in texts(b.column("text"))]
             yield batch(SCORED, b.column("doc_id"), [s for s, _ in out], [e for _, e in out])
 
@@ -230,7 +230,7 @@ def without_toxic(documents: DataFrame, model: Model, threshold: float = 0.5) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(held.value.number)
-        for b in batches:
+        for b in slices(batches):
             yield b.filter(pa.array([held.value.score(reader.read(t))[0] < threshold for t in texts(b.column("text"))], pa.bool_()))
 
     return documents.mapInArrow(run, documents.schema)
