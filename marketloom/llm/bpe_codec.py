@@ -17,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import bpe_files
-from .common import batch, plain_ids, texts
+from .common import batch, plain_ids, slices, texts
 
 #: Entries of each of the two generations of a worker's memory; with this bound memory stays bounded.
-MEMORY = 100_000
+MEMORY = 120_000
 IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 DECODED = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
@@ -74,9 +74,9 @@ class Codec:
 
     def __init__(self, path: str | None = None):
         self.vocabulary = bpe_files.vocabulary(path or bpe_files.default_path())
-        self.words = Memory(lambda w: merged(self.vocabulary.symbols(w), self.vocabulary.merges))
+        self.words = Memory(lambda w: tuple(merged(self.vocabulary.symbols(w), self.vocabulary.merges)))
 
-    def word(self, word: str) -> list[int]:
+    def word(self, word: str) -> tuple[int, ...]:
         return self.words[word]
 
     def piece(self, piece: str) -> list[int]:
@@ -124,15 +124,15 @@ def round_trip_digests(df: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(path)
+        strings = {str(i): s for i, s in codec.vocabulary.strings.items()}
         shown = Memory(lambda p: "".join([f" {i}" for i in codec.piece(p)]))
-        decoded = Memory(lambda p: "".join([" " + codec.vocabulary.strings[int(i)] for i in shown[p].split()]))
-        for b in batches:
+        for b in slices(batches):
             out = []
             for text in texts(b.column("text")):
-                pieces = bpe_files.chunks(text)
-                ids = "".join(map(shown.__getitem__, pieces))[1:]
-                back = "".join(map(decoded.__getitem__, pieces))[1:]
-                out.append((ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
+                ids = "".join(map(shown.__getitem__, bpe_files.chunks(text)))[1:]
+                tokens = ids.split()
+                back = " ".join(map(strings.__getitem__, tokens))
+                out.append((len(tokens), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
             yield batch(DIGESTS, b.column("doc_id"), *([r[k] for r in out] for k in range(3)))
 
     return plain_ids(df, "doc_id").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
