@@ -198,7 +198,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, tables: int = TABLES,
                     yield pa.RecordBatch.from_arrays([pa.array(np.zeros(b.num_rows, np.int32)), pa.array(np.zeros(b.num_rows, np.int64)), b.column("is_query"), b.column("vec_id"), raw], schema=ROUTED)
 
         members = rows.withColumn("is_query", F.lit(False)).mapInArrow(pack, ROUTED_DDL).withColumn("bucket", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-        seekers = lacking.mapInArrow(pack, ROUTED_DDL).withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+        seekers = lacking.mapInArrow(pack, ROUTED_DDL).withColumn("bucket", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
         whole = ranked(search(members.unionByName(seekers), ["tab", "bucket"], k, kind), k)
         found = found.join(lacking.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(whole)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

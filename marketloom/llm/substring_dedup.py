@@ -149,7 +149,8 @@ class Dedup:
         self.slots = min(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), 60_000)
 
     def dealt(self, parcels_: DataFrame) -> DataFrame:
-        return parcels_.repartition("slot").sortWithinPartitions("slot", "kind")
+        """Parcels of a slot together, by kind; texts with one id one after the other, always in the same order."""
+        return parcels_.repartition("slot").sortWithinPartitions("slot", "kind", "doc_id", "x")
 
     def texts(self) -> DataFrame:
         """Compressed texts, dealt by document."""
@@ -248,7 +249,7 @@ class Dedup:
     def result(self, with_kept: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for _, rows in by_slot(batches):
-                parts, ranges = [], None
+                parts, ranges, last, shift = [], None, None, 0
                 for r in rows:
                     if r["kind"] == RANGES:
                         parts.append([unpacked(r[k], np.int64) for k in "xyz"])
@@ -257,8 +258,12 @@ class Dedup:
                         ranges = [joined([p[k] for p in parts], np.int64) for k in range(3)]
                         order = np.lexsort((ranges[1], ranges[0]))
                         ranges = [a[order] for a in ranges]
-                    s, e = np.searchsorted(ranges[0], (r["doc_id"], r["doc_id"]), "left")[0], np.searchsorted(ranges[0], r["doc_id"], "right")
-                    yield kept_row(r["doc_id"], zstandard.ZstdDecompressor().decompress(r["x"]), ranges[1][s:e], ranges[2][s:e], with_kept)
+                    text = zstandard.ZstdDecompressor().decompress(r["x"])
+                    shift = shift if r["doc_id"] == last else 0
+                    s, e = np.searchsorted(ranges[0], r["doc_id"], "left"), np.searchsorted(ranges[0], r["doc_id"], "right")
+                    s, e = s + np.searchsorted(ranges[1][s:e], (shift, shift + len(text)))
+                    yield kept_row(r["doc_id"], text, ranges[1][s:e] - shift, ranges[2][s:e] - shift, with_kept)
+                    last, shift = r["doc_id"], shift + len(text)
 
         return self.dealt(self.removed_ranges().unionByName(self.texts())).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
@@ -305,19 +310,30 @@ def pair_hash(ids: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return mix(ids.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) ^ keys)
 
 
+def shifts_of(rows) -> Iterator[int]:
+    """Where each text (id, bytes) begins if the texts of an id stand one after the other: ranges are given so."""
+    last, at = None, 0
+    for i, text in rows:
+        at = at if i == last else 0
+        yield at
+        last, at = i, at + len(text)
+
+
 def strings_of(slot: int, wanted: np.ndarray, held: list[tuple[int, bytes]], slots: int, length: int, anchor: int) -> Iterator[pa.RecordBatch]:
     """The strings of the ``wanted`` (hashed) pairs of document and anchor in a slot's texts."""
     data, parts, alike, base = [], [], [], 0
-    for rows in stretches(held, lambda r: len(r[1])):
-        found = Anchors([t for _, t in rows], length, anchor)
-        ids = np.array([i for i, _ in rows], np.int64)[found.row]
+    shifts = shifts_of(held)
+    for rows in stretches([(i, t, next(shifts)) for i, t in held], lambda r: len(r[1])):
+        found = Anchors([t for _, t, _ in rows], length, anchor)
+        ids = np.array([i for i, _, _ in rows], np.int64)[found.row]
+        shift = np.array([s for _, _, s in rows], np.int64) - found.begins
         keys = (found.keys & np.uint64((1 << 48) - 1)) | (key_slot(found.keys, slots).astype(np.uint64) << np.uint64(48))
         pairs = pair_hash(ids, keys)
         own = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, pairs), len(wanted) - 1)] == pairs)
         first = found.first[own]
         n, offsets = found.last[own] - first + length, found.at[own] - first
         alike.append(mix(between(found.prefix, first, first + n) ^ mix(n.astype(np.uint64) * np.uint64(64) + offsets.astype(np.uint64))))
-        parts.append(Strings(ids[own], found.keys[own], first - found.begins[found.row[own]], offsets, n, base + first))
+        parts.append(Strings(ids[own], found.keys[own], first + shift[found.row[own]], offsets, n, base + first))
         data.append(found.data)
         base += len(found.data)
     data, alike, places = joined(data, np.uint8), joined(alike, np.uint64), joined([p.place for p in parts], np.int64)
