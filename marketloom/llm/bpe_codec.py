@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import bpe_files
-from .common import batch, plain_ids, slices, texts
+from .common import batch, plain_ids, slices, texts, tidy
 
 #: Entries of each of the two generations of a worker's memory; with this bound memory stays bounded.
 MEMORY = 120_000
@@ -73,8 +73,9 @@ class Codec:
     """Encoder and decoder of one vocabulary file."""
 
     def __init__(self, path: str | None = None):
-        self.vocabulary = bpe_files.vocabulary(path or bpe_files.default_path())
-        self.words = Memory(lambda w: tuple(merged(self.vocabulary.symbols(w), self.vocabulary.merges)))
+        self.vocabulary = vocabulary = bpe_files.vocabulary(path or bpe_files.default_path())
+        # The function doesn't hold the codec: without a cycle the memory goes with the task.
+        self.words = Memory(lambda w: tuple(merged(vocabulary.symbols(w), vocabulary.merges)))
 
     def word(self, word: str) -> tuple[int, ...]:
         return self.words[word]
@@ -103,7 +104,7 @@ def encode(df: DataFrame, path: str | None = None) -> DataFrame:
                 part = b.slice(at, 64)
                 yield batch(IDS, part.column("doc_id"), [codec.encode(t) for t in texts(part.column("text"))])
 
-    return plain_ids(df, "doc_id").mapInArrow(run, "doc_id long, ids array<int>")
+    return plain_ids(df, "doc_id").mapInArrow(tidy(run), "doc_id long, ids array<int>")
 
 
 def decode(df: DataFrame, path: str | None = None) -> DataFrame:
@@ -116,7 +117,7 @@ def decode(df: DataFrame, path: str | None = None) -> DataFrame:
                 part = b.slice(at, 64)
                 yield batch(DECODED, part.column("doc_id"), [codec.decode(x or []) for x in part.column("ids").to_pylist()])
 
-    return df.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return df.select("doc_id", "ids").mapInArrow(tidy(run), "doc_id long, text string")
 
 
 def round_trip_digests(df: DataFrame, path: str | None = None) -> DataFrame:
@@ -135,4 +136,4 @@ def round_trip_digests(df: DataFrame, path: str | None = None) -> DataFrame:
                 out.append((len(tokens), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
             yield batch(DIGESTS, b.column("doc_id"), *([r[k] for r in out] for k in range(3)))
 
-    return plain_ids(df, "doc_id").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return plain_ids(df, "doc_id").mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, cut, plain_ids, slices, texts
+from .common import batch, cut, plain_ids, slices, texts, tidy
 from .graph import components
 from .rolling import BASE, POWERS, VALUES, mix, roots
 
@@ -169,7 +169,7 @@ class Join:
                 none = pa.nulls(len(at), pa.int64())
                 yield batch(FIRST, none, none, none, pa.array(at, pa.int32()), pa.array(counts[at]))
 
-        return self.rows.mapInArrow(run, "doc_id long, n_shingles long, cls long, slot int, n long")
+        return self.rows.mapInArrow(tidy(run), "doc_id long, n_shingles long, cls long, slot int, n long")
 
     def coarse_links(self, levels: np.ndarray) -> DataFrame:
         """(a, b) links of classes that share one of their first n-grams and may link by size."""
@@ -214,8 +214,8 @@ class Join:
                 grams, classes, sizes = (np.frombuffer(b"".join(inflate(r[k]) for r in got), t) for k, t in (("grams", np.uint64), ("classes", np.int64), ("sizes", np.int32)))
                 yield from shared_pairs(grams, classes, sizes.astype(np.int64), percent)
 
-        dealt = self.rows.mapInArrow(post, "slot int, grams binary, classes binary, sizes binary").repartition("slot").sortWithinPartitions("slot")
-        shared = dealt.mapInArrow(meet, "a long, b long, size_a long, size_b long, n long").groupBy("a", "b", "size_a", "size_b").agg(F.sum("n").alias("n"))
+        dealt = self.rows.mapInArrow(tidy(post), "slot int, grams binary, classes binary, sizes binary").repartition("slot").sortWithinPartitions("slot")
+        shared = dealt.mapInArrow(tidy(meet), "a long, b long, size_a long, size_b long, n long").groupBy("a", "b", "size_a", "size_b").agg(F.sum("n").alias("n"))
         # With the shorter prefix's end at one set's, all n-grams shared beyond it are among the rest of that set.
         needed = F.expr(f"({percent} * (size_a + size_b) + {99 + percent}) div {100 + percent}")
         rest = F.expr(f"greatest(({percent} * size_a + 99) div 100, ({percent} * size_b + 99) div 100) - 1")
@@ -248,7 +248,7 @@ class Join:
                     seen.clear()
                 yield batch(SETS, list(out), list(out.values()))
 
-        return self.rows.mapInArrow(run, "cls long, grams binary")
+        return self.rows.mapInArrow(tidy(run), "cls long, grams binary")
 
     def links(self, members: DataFrame, sizes: DataFrame) -> DataFrame:
         """(a, b) links between classes, enough of them to join all that are linked.
@@ -283,7 +283,7 @@ class Join:
                     left, right = linked(list(block.values()), percent)
                     yield forest(classes[left], classes[right])
 
-        return filled.mapInArrow(multiply, "a long, b long")
+        return filled.mapInArrow(tidy(multiply), "a long, b long")
 
 
 def by_key(rows: Iterator[dict], *keys: str):

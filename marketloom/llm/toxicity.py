@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_codec import Memory
-from .common import batch, plain_ids, slices, texts
+from .common import batch, plain_ids, slices, texts, tidy
 
 N_EXAMPLES, N_TERMS, NEIGHBOURS, BLOCK = 12_000, 4096, 15, 64
 #: A term must be in so many examples, differ between the labels by this factor, and reach this likelihood ratio.
@@ -124,7 +124,7 @@ def sampled(documents: DataFrame, examples: DataFrame) -> DataFrame:
                 terms = list({t for p in set(text.split()) for t in piece_terms(p)})
                 yield batch(TERMS, [toxic] * len(terms), terms)
 
-    return example_texts(documents, examples).select("toxic", "text").mapInArrow(run, "toxic int, term string")
+    return example_texts(documents, examples).select("toxic", "text").mapInArrow(tidy(run), "toxic int, term string")
 
 
 def example_texts(documents: DataFrame, examples: DataFrame) -> DataFrame:
@@ -140,7 +140,7 @@ def vectors(documents: DataFrame, examples: DataFrame, number: dict[str, int]) -
             counts = [reader.read(t) for t in texts(b.column("text"))]
             yield batch(VECTORS, b.column("doc_id"), b.column("toxic"), [list(c) for c in counts], [list(c.values()) for c in counts])
 
-    rows = example_texts(documents, examples).select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, terms array<int>, tf array<int>")
+    rows = example_texts(documents, examples).select("doc_id", "toxic", "text").mapInArrow(tidy(run), "doc_id long, toxic int, terms array<int>, tf array<int>")
     return {(r["doc_id"], r["toxic"]): Counter(dict(zip(r["terms"], r["tf"]))) for r in rows.filter(F.size("terms") > 0).collect()}
 
 
@@ -204,7 +204,7 @@ def document_frequencies(documents: DataFrame, number: dict[str, int]) -> tuple[
         at = np.flatnonzero(df)
         yield batch(COUNTS, pa.array(at, pa.int32()), pa.array(df[at]))
 
-    rows = documents.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    rows = documents.select(F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(len(number) + 1)
     for r in rows:
         out[r["term"]] = r["n"]
@@ -221,7 +221,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
             out = [model.score(reader.read(t)) for t in texts(b.column("text"))]
             yield batch(SCORED, b.column("doc_id"), [s for s, _ in out], [e for _, e in out])
 
-    return plain_ids(documents, "doc_id").mapInArrow(run, "doc_id long, score double, evidence array<long>")
+    return plain_ids(documents, "doc_id").mapInArrow(tidy(run), "doc_id long, score double, evidence array<long>")
 
 
 def without_toxic(documents: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
@@ -233,4 +233,4 @@ def without_toxic(documents: DataFrame, model: Model, threshold: float = 0.5) ->
         for b in slices(batches):
             yield b.filter(pa.array([held.value.score(reader.read(t))[0] < threshold for t in texts(b.column("text"))], pa.bool_()))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(tidy(run), documents.schema)
