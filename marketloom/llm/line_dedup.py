@@ -7,6 +7,9 @@ counted before they are shuffled; texts are shuffled once, by page.
 
 A null host is its own site ''; null and empty texts have no lines and stay as they are; repeated rows count as
 pages of their own and get the same result.  Blank lines are never dropped from texts.
+
+A text that many pages of a host repeat is no boilerplate, though its lines are frequent: with ``copy_share`` a page
+of which at least that share (of the characters of its lines) would go stays whole, for near-duplicate removal.
 """
 
 from __future__ import annotations
@@ -37,10 +40,14 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAG
     return counted.join(hosts, "host").filter(F.col("n_pages") > ratio * F.col("host_pages"))
 
 
-def line_dedup(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def n_characters(lines: str) -> Column:
+    return F.aggregate(lines, F.lit(0).cast("long"), lambda n, x: n + F.char_length(F.trim(x)))
+
+
+def line_dedup(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, copy_share: float | None = None) -> DataFrame:
     """``pages`` (key, host, lines) with the columns kept (its lines without boilerplate) and n_dropped.
 
-    Blank lines stay.  ``key`` identifies a page; null keys are allowed.
+    Blank lines stay.  ``key`` identifies a page; null keys are allowed.  ``copy_share``: see above; None for none.
     """
     hashes = F.transform("lines", lambda x: F.when(F.trim(x) != "", F.xxhash64(x)))
     hashed = pages.select("key", "host", F.filter(hashes, lambda h: h.isNotNull()).alias("hashes"))
@@ -52,7 +59,11 @@ def line_dedup(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGE
     )
     joined = pages.alias("p").join(dropped.alias("d"), F.col("p.key").eqNullSafe(F.col("d.key")) & (F.col("p.host") == F.col("d.host")), "left")
     kept = F.when(F.col("d.dropped").isNull(), F.col("p.lines")).otherwise(F.filter("p.lines", lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("d.dropped"), F.xxhash64(x))))
-    return joined.select("p.*", kept.alias("kept")).withColumn("n_dropped", F.coalesce(F.size("lines") - F.size("kept"), F.lit(0)).cast("long"))
+    out = joined.select("p.*", kept.alias("kept"))
+    if copy_share is not None:
+        is_copy = (F.size("kept") < F.size("lines")) & (n_characters("kept") <= (1 - copy_share) * n_characters("lines"))
+        out = out.withColumn("kept", F.when(is_copy, F.col("lines")).otherwise(F.col("kept")))
+    return out.withColumn("n_dropped", F.coalesce(F.size("lines") - F.size("kept"), F.lit(0)).cast("long"))
 
 
 def page_lines(pages: DataFrame) -> DataFrame:

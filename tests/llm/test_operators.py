@@ -174,6 +174,9 @@ def test_line_dedup(spark, docs):
     rows = [(i, "h", [f"own {i}", "menu", ""] if i < 9 else [f"own {i}"]) for i in range(20)] + [(100, "g", ["menu"]), (None, "h", ["menu", "x"]), (101, "h", None)]
     got = {r["key"]: r for r in line_dedup.line_dedup(spark.createDataFrame(rows, "key long, host string, lines array<string>")).collect()}
     assert got[0]["kept"] == ["own 0", ""] and got[0]["n_dropped"] == 1 and got[100]["kept"] == ["menu"] and got[None]["kept"] == ["x"] and got[101]["kept"] is None
+    copies = spark.createDataFrame([(i, "h", ["menu", "", "a text that was copied"] if i < 6 else ["menu", f"own text {i}"]) for i in range(20)], "key long, host string, lines array<string>")
+    got = {r["key"]: r for r in line_dedup.line_dedup(copies, copy_share=0.75).collect()}
+    assert got[0]["kept"] == ["menu", "", "a text that was copied"] and got[0]["n_dropped"] == 0 and got[9]["kept"] == ["own text 9"]
     pages = spark.createDataFrame([(1, "HTTPS://A.b:80/x", "<p>x<b>y</b></p><script>z</script> w <br>v"), (2, None, None)], "page_id long, url string, html string")
     assert {(r["host"], tuple(r["lines"])) for r in line_dedup.page_lines(pages).collect()} == {("a.b", ("xy", "w", "v")), ("", ())}
 
