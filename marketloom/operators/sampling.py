@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from math import ceil
+from math import ceil, gcd
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +35,12 @@ def auto_ratio(eval_steps: int, n_train: int) -> float:
     return min(1.0, 2 * eval_steps / n_train)
 
 
+def fitted_batch(workers: int, generations: int, wanted: int) -> int:
+    """The smallest batch of a worker, ``wanted`` or more, for which all workers' rows divide into groups of generations."""
+    step = generations // gcd(workers, generations) if workers > 0 and generations > 1 else 1
+    return step * ceil(max(wanted, 1) / step)
+
+
 def numbered(df: DataFrame, key: str, offset: int, limit: int | None, valid: Column) -> DataFrame:
     """Rows past ``offset`` in key order, of these the first ``limit`` valid ones, with their ordinal among them.
 

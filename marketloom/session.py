@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import re
+
 from pyspark.sql import SparkSession
 
 
@@ -12,3 +15,15 @@ def get_session(app: str = "marketloom", master: str | None = None, **settings:
         builder = builder.master(master)
     fixed = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true"}
     return builder.config(map=fixed | settings).getOrCreate()
+
+
+def load_env(path: str) -> dict[str, str]:
+    """The settings KEY=value of a file (comments, ``export`` and quotes allowed), set where the environment has none."""
+    if not os.path.isfile(path):
+        return {}
+    with open(path, encoding="utf-8") as lines:
+        pairs = re.findall(r"(?m)^[ \t]*(?:export[ \t]+)?([^\s#=][^=\n]*)=(.*)$", lines.read())
+    settings = {key.strip(): value.strip().strip('"').strip("'") for key, value in reversed(pairs)}  # the first of a key counts
+    for key, value in settings.items():
+        os.environ.setdefault(key, value)
+    return settings

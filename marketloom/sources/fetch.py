@@ -11,10 +11,14 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 Fetcher = Callable[[dict], list[dict]]
 FETCHERS: dict[str, Fetcher] = {}
 
+#: What is searched for a company.
+SEARCHES = ("{name} 股票 最新消息", "{name} 股价 异动", "{name} 公告", "{name} 财报 业绩", "{name} 研报", "{symbol} {name}")
+
 
 class Throttled(Exception):
     """Raised by a fetcher that was asked to slow down."""
@@ -48,6 +52,22 @@ def fetch(requests: DataFrame, fetcher: Fetcher, schema: str, attempts: int = 3,
     return requests.mapInPandas(run, schema)
 
 
+def searches(companies: DataFrame) -> DataFrame:
+    """The search requests (symbol, query, position) of each company (symbol, name)."""
+
+    def filled_in(text: str):
+        return F.replace(F.replace(F.lit(text), F.lit("{name}"), F.col("name")), F.lit("{symbol}"), F.col("symbol"))
+
+    return companies.select("symbol", F.posexplode(F.array(*map(filled_in, SEARCHES))).alias("position", "query")).select("symbol", "query", "position")
+
+
+def cached_or_fetched(wanted: DataFrame, cache: DataFrame, key: str, fetcher: Fetcher, schema: str) -> DataFrame:
+    """A row of ``cache`` for each key of ``wanted`` that it has, and what the fetcher finds for the others."""
+    keys = wanted.dropDuplicates([key])
+    found = fetch(keys.join(cache.select(key), key, "left_anti"), fetcher, schema)
+    return cache.join(keys.select(key), key, "left_semi").select(found.columns).unionByName(found)
+
+
 def generate(prompts: DataFrame, client: Callable[[list[str]], list[str]], column: str = "prompt", batch_size: int = 64) -> DataFrame:
     """``prompts`` with raw_output from a text model; ``client`` takes and returns lists of texts."""
     fields = ", ".join(f"`{n}` {t}" for n, t in prompts.dtypes)

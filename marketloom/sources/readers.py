@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalars as S
+from ..operators.bars import recent
 from ..operators.merge import filled, keep_first
-from ..schemas import TABLES
+from ..schemas import TABLES, resolve_quotes
 
 UNIVERSE = "struct<sectors: map<string, array<struct<name: string, symbol: string, market: string>>>>"
 RESULT = "struct<custom_id: string, error: string, response: struct<status_code: int, body: struct<choices: array<struct<message: struct<content: string>>>>>>"
@@ -34,6 +35,18 @@ def typed_quotes(raw: DataFrame, before: str | None = None, symbols: DataFrame |
     return out.join(symbols, "symbol", "left_semi") if symbols is not None else out
 
 
+def recent_quotes(vendor: DataFrame, today: str, rows: int = 7, days: int = 45, symbol: str | None = None) -> DataFrame:
+    """The last ``rows`` bars of each symbol of a vendor's frame, of the ``days`` days up to the day before ``today``.
+
+    Dates may be written with eight digits; what the vendor doesn't name is null.
+    """
+    bars = resolve_quotes(vendor, symbol)
+    written = F.regexp_replace(F.col("trade_date").cast("string"), r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
+    last = F.date_sub(F.to_date(F.lit(today)), 1)
+    dated = bars.withColumn("trade_date", S.parse_date10(written)).filter(F.col("trade_date").between(F.date_sub(last, days), last))
+    return recent(dated, rows)
+
+
 def listed_items(raw: DataFrame, symbols: DataFrame, since: str | None, keys: list[str] = ["url"]) -> DataFrame:
     """News or report rows of the symbols, dated ``since`` or later, the first of each key by (date, url).
 

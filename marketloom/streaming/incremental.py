@@ -51,13 +51,17 @@ def pending(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def pages_done(state: str):
-    """Pages named by a mark: a number n (pages 1 to n), a list of pages, or an object with 'completed' of either."""
+    """Pages named by a mark: a number n (pages 1 to n), a list of pages, or an object with 'completed' of either.
+
+    An object with 'capped_at' has enough rows: all of its 'total_pages' count as done.
+    """
     def of(x):
         number, pages = x.try_cast("int"), F.from_json(x, "array<int>")
         return F.when(number.isNotNull(), F.when(number > 0, F.sequence(F.lit(1), number)).otherwise(F.array().cast("array<int>"))).otherwise(F.coalesce(pages, F.array().cast("array<int>")))
 
     value = F.col(state)
-    return of(F.coalesce(F.get_json_object(value, "$.completed"), value))
+    capped = F.when(F.get_json_object(value, "$.capped_at").isNotNull(), F.get_json_object(value, "$.total_pages"))
+    return of(F.coalesce(capped, F.get_json_object(value, "$.completed"), value))
 
 
 def next_page(state: str, total: str):

@@ -1,3 +1,4 @@
+import os
 from datetime import date, timedelta
 
 import pytest
@@ -8,7 +9,8 @@ from marketloom.functions import html, prompts
 from marketloom.functions import scalars as S
 from marketloom.operators import asof, bars, merge, sampling, scoring, tokens
 from marketloom.schemas import require_columns, resolve_quotes
-from marketloom.sources import fetch, readers, writers
+from marketloom.session import load_env
+from marketloom.sources import fetch, jobs, readers, writers
 from marketloom.streaming import incremental
 
 
@@ -154,8 +156,8 @@ def test_stream_merges_late_rows(spark, tmp_path):
 
 
 def test_page_marks(spark):
-    rows = spark.createDataFrame([("3", 5), ("[1,3]", 5), ('{"completed": 5}', 5), ('{"completed": [1,2]}', 5), (None, 0)], "state string, total int")
-    assert [r[0] for r in rows.select(incremental.next_page("state", "total")).collect()] == [4, 2, None, 3, None]
+    rows = spark.createDataFrame([("3", 5), ("[1,3]", 5), ('{"completed": 5}', 5), ('{"completed": [1,2]}', 5), (None, 0), ('{"completed": [1], "total_pages": 5, "capped_at": 9}', 5)], "state string, total int")
+    assert [r[0] for r in rows.select(incremental.next_page("state", "total")).collect()] == [4, 2, None, 3, None, None]
 
 
 def test_html():
@@ -194,3 +196,57 @@ def test_vendor_columns_and_fetch(spark):
     with pytest.raises(ZeroDivisionError):
         fetch.with_retries(lambda: 1 / 0, 3, 1.0, sleep=waits.append)
     assert waits == [1.0, 2.0]
+
+
+def test_searches_and_cached_pages(spark):
+    found = fetch.searches(spark.createDataFrame([("000001", "甲")], "symbol string, name string")).collect()
+    assert len(found) == 6 and found[5]["query"] == "000001 甲" and found[2]["query"] == "甲 公告"
+    wanted = spark.createDataFrame([("a",), ("b",), ("b",)], "url string")
+    cache = spark.createDataFrame([("a", "kept"), ("z", "other")], "url string, body string")
+    got = fetch.cached_or_fetched(wanted, cache, "url", lambda r: [{"url": r["url"], "body": "new"}], "url string, body string")
+    assert sorted(map(tuple, got.collect())) == [("a", "kept"), ("b", "new")]
+
+
+def test_recent_quotes(spark):
+    rows = [(f"202601{d:02d}", 1.0, 2.0, 3.0, 0.5, 9.0, 0.1) for d in range(1, 21)] + [("20251101", 1.0, 2.0, 3.0, 0.5, 9.0, 0.1)]
+    vendor = spark.createDataFrame(rows, "trade_date string, open double, close double, high double, low double, vol double, pct_chg double")
+    got = sorted(readers.recent_quotes(vendor, "2026-01-15", symbol="000001").collect(), key=lambda r: r["trade_date"])
+    assert [str(r["trade_date"]) for r in got] == [f"2026-01-{d:02d}" for d in range(8, 15)] and got[0]["volume"] == 9.0 and got[0]["turnover"] is None
+    assert readers.recent_quotes(vendor, "2025-12-01", symbol="000001").count() == 1
+
+
+@pytest.mark.parametrize("workers, generations, wanted, expected", [(8, 4, 1, 1), (1, 8, 1, 8), (2, 8, 5, 8), (3, 4, 5, 8), (0, 4, 3, 3), (6, 4, 3, 4)])
+def test_fitted_batch(workers, generations, wanted, expected):
+    assert sampling.fitted_batch(workers, generations, wanted) == expected
+
+
+def test_settings_file(tmp_path, monkeypatch):
+    (tmp_path / "env").write_text("# note\nexport ML_A='x=1'\nML_B = \"two\"\nnothing\n\nML_C=3\n")
+    monkeypatch.setenv("ML_C", "own")
+    for name in ("ML_A", "ML_B"):
+        monkeypatch.delenv(name, raising=False)
+    assert load_env(str(tmp_path / "env")) == {"ML_A": "x=1", "ML_B": "two", "ML_C": "3"} and load_env(str(tmp_path / "none")) == {}
+    assert (os.environ.pop("ML_A"), os.environ.pop("ML_B"), os.environ["ML_C"]) == ("x=1", "two", "own")
+
+
+def test_batch_jobs(spark, tmp_path):
+    class Service:
+        state = "in_progress"
+
+        def submit(self, path):
+            return "j1"
+
+        def status(self, job_id):
+            return self.state
+
+        def download(self, job_id, path):
+            self.got = job_id, path
+
+    service, state, out = Service(), str(tmp_path / "state"), str(tmp_path / "out")
+    assert jobs.submit(spark, service, "requests", state) == "j1" and not jobs.collect_results(spark, service, state, out)
+    service.state = "completed"
+    assert jobs.collect_results(spark, service, state, out) and service.got == ("j1", out)
+    assert tuple(spark.read.schema(jobs.STATE).json(state).first()) == ("j1", "requests", "completed")
+    service.state = "expired"
+    with pytest.raises(RuntimeError, match="expired"):
+        jobs.collect_results(spark, service, state, out)
