@@ -1,9 +1,15 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing, with exact distance reranking.
 
-Vectors are scaled by the largest norm and given one more component that makes all norms 1, so that the nearest in
-Euclidean distance is the one with the largest inner product.  Each of ``tables`` hash tables cuts ``hashes``
-Gaussian projections into cells of ``width``.  A query visits its own cell and the ``probes - 1`` perturbed cells
-whose boundaries are nearest (in estimated success order, by the sum of squared distances to the boundaries).
+Rows are dealt into bands of similar norm.  Vectors are scaled by the largest norm of their band and given one more
+component that makes all norms 1, so that the nearest in Euclidean distance is the one with the largest inner product.
+Each of a band's ``tables`` hash tables cuts ``hashes`` Gaussian projections into cells of one width.  A query visits,
+in every band, its own cell and the ``probes - 1`` perturbed cells whose boundaries are nearest (in estimated success
+order, by the sum of squared distances to the boundaries).
+
+The width is set by measured recall: ``SAMPLE`` queries are searched exactly, and a band's cells are widened from
+``width`` on until the share ``RECALL`` of the sample's true neighbours in that band lie in visited cells.  A band of
+at most ``small`` rows, or one for which no width is enough, is a single bucket that every query visits.
+
 Members and probes of a bucket meet in one place, where all candidates are ranked by exact inner product in double
 precision; each task merges its tables' candidates and passes on its best ``k`` a query.
 
@@ -29,6 +35,10 @@ from .common import cut
 
 TABLES, HASHES, WIDTH, PROBES, SEED = 8, 6, 2.0, 18, 20_011
 HOT_BUCKET = 20_000
+#: Share of true neighbours to be found, of this many queries; a band's rows have norms within the factor BAND (the last of BANDS: any).
+RECALL, SAMPLE, BAND, BANDS = 0.95, 100, 1.5, 8
+#: A query is sent to 144 buckets of a band; one bucket is less work for as few rows as this.
+SMALL_BAND = 1_000
 #: Rows of the best-so-far table of a task after which it is passed on and begun anew.
 HELD = 2_000_000
 ROUTED = pa.schema([("tab", pa.int32()), ("bucket", pa.int64()), ("is_query", pa.bool_()), ("vec_id", pa.int64()), ("vec", pa.binary())])
@@ -65,6 +75,31 @@ def probe_order(inside: np.ndarray, probes: int) -> np.ndarray:
     return steps[np.argsort(cost, axis=1, kind="stable")[:, :probes]]
 
 
+def tuned_width(queries: np.ndarray, asked_by: np.ndarray, members: np.ndarray, first: int, tables: int, hashes: int, width: float, probes: int) -> float | None:
+    """The width from ``width`` on at which RECALL of the pairs (members, each with its query's row) meet; None if none does."""
+    for _ in range(40):
+        met = np.zeros(len(members), bool)
+        for t in range(first, first + tables):
+            place = cells(queries, t, hashes, width)
+            home = np.floor(place)
+            steps = probe_order(place - home, probes)
+            offset = np.floor(cells(members, t, hashes, width)) - home[asked_by]
+            met |= (steps[asked_by] == offset[:, None, :]).all(axis=2).any(axis=1)
+        if met.sum() >= RECALL * len(met):
+            return width
+        width *= 1.1
+    return None
+
+
+def as_members(vectors: np.ndarray, largest: float) -> np.ndarray:
+    scaled = vectors / np.sqrt(largest)
+    return np.hstack([scaled, np.sqrt(np.maximum(0, 1 - (scaled**2).sum(axis=1)))[:, None]])
+
+
+def as_seekers(vectors: np.ndarray) -> np.ndarray:
+    return np.hstack([vectors / np.sqrt((vectors**2).sum(axis=1))[:, None], np.zeros((len(vectors), 1))])
+
+
 class Best:
     """The best k of each query so far."""
 
@@ -140,7 +175,7 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
     return once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def nearest(df: DataFrame, is_query: Column, k: int = 20, tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH, probes: int = PROBES) -> DataFrame:
+def nearest(df: DataFrame, is_query: Column, k: int = 20, tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH, probes: int = PROBES, small: int = SMALL_BAND) -> DataFrame:
     """query_id, rank, vec_id and score of the ``k`` nearest found for each row where ``is_query`` holds."""
     kind = "f4" if "float" in dict(df.dtypes)["embedding"] else "f8"
     rows = usable(df, is_query)
@@ -149,34 +184,69 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, tables: int = TABLES,
     empty = df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if facts is None:
         return empty
-    dims, n_rows, largest = facts["dims"], facts["n"], facts["largest"]
-    rows = rows.filter(F.size("embedding") == dims)
+    dims, n_rows, top = facts["dims"], facts["n"], facts["largest"]
+    shorter = F.nanvl(F.floor((F.log(F.lit(top)) - F.log(square)) / (2 * np.log(BAND))).cast("double"), F.lit(BANDS - 1.0))
+    band = F.least(F.greatest(F.coalesce(shorter, F.lit(BANDS - 1.0)), F.lit(0.0)), F.lit(BANDS - 1.0)).cast("int")
+    rows = rows.filter(F.size("embedding") == dims).withColumn("band", band)
+    bands = {r["band"]: (r["n"], r["largest"]) for r in rows.groupBy("band").agg(F.count("*").alias("n"), F.max(square).alias("largest")).collect()}
 
     def vectors_of(b: pa.RecordBatch) -> np.ndarray:
         return b.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(b.num_rows, dims)
 
+    widths = dict.fromkeys(bands)
+    if any(n > small for n, _ in bands.values()):
+        sample = rows.filter("is_query").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow().combine_chunks().to_batches()
+        if not sample:
+            return empty
+        sample_ids, sampled = sample[0].column("vec_id").to_numpy(zero_copy_only=False), vectors_of(sample[0]).astype(np.float64)
+
+        def exactly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = Best(k)
+            for whole in batches:
+                for at in range(0, whole.num_rows, 1000):
+                    b = whole.slice(at, 1000)
+                    best.add(sample_ids, sampled, b.column("vec_id").to_numpy(zero_copy_only=False), vectors_of(b).astype(np.float64))
+            if best.rows:
+                yield best.take()
+
+        near = ranked(rows.mapInArrow(exactly, "query_id long, vec_id long, score double"), k).join(rows, "vec_id").select("query_id", "band", "embedding").toArrow().combine_chunks().to_batches()
+        row_of = {q: at for at, q in enumerate(sample_ids.tolist())}
+        for n, (size, largest) in bands.items():
+            at = np.flatnonzero(near[0].column("band").to_numpy(zero_copy_only=False) == n) if near else np.array([], int)
+            if size > small:
+                asked_by = np.array([row_of[q] for q in near[0].column("query_id").take(pa.array(at)).to_pylist()], int) if len(at) else at
+                members = as_members(vectors_of(near[0])[at].astype(np.float64), largest) if len(at) else np.zeros((0, dims + 1))
+                widths[n] = tuned_width(as_seekers(sampled), asked_by, members, n * tables, tables, hashes, width, probes)
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sent(tab: int, keys: np.ndarray, asking: bool, ids: np.ndarray, raw: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), tab, np.int32)), pa.array(keys), pa.array(np.full(len(ids), asking)), pa.array(ids), raw], schema=ROUTED)
+
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
                 original, asks = vectors_of(b), b.column("is_query").to_numpy(zero_copy_only=False).astype(bool)
-                x, ids = original.astype(np.float64), b.column("vec_id").to_numpy(zero_copy_only=False)
+                x, ids, its_band = original.astype(np.float64), b.column("vec_id").to_numpy(zero_copy_only=False), b.column("band").to_numpy(zero_copy_only=False)
                 raw = pa.array([v.tobytes() for v in original], pa.binary())
-                scaled = x / np.sqrt(largest)
-                members = np.hstack([scaled, np.sqrt(np.maximum(0, 1 - (scaled**2).sum(axis=1)))[:, None]])
-                unit = x[asks] / np.sqrt((x[asks] ** 2).sum(axis=1))[:, None]
-                seekers = np.hstack([unit, np.zeros((len(unit), 1))])
-                asking = raw.take(pa.array(np.flatnonzero(asks)))
-                for t in range(tables):
-                    keys = bucket_keys(np.floor(cells(members, t, hashes, width)))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), t, np.int32)), pa.array(keys), pa.array(np.zeros(len(ids), bool)), pa.array(ids), raw], schema=ROUTED)
-                    if not len(unit):
-                        continue
-                    place = cells(seekers, t, hashes, width)
-                    home = np.floor(place)
-                    probed = bucket_keys(home[:, None, :] + probe_order(place - home, probes))
-                    for p in range(probed.shape[1]):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(unit), t, np.int32)), pa.array(probed[:, p]), pa.array(np.ones(len(unit), bool)), pa.array(ids[asks]), asking], schema=ROUTED)
+                seekers, asking = as_seekers(x[asks]), raw.take(pa.array(np.flatnonzero(asks)))
+                for n, (_, largest) in bands.items():
+                    here, cell_width = np.flatnonzero(its_band == n), widths[n]
+                    own = raw.take(pa.array(here))
+                    members = as_members(x[here], largest)
+                    for t in range(n * tables, n * tables + (1 if cell_width is None else tables)):
+                        keys = np.zeros(len(here), np.int64) if cell_width is None else bucket_keys(np.floor(cells(members, t, hashes, cell_width)))
+                        if len(here):
+                            yield sent(t, keys, False, ids[here], own)
+                        if not len(seekers):
+                            continue
+                        if cell_width is None:
+                            yield sent(t, np.zeros(len(seekers), np.int64), True, ids[asks], asking)
+                            continue
+                        place = cells(seekers, t, hashes, cell_width)
+                        home = np.floor(place)
+                        probed = bucket_keys(home[:, None, :] + probe_order(place - home, probes))
+                        for p in range(probed.shape[1]):
+                            yield sent(t, probed[:, p], True, ids[asks], asking)
 
     routed = rows.mapInArrow(route, ROUTED_DDL)
     hot = routed.filter(~F.col("is_query")).groupBy("tab", "bucket").agg(F.ceil(F.count("*") / HOT_BUCKET).cast("int").alias("parts")).filter("parts > 1")

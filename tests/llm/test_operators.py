@@ -202,6 +202,26 @@ def test_nearest(spark):
     assert len(few) == 4 and ann.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_nearest_of_uneven_norms(spark):
+    rng = np.random.default_rng(5)
+    points = rng.standard_normal((2000, 32))
+    points /= np.linalg.norm(points, axis=1)[:, None]
+    longer = np.ones(2000)
+    longer[7] = 3
+    for norms in (longer, rng.lognormal(0, 0.5, 2000)):
+        uneven = points * norms[:, None]
+        df = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(uneven)], "vec_id long, embedding array<double>")
+        got = {}
+        for r in ann.nearest(df, F.col("vec_id") % 20 == 0).collect():
+            got.setdefault(r["query_id"], set()).add(r["vec_id"])
+        hits = 0
+        for q in range(0, 2000, 20):
+            scores = uneven @ uneven[q]
+            scores[q] = -np.inf
+            hits += len(got[q] & set(np.argsort(-scores, kind="stable")[:20].tolist()))
+        assert hits / 2000 >= 0.93
+
+
 def test_block_max_search_is_exact():
     from collections import Counter
 
