@@ -17,8 +17,8 @@ def components(links: DataFrame) -> DataFrame:
     """
     pairs = cut(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while True:
-        # Is the smaller end of any link also the larger end of another?  If not, all are stars around their roots.
-        if pairs.join(pairs.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
+        # All are stars around their roots if no smaller end of a link is also a larger end and no larger end has two.
+        if pairs.join(pairs.select(F.col("a").alias("b")), "b", "left_semi").isEmpty() and pairs.groupBy("a").count().filter("count > 1").isEmpty():
             return pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(pairs.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))

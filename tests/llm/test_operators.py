@@ -263,6 +263,31 @@ def test_components(spark):
     assert {(r["node"], r["root"]) for r in graph.components(links).collect()} == {(i, 5) for i in range(5, 10)} | {(i, 1) for i in (1, 2, 3)}
 
 
+def union_find(links):
+    parent = {x: x for link in links for x in link if link[0] != link[1]}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        if a != b:
+            low, high = sorted((find(a), find(b)))
+            parent[high] = low
+    return sorted((x, find(x)) for x in parent)
+
+
+def test_components_of_nodes_between_roots(spark):
+    rng = random.Random(6)
+    path = rng.sample(range(30), 12)
+    graphs = [[(3, 1), (3, 2)], [(1, 4), (4, 3), (3, 5), (5, 2), (10, 11), (11, 12)], list(zip(path, path[1:]))]
+    graphs += [[(rng.randrange(14), rng.randrange(14)) for _ in range(rng.randint(4, 12))] for _ in range(8)]
+    for links in graphs:
+        got = graph.components(spark.createDataFrame(links, "a long, b long"))
+        assert sorted((r["node"], r["root"]) for r in got.collect()) == union_find(links)
+
+
 @pytest.mark.parametrize("empty", [jaccard_join.jaccard_join, substring_dedup.substring_dedup, token_counts.token_counts, bpe_codec.round_trip_digests])
 def test_empty_tables(docs, empty):
     assert empty(docs.limit(0)).count() == 0
