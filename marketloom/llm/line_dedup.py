@@ -8,8 +8,9 @@ counted before they are shuffled; texts are shuffled once, by page.
 A null host is its own site ''; null and empty texts have no lines and stay as they are; repeated rows count as
 pages of their own and get the same result.  Blank lines are never dropped from texts.
 
-A text that many pages of a host repeat is no boilerplate, though its lines are frequent: with ``copy_share`` a page
-of which at least that share (of the characters of its lines) would go stays whole, for near-duplicate removal.
+A text that many pages of a host repeat is no boilerplate, though its lines are frequent: with ``distinct`` pages of a
+host with equal lines count once, as one page, so that copies make no line frequent.  With ``copy_share`` a page of
+which at least that share (of the characters of its lines) would go stays whole, whether it is a copy or not.
 """
 
 from __future__ import annotations
@@ -44,16 +45,19 @@ def n_characters(lines: str) -> Column:
     return F.aggregate(lines, F.lit(0).cast("long"), lambda n, x: n + F.char_length(F.trim(x)))
 
 
-def line_dedup(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, copy_share: float | None = None) -> DataFrame:
+def line_dedup(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, copy_share: float | None = None, distinct: bool = False) -> DataFrame:
     """``pages`` (key, host, lines) with the columns kept (its lines without boilerplate) and n_dropped.
 
-    Blank lines stay.  ``key`` identifies a page; null keys are allowed.  ``copy_share``: see above; None for none.
+    Blank lines stay.  ``key`` identifies a page; null keys are allowed.  ``copy_share`` (None for none), ``distinct``: see above.
     """
     hashes = F.transform("lines", lambda x: F.when(F.trim(x) != "", F.xxhash64(x)))
     hashed = pages.select("key", "host", F.filter(hashes, lambda h: h.isNotNull()).alias("hashes"))
+    counted = hashed
+    if distinct:
+        counted = pages.select("host", F.filter(hashes, lambda h: h.isNotNull()).alias("hashes"), F.xxhash64("lines").alias("text_hash")).dropDuplicates(["host", "text_hash"])
     dropped = (
         hashed.select("key", "host", F.explode(F.array_distinct("hashes")).alias("line_hash"))
-        .join(boilerplate(hashed, ratio, min_pages).select("host", "line_hash"), ["host", "line_hash"])
+        .join(boilerplate(counted, ratio, min_pages).select("host", "line_hash"), ["host", "line_hash"])
         .groupBy("key", "host")
         .agg(F.collect_set("line_hash").alias("dropped"))
     )

@@ -34,6 +34,17 @@ def test_copies_of_a_third_of_the_rows_leave_one(spark):
     assert kept == {0, 101, 102} | {d for d in range(90) if d % 3}
 
 
+def test_own_texts_under_a_long_shared_line_all_stay(spark):
+    shared = " ".join(f"licence{j}" for j in range(120))
+    own = {i: " ".join(f"own{i}x{j}" for j in range(15)) for i in range(40)}
+    rows = [(i, f"{shared}\n{t}", "en", "s", 0) for i, t in own.items()] + [(i + 100, f"{shared}\n{own[i]}", "en", "s", 0) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    lines = stages["line_dedup"](spark, docs, SMALL)
+    assert {r["doc_id"]: r["text"] for r in lines.collect()} == own | {i + 100: own[i] for i in range(3)}
+    assert {r["doc_id"] for r in stages["near_duplicates"](spark, lines, SMALL).collect()} == set(own)
+
+
 def test_each_stage_against_a_plain_version(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     rows = {r["doc_id"]: r["text"] for r in docs.collect()}
