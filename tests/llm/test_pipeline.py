@@ -45,6 +45,16 @@ def test_own_texts_under_a_long_shared_line_all_stay(spark):
     assert {r["doc_id"] for r in stages["near_duplicates"](spark, lines, SMALL).collect()} == set(own)
 
 
+def test_near_duplicates_with_repeated_and_null_ids(spark):
+    text = {x: " ".join(f"{x}{j}" for j in range(40)) for x in "abcd"}
+    rows = [(1, text["a"]), (5, text["a"] + " more"), (5, text["b"]), (5, text["b"]), (5, None), (7, text["b"] + " more")]
+    rows += [(None, text["a"]), (None, text["c"]), (None, text["c"]), (None, text["d"]), (None, ""), (None, None), (8, ""), (9, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r["doc_id"], r["text"]) for r in dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, SMALL).collect()]
+    wanted = [(1, text["a"]), (5, text["b"]), (5, None), (None, text["c"]), (None, text["d"]), (None, ""), (None, None), (8, ""), (9, None)]
+    assert sorted(map(str, kept)) == sorted(map(str, wanted))
+
+
 def test_each_stage_against_a_plain_version(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     rows = {r["doc_id"]: r["text"] for r in docs.collect()}
