@@ -33,7 +33,7 @@ def toxicity_model(documents: DataFrame, labels: DataFrame) -> toxicity.Model:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     scored = toxicity.score(documents, toxicity_model(documents, table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", F.coalesce(crc_bucket("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+    return scored.select("doc_id", F.coalesce(crc_bucket("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", "cosines")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

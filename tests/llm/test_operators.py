@@ -1,8 +1,10 @@
 """Each training-data operator against a plain version, on small inputs with nulls, ties, repeats and odd columns."""
 
+import functools
 import hashlib
 import random
 import re
+import unicodedata
 
 import numpy as np
 import pytest
@@ -222,30 +224,115 @@ def test_nearest_of_uneven_norms(spark):
         assert hits / 2000 >= 0.93
 
 
-def test_block_max_search_is_exact():
-    from collections import Counter
-
-    rng = random.Random(4)
-    examples = {(i, i % 3 == 0): Counter({rng.randrange(60): rng.randint(1, 3) for _ in range(rng.randint(1, 6))}) for i in range(700)}
-    model = toxicity.built({str(t): t for t in range(60)}, np.linspace(1, 3, 60), 0.3, 0.1, examples)
-    for _ in range(30):
-        query = Counter({rng.randrange(60): 1 for _ in range(4)})
-        terms, weights = model.weigh(query)
-        full = np.zeros(700)
-        for t, w in zip(terms, weights):
-            full[model.postings[t][0]] += w * model.postings[t][1]
-        assert np.allclose(sorted(full[full > 0])[::-1][:15], [c for c, _ in model.neighbours(query)])
+def plain_stems(text):
+    """Counts of the first four letters of each word; each letter without case begins a term of two."""
+    out, low = {}, text.lower()
+    kind = [unicodedata.category(c) for c in low] + ["Zs"] * 4
+    for i, c in enumerate(low):
+        if kind[i][0] not in "LM" or i and kind[i - 1][0] in "LM" and kind[i] != "Lo":
+            continue
+        n = 1
+        while n < (2 if kind[i] == "Lo" else 4) and kind[i + n][0] in "LM":
+            n += 1
+        out[low[i : i + n]] = out.get(low[i : i + n], 0) + 1
+    return out
+
+
+def plain_vectors(texts, examples):
+    """TF-IDF vectors; terms that no example holds share the document frequency of their slot."""
+    known = {t for e in examples for t in plain_stems(e or "")}
+    slot = functools.cache(lambda t: t if t in known else int(toxicity.stems([t])[1][0]) % toxicity.OTHER)
+    df, out = {}, []
+    counts = [plain_stems(t or "") for t in texts]
+    for c in counts:
+        for t in {slot(t) for t in c}:
+            df[t] = df.get(t, 0) + 1
+    for c in counts:
+        v = {k: n * np.log(len(texts) / df[slot(k)]) ** toxicity.IDF_POWER for k, n in c.items()}
+        length = np.sqrt(sum(x * x for x in v.values())) or 1.0
+        out.append({k: x / length for k, x in v.items()})
+    return out
+
+
+def test_stems_are_those_of_whole_texts(monkeypatch):
+    monkeypatch.setattr(toxicity, "STRETCH", 40)
+    rows = ["", "Straße İstanbul ΣΑΣ o'clock", "a" * 200 + " tail", "日本語のテキスト and more", "word " * 100, "x1y2 \n\t", "कखगघ e\u0301te\u0301s"]
+    seen = 0
+    for begin, end, row, term, n in toxicity.counted(rows):
+        for i in range(begin, end):
+            wanted = plain_stems(rows[i])
+            # Hashes of the terms themselves: a term alone is a text.
+            one = {int(h): wanted[t] for t in wanted for h in toxicity.stems([t])[1][:1]}
+            assert dict(zip(term[row == i - begin].tolist(), n[row == i - begin].tolist())) == one
+            seen += 1
+    assert seen == len(rows)
+
+
+def test_toxicity_model_against_brute_force(spark):
+    """Fit, cosines, order, votes and calibration on a whole table."""
+    df = spark.read.parquet(f"{SMALL}/documents.parquet")
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    texts = {r["doc_id"]: r["text"] for r in df.collect()}
+    label = {r["doc_id"]: float(r["toxic"]) for r in labels.collect()}
+    model = toxicity.fit(df, labels)
+    assert set(model.ids.tolist()) == set(label) & set(texts)  # every labelled row is indexed
+    vector = dict(zip(texts, plain_vectors(list(texts.values()), [texts[d] for d in label])))
+    k, ids = model.k, model.ids.tolist()
+
+    def nearest(d, among):
+        cosines = {e: sum(w * vector[e].get(t, 0) for t, w in vector[d].items()) for e in among}
+        return sorted(((round(c, 5), e) for e, c in cosines.items() if c > 1e-6), reverse=True)[:k]
+
+    def share(near):
+        return sum(c * label[e] for c, e in near) / sum(c for c, _ in near)
+
+    own = [nearest(d, [e for e in ids if e != d]) for d in ids]
+    x, y = np.array([share(n) for n in own if n]), np.array([label[d] for d, n in zip(ids, own) if n])
+    curve = toxicity.isotonic(x, y, model.base)
+    for r in toxicity.score(df, model).collect():
+        near = nearest(r["doc_id"], ids)
+        assert np.allclose([c for c, _ in near[:5]], r["cosines"], atol=2e-5) and len(r["evidence"]) == min(5, len(near))
+        assert all(abs(sum(w * vector[e].get(t, 0) for t, w in vector[r["doc_id"]].items()) - c) < 2e-5 for e, c in zip(r["evidence"], r["cosines"]))
+        assert abs(np.interp(share(near), *curve) - r["score"]) < 0.02 if near else r["score"] == model.bare
+    # The curve is the least-squares rising one: it meets the means of its own pools.
+    at, value = toxicity.isotonic(np.array([0.1, 0.2, 0.3, 0.4]), np.array([0.0, 1.0, 0.0, 1.0]), 0.5)
+    assert np.allclose(at, [0.1, 0.25, 0.4]) and np.allclose(value, [0.25, 0.5, 0.75])
+
+
+def test_block_max_search_is_exact(monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK", 8)
+    rng = np.random.default_rng(4)
+    size = rng.integers(0, 12, 700)
+    term = np.concatenate([rng.choice(60, n, replace=False) for n in size]).astype(np.uint64)
+    model = toxicity.Model(np.arange(60, dtype=np.uint64), np.concatenate([np.linspace(0.5, 3, 60), np.ones(toxicity.OTHER)]), 0.3, 0.3)
+    model = toxicity.indexed(model, np.arange(700), rng.integers(0, 2, 700).astype(float), size, term, rng.integers(1, 4, len(term)))
+    full = np.zeros((700, len(model.idf)))
+    full[np.repeat(np.arange(700), np.diff(np.append(0, model.ends))), model.terms] = model.weights
+    asked = [np.sort(rng.choice(60, rng.integers(0, 5), replace=False)) for _ in range(80)]
+    row, place = np.repeat(np.arange(80), [len(q) for q in asked]), np.concatenate(asked)
+    weight = model.weighed(row, place, np.ones(len(place)), 80)
+    for share in (0.02, 0.2, 1.0):
+        monkeypatch.setattr(toxicity, "FREQUENT", share)
+        near, cosines = toxicity.Index(model).nearest(row, place, weight, 80, 15)
+        for q in range(80):
+            wanted = full[:, place[row == q]] @ weight[row == q] if (row == q).any() else np.zeros(700)
+            assert np.allclose(np.sort(wanted)[::-1][:15], cosines[q], atol=1e-5)
+            assert all(abs(wanted[i] - c) < 1e-5 for i, c in zip(near[q], cosines[q]) if c > 0)
 
 
 def test_toxicity(spark, docs):
-    rows = [(i, ("plain words here again " * 3) + ("awful" if i % 2 else "")) for i in range(60)] + [(90, None), (91, ""), (92, "awful")]
+    rows = [(i, ("plain words here again " * 3) + ("awful" if i % 2 else "")) for i in range(60)] + [(90, None), (91, ""), (92, "awful"), (49, "other text"), (49, "other text")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    labels = spark.createDataFrame([(i, i % 2) for i in range(50)] + [(51, None), (None, 1)], "doc_id long, toxic int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)] + [(48, 0), (51, None), (None, 1)], "doc_id long, toxic int")
     model = toxicity.fit(df, labels)
+    assert len(model.ids) == 51 and model.ids.tolist().count(49) == 2
     got = {r["doc_id"]: r["score"] for r in toxicity.score(df, model).collect()}
-    assert got[55] > 0.9 and got[56] < 0.5 and got[90] == got[91] < 0.5 and got[92] > 0.9
-    assert toxicity.score(docs, toxicity.fit(df, labels.limit(0))).count() == docs.count()
+    assert got[55] > 0.9 and got[56] < 0.5 and got[90] == got[91] == model.bare and got[92] > 0.9
+    assert toxicity.score(docs, toxicity.fit(df, labels.limit(0))).filter("score = 0").count() == docs.count()
+    assert {r["score"] for r in toxicity.score(docs, toxicity.fit(df, labels.filter("toxic = 1"))).collect()} == {1.0}
+    assert toxicity.score(df.limit(0), model).count() == 0 and toxicity.fit(df.limit(0), labels).base == 0
     assert {r["doc_id"] for r in toxicity.without_toxic(df, model).collect()} == {i for i in got if got[i] < 0.5}
+    assert len(toxicity.fit(df, labels, n_examples=20).ids) <= 20
 
 
 def test_language(spark, docs):
