@@ -364,8 +364,8 @@ def compile_template(source: str) -> Callable[[Mapping], Pieces]:
 
 def read_turns(pieces: Pieces, on_turn: Callable[[str, str], None], on_learnt: Callable[[str], None]) -> int:
     """Read formatted output of the default marking back, as it comes: each turn's role and text, and each learnt
-    text, all unescaped.  Returns the number of characters."""
-    n, open_text, learnt = 0, "", []
+    text, all unescaped.  Returns the number of characters.  Work is linear in it."""
+    n, open_text, learnt, at = 0, "", [], 0
     for text, is_learnt in pieces:
         n += len(text)
         if is_learnt:
@@ -374,24 +374,33 @@ def read_turns(pieces: Pieces, on_turn: Callable[[str, str], None], on_learnt: C
             on_learnt(unescape("".join(learnt)))
             learnt = []
         open_text += text
-        at = 0
+        begin = 0
         while (end := open_text.find(TURN_END + "\n", at)) >= 0:
-            signs = end - len(open_text[:end].rstrip(ESCAPE))
-            if signs % 2:
-                at = end + 1
+            at = end + 1
+            if escapes_before(open_text, end) % 2:
                 continue
-            head, _, body = split_head(open_text[len(TURN_START) + 1 : end])
+            head, _, body = split_head(open_text[begin + len(TURN_START) + 1 : end])
             on_turn(head, unescape(body))
-            open_text, at = open_text[end + len(TURN_END) + 1 :], 0
+            begin = at = end + len(TURN_END) + 1
+        # An end mark may be parted between pieces.
+        open_text, at = open_text[begin:], max(at, len(open_text) - len(TURN_END)) - begin
     if learnt:
         on_learnt(unescape("".join(learnt)))
     return n
 
 
+def escapes_before(text: str, at: int) -> int:
+    """Length of the run of escape signs that ends at ``at``."""
+    begin = at
+    while begin and text[begin - 1] == ESCAPE:
+        begin -= 1
+    return at - begin
+
+
 def split_head(turn: str) -> tuple[str, str, str]:
     """Role, separator and (escaped) text of a turn."""
     at = turn.find(": ")
-    while turn.startswith("=") and (at - len(turn[:at].rstrip(ESCAPE))) % 2:
+    while turn.startswith("=") and escapes_before(turn, at) % 2:
         at = turn.find(": ", at + 1)
     head = turn[:at]
     return unescape(head[1:]) if head.startswith("=") else ROLES[head], ": ", turn[at + 2 :]
