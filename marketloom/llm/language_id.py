@@ -5,8 +5,13 @@ languages with that bit and those without, every language weighted alike) gives
 logistic losses of the margins against each codeword, each bit weighted by how often it is right on that language's
 training texts; the codeword with the least loss wins, and texts whose second best is within ``AMBIGUOUS`` are flagged.
 
-Trigram counts and bit weights come from all training texts; only their sums reach the driver.  Texts that are null
-or have no letters are ``und`` with score 0; without training languages all texts are.  Texts are read whole.
+Trigram counts and bit weights come from all training texts; only their sums reach the driver, GRAMS numbers for each
+language (names of languages are taken as few; a table of names is not kept apart).  Trigrams don't reach from one
+text into the next, so the model doesn't depend on partitions.
+
+Texts that are null or have no letters are ``und`` with score 0; without training languages all texts are.  Texts are
+read whole.  Of equal losses the language first in the alphabet wins.  Rows with a null text or lang are not learned
+from; repeated rows count as often as they come.  Extra columns are not used.
 """
 
 from __future__ import annotations
@@ -45,6 +50,11 @@ def trigrams(rows: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return ids.astype(np.int32), np.concatenate([[0], np.cumsum([len(r) for r in raw])[:-1]])
 
 
+def spanning(starts: np.ndarray) -> np.ndarray:
+    """Places of the trigrams that reach from one row into the next."""
+    return np.concatenate([starts[1:] - 1, starts[1:] - 2])
+
+
 def stretches(rows: list[str]) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about STRETCH bytes."""
     start, size = 0, 0
@@ -83,7 +93,7 @@ class Model:
         n = np.maximum(ends - starts - 2, 1)
         out = np.empty((len(rows), len(self.weights)))
         # Trigrams that span two rows (the last two of each) count for none.
-        spans = np.concatenate([starts[1:] - 1, starts[1:] - 2])
+        spans = spanning(starts)
         for j, w in enumerate(self.weights):
             given = w[ids]
             given[spans] = 0
@@ -126,7 +136,8 @@ def fit(training: DataFrame) -> Model:
         for b in slices(batches):
             for lang, own in by_language(b):
                 seen.setdefault(lang, np.zeros(GRAMS, np.int64))
-                seen[lang] += np.bincount(trigrams(own)[0], minlength=GRAMS)
+                ids, starts = trigrams(own)
+                seen[lang] += np.bincount(np.delete(ids, spanning(starts)), minlength=GRAMS)
         for lang, n in seen.items():
             at = np.flatnonzero(n)
             yield batch(COUNTS, [lang] * len(at), pa.array(at, pa.int32()), pa.array(n[at]))
