@@ -1,16 +1,17 @@
 """Boilerplate lines by how many of a site's pages hold them.
 
 For each host the pages that hold a line are counted (a page counts once) and divided by the host's pages; lines
-over ``ratio`` that at least ``min_pages`` pages hold are dropped from all pages of that host.  Only built-in
+over ``ratio`` that at least ``min_pages`` pages hold (two: a line of one page repeats nowhere) are dropped from all
+pages of that host, however few it has.  Only built-in
 functions are used.  Counting is by (host, line hash), so a hot host spreads over all tasks and repeated lines are
 counted before they are shuffled; texts are shuffled once, by page.
 
-A null host is its own site ''; null and empty texts have no lines and stay as they are; repeated rows count as
-pages of their own and get the same result.  Blank lines are never dropped from texts.
+A null host is the site ''; null and empty texts have no lines and stay as they are; repeated rows count as pages of
+their own and get the same result.  Blank lines are never dropped from texts.  Extra columns of the input stay, but
+for ``kept`` and ``n_dropped``, which are replaced.
 
 A text that many pages of a host repeat is no boilerplate, though its lines are frequent: with ``distinct`` pages of a
-host with equal lines count once, as one page, so that copies make no line frequent.  With ``copy_share`` a page of
-which at least that share (of the characters of its lines) would go stays whole, whether it is a copy or not.
+host with equal lines count once, as one page, so that copies make no line frequent.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-RATIO, MIN_PAGES = 0.1, 5
+RATIO, MIN_PAGES = 0.1, 2
 
 UNSEEN = r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->"
 BREAKS = r"(?i)</?(p|div|li|ul|ol|nav|article|section|header|footer|h[1-6]|br|tr|td|th|table|title|body|html|head|main|aside)([ /][^>]*)?>"
@@ -41,32 +42,24 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAG
     return counted.join(hosts, "host").filter(F.col("n_pages") > ratio * F.col("host_pages"))
 
 
-def n_characters(lines: str) -> Column:
-    return F.aggregate(lines, F.lit(0).cast("long"), lambda n, x: n + F.char_length(F.trim(x)))
-
-
-def line_dedup(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, copy_share: float | None = None, distinct: bool = False) -> DataFrame:
+def line_dedup(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, distinct: bool = False) -> DataFrame:
     """``pages`` (key, host, lines) with the columns kept (its lines without boilerplate) and n_dropped.
 
-    Blank lines stay.  ``key`` identifies a page; null keys are allowed.  ``copy_share`` (None for none), ``distinct``: see above.
+    Blank lines stay.  ``key`` identifies a page; null keys are allowed.  ``distinct``: see above.
     """
-    hashes = F.transform("lines", lambda x: F.when(F.trim(x) != "", F.xxhash64(x)))
-    hashed = pages.select("key", "host", F.filter(hashes, lambda h: h.isNotNull()).alias("hashes"))
-    counted = hashed
-    if distinct:
-        counted = pages.select("host", F.filter(hashes, lambda h: h.isNotNull()).alias("hashes"), F.xxhash64("lines").alias("text_hash")).dropDuplicates(["host", "text_hash"])
+    hashes = F.filter(F.transform("lines", lambda x: F.when(F.trim(x) != "", F.xxhash64(x))), lambda h: h.isNotNull())
+    pages, site = pages.drop("kept", "n_dropped"), F.coalesce("host", F.lit(""))
+    hashed = pages.select("key", site.alias("host"), hashes.alias("hashes"))
+    counted = pages.select(site.alias("host"), hashes.alias("hashes"), F.xxhash64("lines").alias("text_hash")).dropDuplicates(["host", "text_hash"]) if distinct else hashed
     dropped = (
         hashed.select("key", "host", F.explode(F.array_distinct("hashes")).alias("line_hash"))
         .join(boilerplate(counted, ratio, min_pages).select("host", "line_hash"), ["host", "line_hash"])
         .groupBy("key", "host")
         .agg(F.collect_set("line_hash").alias("dropped"))
     )
-    joined = pages.alias("p").join(dropped.alias("d"), F.col("p.key").eqNullSafe(F.col("d.key")) & (F.col("p.host") == F.col("d.host")), "left")
+    joined = pages.alias("p").join(dropped.alias("d"), F.col("p.key").eqNullSafe(F.col("d.key")) & (F.coalesce("p.host", F.lit("")) == F.col("d.host")), "left")
     kept = F.when(F.col("d.dropped").isNull(), F.col("p.lines")).otherwise(F.filter("p.lines", lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("d.dropped"), F.xxhash64(x))))
     out = joined.select("p.*", kept.alias("kept"))
-    if copy_share is not None:
-        is_copy = (F.size("kept") < F.size("lines")) & (n_characters("kept") <= (1 - copy_share) * n_characters("lines"))
-        out = out.withColumn("kept", F.when(is_copy, F.col("lines")).otherwise(F.col("kept")))
     return out.withColumn("n_dropped", F.coalesce(F.size("lines") - F.size("kept"), F.lit(0)).cast("long"))
 
 
