@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from . import bpe_files
 from .common import batch, plain_ids, slices, texts, tidy
 
-#: Entries of each of the two generations of a worker's memory; with this bound memory stays bounded.
-MEMORY = 120_000
+#: Entries, and characters of their keys, of each of the two generations of a worker's memory; longer keys aren't held.
+MEMORY, MEMORY_CHARS, LONG_KEY = 120_000, 3_000_000, 1_000
 IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 DECODED = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
@@ -56,12 +56,15 @@ class Memory(dict):
 
     def __init__(self, make):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.old, self.chars = make, {}, 0
 
     def __missing__(self, key: str):
-        if len(self) >= MEMORY:
-            self.old = dict(self)
+        if len(key) > LONG_KEY:
+            return self.make(key)
+        if len(self) >= MEMORY or self.chars >= MEMORY_CHARS:
+            self.old, self.chars = dict(self), 0
             self.clear()
+        self.chars += len(key)
         out = self.old.get(key)
         if out is None:
             out = self.make(key)

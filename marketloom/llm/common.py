@@ -19,10 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's spark.checkpoint.dir; only where it is unset (tests) set a folder of our own."""
+    """Use the cluster's spark.checkpoint.dir; only on one machine (tests), where it is unset, set a folder of our own."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         wanted = spark.conf.get("spark.checkpoint.dir", None)
+        if not wanted and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(wanted or os.path.join(tempfile.gettempdir(), f"marketloom-{uuid.uuid4().hex}"))
 
 

@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from . import bpe_files
 from .common import batch, plain_ids, slices, texts
 
-#: Entries of a worker's memory of pieces; it starts afresh beyond, so memory stays bounded.
-MEMORY = 200_000
+#: Entries of a worker's memory of pieces, and characters of them; it starts afresh beyond, so memory stays bounded.
+MEMORY, MEMORY_CHARS = 200_000, 4_000_000
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
 
@@ -74,6 +74,7 @@ class PieceCounts(dict):
 
     def __init__(self, path: str):
         super().__init__()
+        self.chars = 0
         self.vocabulary = bpe_files.vocabulary(path)
         self.table = RankTable(self.vocabulary)
 
@@ -83,6 +84,7 @@ class PieceCounts(dict):
         words = list({w for s in split for w in s if isinstance(w, str)})
         counted = dict(zip(words, surviving([self.vocabulary.symbols(w) for w in words], self.table).tolist())) if words else {}
         for piece, parts in zip(new, split):
+            self.chars += len(piece)
             self[piece] = sum(counted[w] if isinstance(w, str) else 1 for w in parts)
 
 
@@ -96,8 +98,9 @@ def token_counts(df: DataFrame, path: str | None = None, limit: int = 2048) -> D
             rows = texts(b.column("text"))
             n_tokens = []
             for at in range(0, len(rows), 256):
-                if len(known) > MEMORY:
+                if len(known) > MEMORY or known.chars > MEMORY_CHARS:
                     known.clear()
+                    known.chars = 0
                 cut = [bpe_files.chunks(t) for t in rows[at : at + 256]]
                 known.learn({p for pieces in cut for p in pieces})
                 n_tokens += [sum(map(known.__getitem__, pieces)) for pieces in cut]

@@ -172,17 +172,100 @@ def test_decontamination(spark, docs):
     assert decontaminate.decontaminate(docs, items.limit(0)).filter("n_hit > 0").count() == 0 and decontaminate.decontaminate(docs.limit(0), items).count() == 0
 
 
+def plain_windows(items, width=10):
+    out = {}
+    for i, t in items:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t or ""))
+        for s in range(max(len(w) - width + 1, 1)) if w else ():
+            out.setdefault(tuple(w[s : s + width]), set()).add(str(i))
+    return out
+
+
+def plain_hits(docs, items):
+    """(doc_id, start, window) of every occurrence, repeated rows once."""
+    windows = plain_windows(items)
+    sizes = {len(w) for w in windows}
+    out = set()
+    for d, t in docs:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t or ""))
+        out |= {(d, s, tuple(w[s : s + n])) for n in sizes for s in range(len(w) - n + 1) if tuple(w[s : s + n]) in windows}
+    return out
+
+
+@pytest.mark.parametrize("limit", [0, 4_000_000])
+def test_decontamination_paths_agree(spark, docs, monkeypatch, tmp_path, limit):
+    """Broadcast, shuffled and stored: long documents, a word that is everywhere, windows of frequent words alone."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", limit)
+    rng = random.Random(8)
+    words = ["the"] * 12 + ["w%d" % i for i in range(60)]
+    texts = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([3, 40, 4000 if i == 5 else 60])))) for i in range(40)]
+    passages = [(i, " ".join(texts[i][1].split()[s : s + n])) for i, s, n in ((0, 3, 12), (5, 1000, 30), (7, 0, 4), (5, 3990, 10), (9, 20, 10))]
+    items = passages + [(50, "the the"), (51, None), (52, "never " * 11)]
+    df = spark.createDataFrame(texts + texts[:2] + [(None, texts[3][1]), (4, texts[5][1])], "doc_id long, text string").unionByName(docs.select("doc_id", "text"))
+    rows, bench = [(r["doc_id"], r["text"]) for r in df.collect()], spark.createDataFrame(items, "item_id long, text string")
+    wanted = plain_hits(rows, items)
+    index = decontaminate.Index(df, bench)
+    windows = {r["win_id"]: tuple(r["window"]) for r in index.windows.collect()}
+    assert index.is_small == (limit > 0)
+    assert {(r["doc_id"], r["start"], windows[r["win_id"]]) for r in index.phrase_matches().collect()} == wanted
+    path = str(tmp_path / "postings")
+    decontaminate.write_postings(df, path)
+    stored = decontaminate.StoredIndex(spark.read.parquet(path), bench)
+    assert {(r["doc_id"], r["start"], windows[r["win_id"]]) for r in stored.phrase_matches().collect()} == wanted
+    got = sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["item_ids"]) for r in decontaminate.decontaminate(df, bench).collect())
+    holds, plain = plain_windows(items), []
+    for d, t in rows:
+        own, n = plain_hits([(d, t)], items), len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t or "")))
+        plain.append((str(d), n, len({s + k for _, s, w in own for k in range(len(w))}), sorted({i for _, _, w in own for i in holds[w]})))
+    assert got == sorted(plain)
+
+
+def test_large_test_sets_shuffle_no_word_arrays(spark, docs, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
+    index = decontaminate.Index(docs, spark.createDataFrame([(1, "the cat sat")], "item_id long, text string"))
+    plan = index.phrase_matches()._jdf.queryExecution().optimizedPlan().toString()
+    joins = [x for x in plan.split("\n") if "Join Inner" in x and "salt" in x]
+    assert joins and "words" not in "".join(x for x in plan.split("\n") if "Exchange" in x)
+    assert [c for c in index.postings(index.rarest()).columns if c == "words"] == []
+
+
+def test_proximity_matches_against_a_plain_search(spark):
+    rng = random.Random(3)
+    texts = [(i, " ".join(rng.choice("abcdefgh") for _ in range(60))) for i in range(25)]
+    df, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(1, "a b"), (2, "c zz"), (3, "d e")], "item_id long, text string")
+    index = decontaminate.Index(df, bench)
+    rare = {}
+    for r in index.rarest().collect():
+        rare.setdefault(r["win_id"], {})[r["slot"]] = r["term"]
+    wanted = set()
+    for d, t in texts:
+        w = t.split()
+        for win, slots in rare.items():
+            for p, x in enumerate(w):
+                if x == slots[1] and (near := [q for q in range(max(p - 2, 0), min(p + 3, len(w))) if w[q] in slots.values()]) and {w[q] for q in near} == set(slots.values()):
+                    wanted.add((d, win, min(near), max(near)))
+    assert {(r["doc_id"], r["win_id"], r["first"], r["last"]) for r in index.proximity_matches(2).collect()} == wanted and wanted
+
+
 def test_line_dedup(spark, docs):
     rows = [(i, "h", [f"own {i}", "menu", ""] if i < 9 else [f"own {i}"]) for i in range(20)] + [(100, "g", ["menu"]), (None, "h", ["menu", "x"]), (101, "h", None)]
     got = {r["key"]: r for r in line_dedup.line_dedup(spark.createDataFrame(rows, "key long, host string, lines array<string>")).collect()}
     assert got[0]["kept"] == ["own 0", ""] and got[0]["n_dropped"] == 1 and got[100]["kept"] == ["menu"] and got[None]["kept"] == ["x"] and got[101]["kept"] is None
-    copies = spark.createDataFrame([(i, "h", ["menu", "", "a text that was copied"] if i < 6 else ["menu", f"own text {i}"]) for i in range(20)], "key long, host string, lines array<string>")
-    got = {r["key"]: r for r in line_dedup.line_dedup(copies, copy_share=0.75).collect()}
-    assert got[0]["kept"] == ["menu", "", "a text that was copied"] and got[0]["n_dropped"] == 0 and got[9]["kept"] == ["own text 9"]
     pages = spark.createDataFrame([(1, "HTTPS://A.b:80/x", "<p>x<b>y</b></p><script>z</script> w <br>v"), (2, None, None)], "page_id long, url string, html string")
     assert {(r["host"], tuple(r["lines"])) for r in line_dedup.page_lines(pages).collect()} == {("a.b", ("xy", "w", "v")), ("", ())}
 
 
+def test_line_dedup_of_small_and_nameless_hosts_with_clashing_columns(spark):
+    rows = [(1, None, ["menu", "a"]), (2, None, ["menu", "b"]), (3, "", ["menu"]), (4, "s", ["foot", "c"]), (5, "s", ["foot", "foot"]), (6, "t", ["foot", "long " * 9000])] + [(10 + i, "u", [f"x{i}", "once" if i < 2 else "y"]) for i in range(40)]
+    df = spark.createDataFrame([(*r, "in", 7, "d") for r in rows], "key long, host string, lines array<string>, kept string, n_dropped int, dropped string").withColumn("hashes", F.lit(1)).withColumn("d", F.lit(2))
+    out = line_dedup.line_dedup(df)
+    got = {r["key"]: (r["kept"], r["n_dropped"], r["dropped"], r["host"]) for r in out.collect()}
+    assert got[1] == (["a"], 1, "d", None) and got[2] == (["b"], 1, "d", None) and got[3] == ([], 1, "d", "")
+    assert got[4] == (["c"], 1, "d", "s") and got[5] == ([], 2, "d", "s") and got[6][:2] == (["foot", "long " * 9000], 0)
+    assert got[10][:2] == (["x0", "once"], 0) and got[49][:2] == (["x39"], 1)  # 2 of 40 pages are under the ratio
+    assert sorted(out.columns) == sorted(df.columns) and line_dedup.line_dedup(df.limit(0)).count() == 0 and line_dedup.line_dedup(df, distinct=True).count() == len(rows)
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(1)
     points = rng.standard_normal((600, 16)) * rng.uniform(0.5, 2, (600, 1))
@@ -345,6 +428,72 @@ def test_language(spark, docs):
     assert language_id.codewords(1).shape == (1, 0) and language_id.codewords(20).shape[0] == 20
 
 
+def plain_language(training, probes):
+    """Counts, classifiers, bit weights and decoding, text by text."""
+    def grams(t):
+        data = language_id.FOLD[np.frombuffer(b" " + t.encode() + b"  ", np.uint8)].astype(np.uint64)
+        return [int((int(a) * 0x9E3779B1 + int(b) * 0x85EBCA6B + int(c) * 0xC2B2AE35) % (1 << 32) >> 17) for a, b, c in zip(data, data[1:], data[2:])]
+
+    names = sorted({x for _, x in training})
+    code, odds = language_id.codewords(len(names)), np.full((len(names), language_id.GRAMS), 0.5)
+    for t, x in training:
+        for g in grams(t):
+            odds[names.index(x), g] += 1
+    odds /= odds.sum(axis=1, keepdims=True)
+    weights = np.array([[np.log(odds[c > 0, g].mean() / odds[c < 0, g].mean()) for g in range(language_id.GRAMS)] for c in code.T])
+    margin = lambda t: np.array([np.mean([w[g] for g in grams(t)]) if grams(t) else 0 for w in weights])
+    trust = np.array([[(sum(margin(t)[b] * code[k, b] > 0 for t, x in training if x == name) + 1) / (sum(x == name for _, x in training) + 2) for b in range(code.shape[1])] for k, name in enumerate(names)])
+    trust /= trust.mean(axis=1, keepdims=True)
+    out = []
+    for t in probes:
+        loss = [(np.log1p(np.exp(-margin(t) * code[k] * language_id.SHARPNESS)) * trust[k]).sum() for k in range(len(names))]
+        share = np.exp(min(loss) - np.array(loss))
+        out.append((names[int(np.argmin(loss))], share.max() / share.sum()))
+    return out
+
+
+def test_language_against_a_plain_decoder(spark):
+    rng = random.Random(2)
+    syllables = {"en": ["the ", "and ", "ing ", "of "], "fr": ["le ", "et ", "ment ", "é "], "de": ["der ", "und ", "ß ", "keit "]}
+    training = [("".join(rng.choice(syllables[x]) for _ in range(rng.randint(1, 12))), x) for x in syllables for _ in range(6)]
+    probes = ["".join(rng.choice(syllables[rng.choice("en fr de".split())]) for _ in range(8)) for _ in range(20)]
+    df = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(training)], "doc_id long, text string, lang string")
+    asked = spark.createDataFrame(list(enumerate(probes)), "doc_id long, text string")
+    for parts in (1, 7):  # the model doesn't depend on partitions
+        found = language_id.identify(asked, language_id.fit(df.repartition(parts))).orderBy("doc_id").collect()
+        for r, (name, share) in zip(found, plain_language(training, probes)):
+            assert r["lang_pred"] == name and abs(r["score"] - share) < 1e-4
+    assert language_id.identify(asked.limit(0), language_id.fit(df)).count() == 0
+
+
+def test_reading_back_is_linear_in_the_text():
+    import time
+
+    text = "</turn>\n" * 1_000_000  # 8 MB of end marks
+    seen, began = [], time.perf_counter()
+    pieces = chat_template.compile_template(chat_template.DEFAULT_TEMPLATE)({"messages": [{"role": "user", "text": text}, {"role": "a: " * 100_000, "text": "x"}]})
+    chat_template.read_turns(pieces, lambda role, t: seen.append((role, t)), lambda t: None)
+    assert seen == [("user", text), ("a: " * 100_000, "x")] and time.perf_counter() - began < 60
+
+
+def test_end_marks_parted_between_pieces():
+    whole = "### User: a\\</turn> b</turn>\n### User: c</turn>\n"
+    for size in (1, 2, 3, 7):
+        seen = []
+        n = chat_template.read_turns(((whole[i : i + size], False) for i in range(0, len(whole), size)), lambda role, t: seen.append((role, t)), lambda t: None)
+        assert seen == [("user", "a</turn> b"), ("user", "c")] and n == len(whole)
+
+
+def test_a_cluster_without_shared_folder_is_refused():
+    from types import SimpleNamespace
+
+    from marketloom.llm.common import ensure_checkpoint_dir
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(ValueError):
+        ensure_checkpoint_dir(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *a: None)))
+
+
 def test_components(spark):
     links = spark.createDataFrame([(9, 8), (8, 7), (7, 6), (6, 5), (1, 2), (3, 2), (4, 4), (5, 9)], "a long, b long")
     assert {(r["node"], r["root"]) for r in graph.components(links).collect()} == {(i, 5) for i in range(5, 10)} | {(i, 1) for i in (1, 2, 3)}
