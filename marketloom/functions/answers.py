@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .scalars import FAILED, strip_u
 
@@ -68,6 +69,19 @@ def final_triplet(x: Column) -> Column:
     return F.coalesce(whole(by_line), whole(tail))
 
 
+def completion_text(x: Column, kind: T.DataType) -> Column:
+    """Text of a completion that is a text or a list of messages (the first one's content); '' for an empty list."""
+    if isinstance(kind, T.ArrayType):
+        return F.coalesce(F.try_element_at(x, F.lit(1))["content"], F.lit(""))
+    return x.cast("string")
+
+
+def reference_triplet(label: Column, completion: Column) -> Column:
+    """The reference directions of a row: of its label if it isn't blank, else of its completion; null if unreadable."""
+    blank = strip_u(F.coalesce(label, F.lit(""))) == ""
+    return F.when(blank, final_triplet(completion)).otherwise(label_triplet(label))
+
+
 def one_line_triplet(x: Column) -> Column:
     """The last line that is a triplet, else the last phrase that names one, as 'a，b，c'; else the failure mark."""
     lines = lines_of(x)

@@ -122,6 +122,65 @@ def links(html: str) -> list[tuple[str, str]]:
     return list(out.items())
 
 
+def page_numbers(html: str) -> list[int]:
+    """Page numbers that a forum's list page links to."""
+    out = []
+    for a in tree(html).all("a"):
+        href = a.attributes.get("href") or ""
+        if "nump" in (a.attributes.get("class") or "").split() or "f_" in href:
+            shown = (span.text() if (span := a.first("tag", "span")) else "").strip()
+            found = re.search(r"f_(\d+)\.html", href)
+            out += [int(x) for x in (found and found[1], shown) if x and re.fullmatch(r"[+-]?\d+", x)]
+    return out
+
+
+def news_rows(html: str) -> list[tuple[str, str, str, str]]:
+    """(href, title, snippet, '') of a search page's news."""
+    out = []
+    for item in [n for n in tree(html).walk() if "news_item" in (n.attributes.get("class") or "").split()]:
+        head, body = item.first("class", "news_item_t"), item.first("class", "news_item_c")
+        link = head.first("tag", "a") if head else None
+        href = (link.attributes.get("href") or "").strip() if link else ""
+        if href and href != "#":
+            out.append((href, link.text(" "), body.text(" ") if body else "", ""))
+    return out
+
+
+def report_rows(html: str) -> list[tuple[str, str, str, str]]:
+    """(href, title, '', date) of a report list's rows."""
+    out = []
+    for table in [n for n in tree(html).all("table") if "tb_01" in (n.attributes.get("class") or "").split()]:
+        for row in table.all("tr"):
+            cell = row.first("class", "tal", "td")
+            link = cell.first("tag", "a") if cell else None
+            href, title = ((link.attributes.get("href") or "").strip(), (link.attributes.get("title") or link.text()).strip()) if link else ("", "")
+            cells = row.all("td")
+            if href and title:
+                out.append((href, title, "", cells[3].text() if len(cells) > 3 else ""))
+    return out
+
+
+def list_rows(kind: str):
+    """A column function for news or report list pages: an array of (url, title, snippet, date), as they are written."""
+    read = {"news": news_rows, "report": report_rows}[kind]
+
+    @F.pandas_udf("array<struct<url string, title string, snippet string, date string>>")
+    def run(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda h: [dict(zip(("url", "title", "snippet", "date"), r)) for r in read(h)] if h else [])
+
+    return run
+
+
+def linked_pages():
+    """A column function: the page numbers on a forum's list page."""
+
+    @F.pandas_udf("array<int>")
+    def run(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda h: page_numbers(h) if h else [])
+
+    return run
+
+
 def _column(extract: Callable[[str], str]):
     @F.pandas_udf("string")
     def run(pages: pd.Series) -> pd.Series:

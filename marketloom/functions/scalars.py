@@ -50,17 +50,31 @@ def log_volume(x: Column) -> Column:
     return F.when(x.isNotNull(), F.log1p(F.greatest(x, F.lit(0.0))))
 
 
+def exact4(x: Column) -> Column:
+    """The double nearest to x rounded to 4 places by its exact value, ties to even (Spark's own rounding goes by the
+    shortest decimal, ties away from 0).  What the product loses is found by splitting x (Dekker)."""
+    y = x * 1e4
+    whole = F.floor(y).cast("double")
+    split = x * 134217729.0
+    high = split - (split - x)
+    lost = (high * 1e4 - y) + (x - high) * 1e4
+    part = y - whole
+    up = F.when(part != 0.5, part > 0.5).when(lost != 0, lost > 0).otherwise(whole % 2 != 0)
+    near = (whole + F.when(up, 1.0).otherwise(0.0)) / 1e4
+    return F.when(F.abs(x) < 1e11, F.when((near == 0) & (x < 0), F.lit(-0.0)).otherwise(near)).otherwise(x)
+
+
 def round4(x: Column) -> Column:
     """Rounded to 4 places, 0 for null."""
-    return F.coalesce(F.round(x, 4), F.lit(0.0))
+    return F.coalesce(exact4(x) + F.lit(0.0), F.lit(0.0))
 
 
 def fmt4(x: Column) -> Column:
-    return F.when(x.isNull(), F.lit("N/A")).otherwise(F.format_string("%.4f", x))
+    return F.when(x.isNull(), F.lit("N/A")).otherwise(F.format_string("%.4f", exact4(x)))
 
 
 def fmt_signed4(x: Column) -> Column:
-    return F.when(x.isNull(), F.lit("N/A")).otherwise(F.format_string("%+.4f", x))
+    return F.when(x.isNull(), F.lit("N/A")).otherwise(F.format_string("%+.4f", exact4(x)))
 
 
 def plain_decimal(x: Column) -> Column:
@@ -90,6 +104,11 @@ def pages_of(n: Column, per_page: int = 80) -> Column:
     return F.greatest(F.lit(1).cast("bigint"), F.ceil(n / per_page))
 
 
+def page_count(linked: Column, n: Column, per_page: int = 80) -> Column:
+    """The number of pages of a list: the largest page it links to, else by its count of rows, else 1."""
+    return F.coalesce(F.array_max(linked).cast("bigint"), pages_of(n, per_page), F.lit(1).cast("bigint"))
+
+
 def ellipsis(x: Column, limit: int) -> Column:
     """Stripped text cut to ``limit`` characters, right-stripped and marked."""
     text = strip_u(F.coalesce(x, F.lit("")))
@@ -131,6 +150,20 @@ def suffixed_symbol(symbol: Column) -> Column:
     return F.concat(symbol, F.lit("."), exchange(symbol))
 
 
+def vendor_symbol(symbol: Column, market: Column) -> Column:
+    """The vendor's form of a mainland symbol; others are an error."""
+    return F.when(is_mainland(symbol, market), prefixed_symbol(symbol)).otherwise(F.raise_error(F.concat(F.lit("no vendor form of "), F.coalesce(symbol, F.lit("null")))).cast("string"))
+
+
+def endpoint(market: Column) -> Column:
+    """The vendor's service for a market's daily bars."""
+    return F.when(market == "a", F.lit("stock_zh_a_hist")).otherwise(F.lit("stock_hk_hist"))
+
+
+def upper_symbol(symbol: Column) -> Column:
+    return F.upper(strip_u(symbol))
+
+
 def company_key(sector: Column, name: Column, symbol: Column, market: Column) -> Column:
     return F.concat(sector, F.lit("/"), name, F.lit("("), symbol, F.when(market == "hk", F.lit(".HK")).otherwise(F.lit("")), F.lit(")"))
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from math import ceil, gcd
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 
 def hash_order(key: str | Column, seed: int = 42) -> Column:
     return F.xxhash64(F.col(key) if isinstance(key, str) else key, F.lit(seed))
@@ -44,7 +46,25 @@ def fitted_batch(workers: int, generations: int, wanted: int) -> int:
 def numbered(df: DataFrame, key: str, offset: int, limit: int | None, valid: Column) -> DataFrame:
     """Rows past ``offset`` in key order, of these the first ``limit`` valid ones, with their ordinal among them.
 
-    The offset counts all rows, the limit only valid ones.
+    The offset counts all rows, the limit only valid ones.  Keys are unique; rows without one come first.  The first
+    ``offset`` keys are taken by partial top lists, each of at most as many; the rows themselves aren't sorted for it.
     """
-    rest = df.orderBy(key).offset(offset).filter(valid)
+    skipped = df.select(key).orderBy(F.asc_nulls_first(key)).limit(offset).agg(F.max(key).alias("last"), F.count("*").alias("n")).first()
+    if skipped["n"] < offset:
+        return df.limit(0)
+    rest = df.filter(valid) if skipped["last"] is None else df.filter(F.col(key) > F.lit(skipped["last"])).filter(valid)
     return rest.orderBy(key).limit(limit) if limit is not None else rest
+
+
+def ordinal(df: DataFrame, key: str, name: str = "i") -> DataFrame:
+    """``df`` with each row's number in key order, from 0.
+
+    Rows are sorted in ranges of the key, numbered within their partition and moved by the rows of the partitions
+    before, so no task sees all rows.  The sorted rows are checkpointed: their partitions must not change in between.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    place = F.monotonically_increasing_id()
+    held = df.orderBy(key).withColumns({"_part": F.shiftright(place, 33), "_within": place.bitwiseAND(F.lit((1 << 33) - 1))}).checkpoint()
+    sizes = held.groupBy("_part").agg(F.count("*").alias("_n"))  # a row a partition
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
+    return held.join(F.broadcast(before), "_part").select(*df.columns, (F.col("_before") + F.col("_within")).alias(name))

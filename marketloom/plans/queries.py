@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import answers as A
 from ..functions import html as H
+from ..functions import prompts as P
 from ..functions import scalars as S
-from ..operators import asof, bars as B, merge as M, sampling, scoring, tokens
+from ..operators import asof, bars as B, content, merge as M, sampling, scoring, tokens
 from ..sources import fetch, readers, writers
-from ..streaming import incremental
+from ..streaming import incremental, marks
 from . import datasets as D
 from .views import BARS_SQL, ITEMS_SQL, bars, items, table, universe
 
@@ -93,6 +94,12 @@ def q04_normalized_bars(spark, sf_dir):
 EVERY = "trade_date >= DATE '1900-01-01' AND trade_date < DATE '2100-01-01'"
 SERIES_SQL = f"""{BARS_SQL}, {scaler_sql(EVERY)}, n AS (SELECT symbol, trade_date, close, pct_change, {NORMAL_SQL} FROM bars JOIN s USING (symbol)),
 k AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY symbol) AS n, {', '.join(f'lag(n_close, {i}) OVER w AS l{i}' for i in range(1, 8))}, {', '.join(f'lead(close, {h}) OVER w AS f{h}' for h in (1, 3, 7))} FROM n WINDOW w AS (PARTITION BY symbol ORDER BY trade_date))"""
+
+
+def four_places(x: str) -> str:
+    return f"CAST(printf('%.4f', coalesce({x}, 0)) AS DOUBLE)"
+
+
 AHEAD_SQL = ", ".join(f"CASE WHEN f{h} >= close THEN '涨' ELSE '跌' END AS label_{h}" for h in (1, 3, 7))
 
 
@@ -108,7 +115,7 @@ def q06_multi_horizon_labels(spark, sf_dir):
     return rows.select("symbol", text("trade_date"), "label_1", "label_3", "label_7", F.round(F.col("window")[0]["n_close"], 6).alias("first_close"), F.round(F.col("window")[6]["n_close"], 6).alias("last_close"))
 
 
-@query(f"WITH {SERIES_SQL} SELECT symbol, CAST(trade_date AS VARCHAR) AS trade_date, {AHEAD_SQL}, {', '.join([f'round(coalesce(l{5 - i}, 0), 4) AS d{i}' for i in range(1, 5)])}, round(coalesce(n_close, 0), 4) AS d5 FROM k WHERE k >= 5 AND k <= n - 7")
+@query(f"WITH {SERIES_SQL} SELECT symbol, CAST(trade_date AS VARCHAR) AS trade_date, {AHEAD_SQL}, {', '.join([four_places(f'l{5 - i}') + f' AS d{i}' for i in range(1, 5)])}, {four_places('n_close')} AS d5 FROM k WHERE k >= 5 AND k <= n - 7")
 def q07_kline5_arrays(spark, sf_dir):
     rows = D.horizon_samples(bars(spark, sf_dir), 5, D.half_open(*ALL), D.half_open(*ALL)).withColumn("b", D.rounded_bars(F.col("window")))
     return rows.select("symbol", text("trade_date"), "label_1", "label_3", "label_7", *[F.col("b")[i - 1]["close"].alias(f"d{i}") for i in range(1, 6)])
@@ -367,16 +374,15 @@ def q37_truncate_preview(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", S.ellipsis(F.col("text"), 100).alias("cut"), shown["head"].alias("head"), shown["tail"].alias("tail"))
 
 
-@query("SELECT count(*) FILTER (page_id % 5 <> 0) AS kept, count(*) FILTER (page_id % 5 = 0) AS removed FROM pages")
+@query("SELECT *, '已过滤掉 ' || removed || ' 条 PDF 链接，保留 ' || kept || ' / ' || (kept + removed) || ' 条普通网页结果。' AS note FROM (SELECT count(*) FILTER (page_id % 5 <> 0) AS kept, count(*) FILTER (page_id % 5 = 0) AS removed FROM pages)")
 def q38_pdf_filter(spark, sf_dir):
     url = F.concat("url", F.when(F.col("page_id") % 5 == 0, ".PDF").otherwise(".html"))
-    pdf = F.lower(url).endswith(".pdf")
-    return table(spark, sf_dir, "pages").agg(F.count_if(~pdf).alias("kept"), F.count_if(pdf).alias("removed"))
+    return content.pdf_note(table(spark, sf_dir, "pages").select(url.alias("url")))
 
 
 @query("SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1")
 def q39_status_tally(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
+    return content.tally(table(spark, sf_dir, "orders"), "o_orderstatus")
 
 
 @query("SELECT doc_id FROM (SELECT doc_id, lang FROM documents ORDER BY doc_id OFFSET 50) WHERE lang = 'en' ORDER BY doc_id LIMIT 100")
@@ -396,19 +402,35 @@ def q41_forum_projection(spark, sf_dir):
     return rows.select("url", "post_id", "symbol", F.date_format("publish_time", "yyyy-MM-dd HH:mm:ss").alias("publish_time"), "click_count", "comment_count")
 
 
-@query()
+def quoted(text: str) -> str:
+    """A literal in DuckDB's SQL."""
+    return "'" + text.replace("'", "''") + "'"
+
+
+def four(x: str, sign: str = "") -> str:
+    return f"CASE WHEN {x} IS NULL THEN 'N/A' ELSE printf('%{sign}.4f', {x}) END"
+
+
+PLAIN_SQL = "CASE WHEN amplitude IS NULL THEN 'N/A' WHEN amplitude = 0 THEN '0' ELSE regexp_replace(regexp_replace(CAST(amplitude AS VARCHAR), '0+$', ''), '\\.$', '') END"
+DAY_SQL = " || ', ".join(["'open=' || " + four("n_open"), "high=' || " + four("n_high"), "low=' || " + four("n_low"), "close=' || " + four("n_close"), "volume=' || " + four("n_volume"), f"amplitude=' || {PLAIN_SQL}", "pct_change=' || " + four("n_pct_change", "+"), "turnover=' || " + four("n_turnover")])
+WEEK_SQL = f"""{BARS_SQL}, {scaler_sql(EVERY)}, n AS (SELECT symbol, trade_date, pct_change, amplitude, {NORMAL_SQL} FROM bars JOIN s USING (symbol)),
+d AS (SELECT symbol, trade_date, pct_change, {DAY_SQL} AS day FROM n),
+w AS (SELECT *, CASE WHEN pct_change >= 0 THEN '涨' ELSE '跌' END AS label, row_number() OVER o AS k, {" || chr(10) || ".join(f"'Day{i}: ' || lag(day, {8 - i}) OVER o" for i in range(1, 8))} AS days FROM d WINDOW o AS (PARTITION BY symbol ORDER BY trade_date)),
+p AS (SELECT *, {quoted(P.WEEK_HEADER)} || chr(10) || days || chr(10) || chr(10) || {quoted(P.NEXT_DAY_TAIL)} AS short, {quoted(P.WEEK_HEADER + chr(10) + P.FIELD_NOTE)} || chr(10) || days || chr(10) || chr(10) || {quoted(P.NEXT_DAY_THINK_TAIL)} AS prompt FROM w WHERE k >= 8 AND pct_change IS NOT NULL)"""
+
+
+@query(f"WITH {WEEK_SQL} SELECT symbol, CAST(trade_date AS VARCHAR) AS trade_date, prompt, label AS completion FROM p")
 def q42_prompt_render(spark, sf_dir):
     out = D.kline7(bars(spark, sf_dir), *ALL, kind="eval")
     return out.select("symbol", text("trade_date"), "prompt", F.col("label").alias("completion"))
 
 
-@query()
+@query(f"""WITH {WEEK_SQL}, i AS (SELECT symbol || '-' || strftime(trade_date, '%Y%m%d') AS custom_id, {quoted(P.KNOWN_ANSWER_HEAD)} || label || {quoted(P.KNOWN_ANSWER_TASK)} || short || {quoted(P.KNOWN_ANSWER_TAIL)} AS content FROM p)
+SELECT custom_id, CAST(json_object('custom_id', custom_id, 'method', 'POST', 'url', '/v1/chat/completions', 'body', json_object('model', 'model', 'messages', json_array(json_object('role', 'user', 'content', content)))) AS VARCHAR) AS value FROM i""")
 def q43_batch_jsonl(spark, sf_dir):
-    from ..functions import prompts
-
     out = D.kline7(bars(spark, sf_dir), *ALL)
     custom_id = F.concat("symbol", F.lit("-"), F.date_format("trade_date", "yyyyMMdd"))
-    return out.select(custom_id.alias("custom_id"), writers.request_line(custom_id, "model", prompts.known_answer_message(F.col("prompt"), F.col("label"))).alias("value"))
+    return out.select(custom_id.alias("custom_id"), writers.request_line(custom_id, "model", P.known_answer_message(F.col("prompt"), F.col("label"))).alias("value"))
 
 
 @query()
@@ -444,7 +466,7 @@ def q47_token_window(spark, sf_dir):
     return rows.select("conv_id", "turn", long(F.size("w.input_ids"), "n_input"), long(F.size(F.filter("w.labels", lambda x: x == tokens.IGNORED)), "n_ignored"))
 
 
-@query()
+@query(f"WITH {WEEK_SQL} SELECT symbol, CAST(trade_date AS VARCHAR) AS trade_date, label AS reference, CASE WHEN length(prompt) % 2 = 1 THEN '涨' ELSE '跌' END AS predicted FROM p")
 def q48_offline_predictions(spark, sf_dir):
     """The evaluation loop: samples, prompts, a stand-in for the model, parsed answers."""
     out = D.kline7(bars(spark, sf_dir), *ALL, kind="eval").select("symbol", text("trade_date"), "prompt", F.col("label").alias("reference"))
@@ -452,12 +474,127 @@ def q48_offline_predictions(spark, sf_dir):
     return said.select("symbol", "trade_date", "reference", A.single_label(F.col("raw_output")).alias("predicted"))
 
 
-@query()
+STORED = {"open": "n_open", "high": "n_high", "low": "n_low", "close": "n_close", "volume": "n_volume", "amplitude": "amplitude", "pct_change": "n_pct_change", "turnover": "n_turnover"}
+#: A double's text as Spark writes it, for values of four places.
+STORED_SQL = {name: f"(SELECT CASE WHEN v <> 0 AND abs(v) < 0.001 THEN printf('%.1fE-4', v * 10000) ELSE CAST(v AS VARCHAR) END FROM (SELECT coalesce(CAST(printf('%.4f', {x}) AS DOUBLE), 0) + 0.0 AS v))" for name, x in STORED.items()}
+
+
+def recent_sql(name: str, k: int) -> str:
+    block = "rank || '. 日期=' || CAST(item_date AS VARCHAR) || chr(10) || '标题=' || title || chr(10) || summary"
+    return f"""{name} AS (SELECT symbol, trade_date, '[' || string_agg(CAST(json_object('date', CAST(item_date AS VARCHAR), 'title', title, 'url', url, 'summary', summary) AS VARCHAR), ',' ORDER BY rank) || ']' AS items, string_agg({block}, chr(10) || chr(10) ORDER BY rank) AS told
+  FROM (SELECT a.symbol, a.trade_date, m.*, row_number() OVER (PARTITION BY a.symbol, a.trade_date ORDER BY item_date DESC, url DESC) AS rank FROM anchors a JOIN moved m ON m.symbol = a.symbol AND item_date <= trade_date AND item_date >= trade_date - 30) WHERE rank <= {k} GROUP BY 1, 2)"""
+
+
+MULTI_SQL = f"""WITH {BARS_SQL}, {ITEMS_SQL}, {scaler_sql(CLOSED.replace(START, ALL[0]).replace(BEFORE, ALL[1]))}, n AS (SELECT symbol, trade_date, close, amplitude, {NORMAL_SQL} FROM bars JOIN s USING (symbol)),
+stored AS (SELECT symbol, trade_date, close, {", ".join(f"{x} AS t_{name}" for name, x in STORED_SQL.items())} FROM n),
+told AS (SELECT symbol, trade_date, close, '{{"trade_date":"' || trade_date || '"' || {" || ".join(f"',\"{f}\":' || t_{f}" for f in ("open", "high", "low", "close", "volume", "amplitude", "pct_change", "turnover"))} || '}}' AS bar,
+  'trade_date=' || trade_date || {" || ".join(f"', {f}=' || t_{f}" for f in ("open", "high", "low", "close", "volume", "amplitude", "pct_change", "turnover"))} AS day FROM stored),
+anchors AS (SELECT * FROM (SELECT symbol, trade_date, row_number() OVER o AS k, count(*) OVER (PARTITION BY symbol) AS n, '[' || {" || ',' || ".join(f"lag(bar, {i}) OVER o" for i in (4, 3, 2, 1, 0))} || ']' AS kline_5d, {" || chr(10) || ".join(f"'Day{5 - i}: ' || lag(day, {i}) OVER o" for i in (4, 3, 2, 1, 0))} AS days,
+  {" || '，' || ".join(f"CASE WHEN lead(close, {h}) OVER o >= close THEN '涨' ELSE '跌' END" for h in (1, 3, 7))} AS labels FROM told WINDOW o AS (PARTITION BY symbol ORDER BY trade_date)) WHERE k >= 5 AND k <= n - 7),
+moved AS (SELECT symbol, CAST(item_date + INTERVAL 312 MONTH AS DATE) AS item_date, url, title, summary FROM items), {recent_sql("news", 30)}, {recent_sql("reports", 3)}
+SELECT CAST(a.trade_date AS VARCHAR) AS date, a.symbol AS stock, kline_5d, coalesce(news.items, '[]') AS news, coalesce(reports.items, '[]') AS reports, labels AS future_1_3_7_trade_day_labels,
+  '分析日期：' || a.trade_date || chr(10) || '股票代码：' || a.symbol || chr(10) || chr(10) || '过去5个交易日的归一化K线数据如下：' || chr(10) || {quoted(P.FIELD_NOTE)} || chr(10) || days || chr(10) || chr(10) || '近期新闻摘要如下：' || chr(10) || coalesce(news.told, '无') || chr(10) || chr(10) || '近期研报摘要如下：' || chr(10) || coalesce(reports.told, '无') || chr(10) || chr(10) || {quoted(P.TRAINING_TAIL)} AS prompt
+FROM anchors a LEFT JOIN news ON news.symbol = a.symbol AND news.trade_date = a.trade_date LEFT JOIN reports ON reports.symbol = a.symbol AND reports.trade_date = a.trade_date"""
+
+
+@query(MULTI_SQL)
 def q49_multi_source_samples(spark, sf_dir):
     """The multi-source set over the driver's tables, with the trainer's prompt."""
-    from ..functions import prompts
-
     b, it = bars(spark, sf_dir), items(spark, sf_dir)
     shifted = it.withColumn("item_date", F.add_months("item_date", 12 * 26))
     out = D.kline5_text(b, shifted, shifted, *ALL)
-    return D.encoded(out).select("date", "stock", "kline_5d", "news", "reports", "future_1_3_7_trade_day_labels").join(out.select("date", "stock", prompts.training_prompt(F.col("date"), F.col("stock"), F.col("kline_5d"), F.col("news"), F.col("reports")).alias("prompt")), ["date", "stock"])
+    asked = out.withColumn("prompt", P.training_prompt(F.col("date"), F.col("stock"), F.col("kline_5d"), F.col("news"), F.col("reports")))
+    return D.encoded(asked).select(text("date"), "stock", "kline_5d", "news", "reports", "future_1_3_7_trade_day_labels", "prompt")
+
+
+DOC_URL = "'https://s.example.com/' || coalesce(source, '') || '/' || doc_id"
+
+
+def document_files(spark, sf_dir) -> DataFrame:
+    """Documents as summary files: every eleventh without symbol, every thirteenth with a date that can't be read."""
+    i, url = F.col("doc_id"), F.concat(F.lit("https://s.example.com/"), F.coalesce("source", F.lit("")), F.lit("/"), F.col("doc_id").cast("string"))
+    day = F.when(i % 13 == 0, "2026-02-30").otherwise(F.date_format(F.date_add(F.to_date(F.lit("2025-01-01")), (i % 300).cast("int")), "yyyy-MM-dd"))
+    body = F.when(i % 17 == 0, " ").otherwise(F.coalesce("text", F.lit("")))
+    value = writers.content_text(url, F.concat(F.lit(" t\n"), i.cast("string")), day, body, F.when(i % 11 == 0, "").otherwise(F.coalesce("source", F.lit(""))))
+    return table(spark, sf_dir, "documents").select("doc_id", url.alias("url"), "source", F.concat(F.lit("news/"), i.cast("string"), F.lit(".txt")).alias("path"), value.alias("value"))
+
+
+STRIPPED = r"regexp_replace(regexp_replace(coalesce(text, ''), '^[\s\x1c-\x1f\x85\xa0]+', ''), '[\s\x1c-\x1f\x85\xa0]+$', '')"
+FINE_SQL = "doc_id % 13 <> 0 AND doc_id % 17 <> 0 AND trim(text) <> ''"
+
+
+@query(f"SELECT source AS symbol, CAST(DATE '2025-01-01' + CAST(doc_id % 300 AS INT) AS VARCHAR) AS item_date, {DOC_URL} AS url, 't ' || doc_id AS title, length({STRIPPED}) AS n FROM documents WHERE {FINE_SQL} AND doc_id % 11 <> 0 AND source <> 'src3' AND source <> ''")
+def q50_news_summaries(spark, sf_dir):
+    symbols = table(spark, sf_dir, "documents").filter("source <> 'src3'").select(F.col("source").alias("symbol")).distinct()
+    out = content.summary_items(document_files(spark, sf_dir), symbols)
+    return out.select("symbol", text("item_date"), "url", "title", long(F.char_length("summary"), "n"))
+
+
+@query(f"SELECT 'r' || doc_id % 7 AS symbol, CAST(DATE '2025-01-01' + CAST(doc_id % 300 AS INT) AS VARCHAR) AS item_date, {DOC_URL} AS url, length({STRIPPED}) AS n FROM documents WHERE {FINE_SQL} AND doc_id % 7 <> 0")
+def q51_report_summaries(spark, sf_dir):
+    files = document_files(spark, sf_dir)
+    named = files.select("url", F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.concat(F.lit("r"), (F.col("doc_id") % 7).cast("string"))).alias("symbol"), F.lit(1).alias("pos"))
+    later = named.select("url", F.lit("late").alias("symbol"), F.lit(2).alias("pos")).filter(F.col("symbol") != "late")
+    symbols = spark.range(7).select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("symbol"))
+    out = content.summary_items(files, symbols, named.unionByName(later))
+    return out.select("symbol", text("item_date"), "url", long(F.char_length("summary"), "n"))
+
+
+@query(f"""SELECT 'news/' || doc_id || '.txt' AS path, 'URL=' || {DOC_URL} || chr(10) || CASE WHEN doc_id % 11 = 0 OR coalesce(source, '') = '' THEN '' ELSE 'SYMBOL=' || source || chr(10) END || 'TITLE=t ' || doc_id || chr(10) || 'DATE=' || day || chr(10) || '---' || chr(10)
+  || '时间：' || day || chr(10) || '标题：t ' || doc_id || chr(10) || '主要观点：' || chr(10) || 'summary ' || doc_id || chr(10) AS value FROM (SELECT *, CASE WHEN doc_id % 13 = 0 THEN '2026-02-30' ELSE CAST(DATE '2025-01-01' + CAST(doc_id % 300 AS INT) AS VARCHAR) END AS day FROM documents) WHERE doc_id % 5 <> 0""")
+def q52_summary_files(spark, sf_dir):
+    files = document_files(spark, sf_dir).select("path", "value", "doc_id")
+    said = files.select(F.col("path").alias("custom_id"), F.when(F.col("doc_id") % 5 == 0, " ").otherwise(F.concat(F.lit(" summary "), F.col("doc_id").cast("string"), F.lit("\n"))).alias("completion"))
+    lost = said.select(F.concat(F.lit("gone/"), F.col("custom_id")).alias("custom_id"), "completion")
+    return content.summary_files(said.unionByName(lost), files.select("path", "value"))
+
+
+@query("""SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS i, CAST(row_number() OVER (ORDER BY o_orderkey) + 99 AS VARCHAR) AS custom_id, o_orderkey, CASE WHEN (row_number() OVER (ORDER BY o_orderkey) - 1) % 3 = 0 THEN '' ELSE 'a' || (row_number() OVER (ORDER BY o_orderkey) + 99) END AS completion FROM orders""")
+def q53_batch_completions(spark, sf_dir):
+    rows = sampling.ordinal(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", "i")
+    done = rows.filter("i % 3 <> 0").select((F.col("i") + 100).cast("string").alias("custom_id"), F.concat(F.lit("a"), (F.col("i") + 100).cast("string")).alias("completion"))
+    return content.with_completions(rows, done, 100).select("i", "custom_id", "o_orderkey", "completion")
+
+
+@query("""WITH l AS (SELECT doc_id, 'https://n.example.com/' || (doc_id // 3) AS url, DATE '2025-01-01' + CAST(doc_id % 2 AS INT) AS item_date, source, text FROM documents), o AS (SELECT *, row_number() OVER (PARTITION BY url, item_date ORDER BY source, doc_id) AS r FROM l WHERE source <> ''), c AS (SELECT url, item_date, min(doc_id) AS doc_id FROM l GROUP BY 1, 2)
+SELECT o.source AS symbol, o.url, CAST(o.item_date AS VARCHAR) AS item_date, md5('body ' || o.url) AS body FROM o JOIN c USING (url, item_date) WHERE r = 1 AND c.doc_id % 5 <> 0""")
+def q54_items_with_bodies(spark, sf_dir):
+    i = F.col("doc_id")
+    listed = table(spark, sf_dir, "documents").select(i, F.col("source").alias("symbol"), F.concat(F.lit("https://n.example.com/"), F.floor(i / 3).cast("string")).alias("url"), F.lpad(i.cast("string"), 12, "0").alias("title"), F.date_add(F.to_date(F.lit("2025-01-01")), (i % 2).cast("int")).alias("item_date"))
+    # One cached file for a url and month; here a day stands for the month, so that the key's second part matters.
+    months = listed.withColumn("item_date", F.add_months(F.to_date(F.lit("2025-01-01")), (i % 2).cast("int")))
+    cache = months.groupBy("url", "item_date").agg(F.min("doc_id").alias("doc_id")).select(S.url_key(F.col("url")).alias("url_hash"), F.date_format("item_date", "yyyy-MM").alias("ym"), F.when(i % 5 == 0, " ").otherwise(F.concat(F.lit("body "), F.col("url"))).alias("body"))
+    out = content.with_bodies(months, cache)
+    day = F.date_add(F.to_date(F.lit("2025-01-01")), F.month("item_date") - 1)
+    return out.select("symbol", "url", F.date_format(day, "yyyy-MM-dd").alias("item_date"), F.md5("content").alias("body"))
+
+
+@query("SELECT o_orderkey AS url FROM orders WHERE o_orderkey % 4 <> 0 AND o_orderkey % 3 <> 0")
+def q55_unfetched_content(spark, sf_dir):
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(k, F.when(k % 4 == 0, F.lit(" ")).otherwise(k.cast("string")).alias("url"), F.when(k % 3 == 0, "text").when(k % 3 == 1, "　\n").alias("content"))
+    return content.unfetched(rows).select(F.col("url").cast("bigint").alias("url"))
+
+
+@query("""SELECT doc_id, CASE WHEN m < 3 THEN l[1] || l[2] || l[3] END AS triplet FROM (SELECT doc_id, doc_id % 4 AS m, [CASE WHEN quality = 1 THEN '涨' ELSE '跌' END, CASE WHEN toxic = 1 THEN '涨' ELSE '跌' END, CASE WHEN doc_id % 2 = 0 THEN '涨' ELSE '跌' END] AS l FROM labels)""")
+def q56_reference_of_label_or_completion(spark, sf_dir):
+    m, gold = F.col("doc_id") % 4, F.split("reference", "，")
+    said = F.array(F.struct(F.concat_ws("\n", *[F.concat(F.lit(f"未来{h}个交易日："), gold[k]) for k, h in enumerate(A.HORIZONS)]).alias("content")))
+    rows = answered(spark, sf_dir).select("doc_id", F.when(m == 0, F.col("reference")).when(m == 3, "涨，跌").otherwise(" ").alias("label"), said.alias("completion"))
+    return rows.select("doc_id", F.array_join(A.reference_triplet(F.col("label"), A.completion_text(F.col("completion"), rows.schema["completion"].dataType)), "").alias("triplet"))
+
+
+@query("SELECT event_type AS symbol, CAST(event_id AS VARCHAR) AS url FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY CAST(trunc(value) AS BIGINT) + event_id % 7 DESC, CAST(event_id AS VARCHAR)) AS r FROM events) WHERE r <= 200")
+def q57_consensus_comments(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    posts = e.select(F.col("event_type").alias("symbol"), F.col("event_id").cast("string").alias("url"), F.col("value").cast("string").alias("click_count"), (F.col("event_id") % 7).cast("string").alias("comment_count"))
+    return content.consensus_comments(posts).select("symbol", "url")
+
+
+@query("""WITH m AS (SELECT o_custkey AS company, count(*) AS total, sum(CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END) AS done FROM orders GROUP BY 1) SELECT company, p AS page FROM m, unnest(generate_series(CAST(done AS BIGINT) + 1, total)) t(p) WHERE company % 10 <> 0""")
+def q58_pages_to_fetch(spark, sf_dir):
+    m = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("company")).agg(F.count("*").alias("total"), F.count_if(F.col("o_orderkey") % 2 == 0).alias("done"))
+    pages = F.when(F.col("done") > 0, F.sequence(F.lit(1), F.col("done").cast("int"))).otherwise(F.array().cast("array<int>"))
+    state = F.when(F.col("company") % 3 == 0, F.col("done").cast("string")).when(F.col("company") % 3 == 1, F.to_json(pages)).otherwise(F.to_json(F.struct(F.col("total").alias("total_pages"), pages.alias("completed"))))
+    saved = m.select("company", F.when(F.col("company") % 10 == 0, 10_000).otherwise(9_999).alias("n_rows"))
+    return marks.pages_to_fetch(m.select("company", "total", state.alias("state")), saved).select("company", long(F.col("page"), "page"))

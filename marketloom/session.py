@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import re
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -27,3 +29,13 @@ def load_env(path: str) -> dict[str, str]:
     for key, value in settings.items():
         os.environ.setdefault(key, value)
     return settings
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """The session's spark.checkpoint.dir; on one machine, where it is unset, a folder of our own."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        wanted = spark.conf.get("spark.checkpoint.dir", None)
+        if not wanted and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(wanted or os.path.join(tempfile.gettempdir(), f"marketloom-{uuid.uuid4().hex}"))

@@ -19,8 +19,9 @@ def read_master(spark: SparkSession, path: str, table: str) -> DataFrame:
     """A master CSV with its fixed fields, stripped; absent columns are '', an absent file is an empty table."""
     fields = TABLES[table]
     empty = spark.createDataFrame([], T.StructType([T.StructField(f, T.StringType()) for f in fields]))
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path):
+    from .writers import restore
+
+    if not restore(spark, path):
         return empty
     raw = spark.read.csv(path, header=True, multiLine=True, escape='"', inferSchema=False)
     return raw.select([(S.strip_u(F.coalesce(F.col(f"`{f}`"), F.lit(""))) if f in raw.columns else F.lit("")).alias(f) for f in fields])

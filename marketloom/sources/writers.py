@@ -21,15 +21,36 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def replace_folder(spark: SparkSession, df: DataFrame, path: str, write) -> None:
-    """Write beside ``path``, then rename: readers see the old table or the new one, and ``df`` may read ``path``."""
+    """Write beside ``path``, then rename twice; ``df`` may read ``path``.
+
+    Between the two renames the table isn't there.  If the second fails the old table is put back; if the driver dies
+    between them, ``restore`` puts it back (it is called here and by readers of a missing table).
+    """
+    restore(spark, path)
     staging, old = (f"{path}.{kind}-{uuid.uuid4().hex}" for kind in ("new", "old"))
     write(df, staging)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(hadoop(path)):
-        fs.rename(hadoop(path), hadoop(old))
-    fs.rename(hadoop(staging), hadoop(path))
-    fs.delete(hadoop(old), True)
+    had = fs.exists(hadoop(path))
+    if had and not fs.rename(hadoop(path), hadoop(old)):
+        raise OSError(f"can't move {path} aside")
+    if not fs.rename(hadoop(staging), hadoop(path)):
+        if had and not fs.rename(hadoop(old), hadoop(path)):
+            raise OSError(f"can't put {path} back; it is at {old}")
+        raise OSError(f"can't move the new table to {path}")
+    if had:
+        fs.delete(hadoop(old), True)
+
+
+def restore(spark: SparkSession, path: str) -> bool:
+    """Whether the table is at ``path``; a table left aside by a replacement that didn't end is put back."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    at = hadoop(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(at):
+        return True
+    aside = [x.getPath() for x in fs.globStatus(hadoop(f"{path}.old-*")) or []]
+    return bool(aside) and fs.rename(aside[0], at)
 
 
 def write_master(df: DataFrame, path: str, table: str) -> None:

@@ -12,26 +12,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.merge import insert_if_absent, upsert
-from ..sources.writers import replace_folder
+from ..sources.writers import replace_folder, restore
 
 
-def merge_stream(spark: SparkSession, landing: str, schema: str, target: str, keys: list[str], checkpoint: str, mode: str = "insert", order: str | None = None, after: Callable[[DataFrame], DataFrame] | None = None):
+def merge_stream(spark: SparkSession, landing: str, schema: str, target: str, keys: list[str], checkpoint: str, mode: str = "insert", order: str | None = None, after: Callable[[DataFrame], DataFrame] | None = None, partition: str | None = None, files_a_batch: int | None = None):
     """A started stream of Parquet files in ``landing`` into the Parquet table ``target``; takes what is there and ends.
 
     ``mode`` is insert (existing rows win) or upsert (new rows win, the last by ``order``).  ``after`` is applied to
-    each merged table, for instance to retain only the top comments.
+    each merged table (or merged partitions), for instance to retain only the top comments.  ``files_a_batch`` bounds
+    what is merged at once.
+
+    With ``partition``, a column that a row's keys determine (a day or month), the table is partitioned by it and a
+    batch reads and rewrites only the partitions it touches.  Without, it rewrites the table: for small tables.
     """
 
     def merge(part: DataFrame, _: int) -> None:
         own = part.sparkSession
-        path = own._jvm.org.apache.hadoop.fs.Path(target)
-        there = path.getFileSystem(own._jsc.hadoopConfiguration()).exists(path)
-        existing = own.read.parquet(target) if there else part.limit(0)
-        by = [order] if order else keys
-        merged = (insert_if_absent if mode == "insert" else upsert)(existing, part, keys, *by)
-        replace_folder(own, after(merged) if after else merged, target, lambda df, p: df.write.parquet(p))
-
-    stream = spark.readStream.schema(schema).parquet(landing)
+        there, by = restore(own, target), [order] if order else keys
+        existing = own.read.schema(part.schema).parquet(target).select(part.columns) if there else part.limit(0)
+        if partition is None:
+            merged = (insert_if_absent if mode == "insert" else upsert)(existing, part, keys, *by)
+            return replace_folder(own, after(merged) if after else merged, target, lambda df, p: df.write.parquet(p))
+        touched = [r[0] for r in part.select(partition).distinct().collect()]  # as many as the batch has days
+        here = F.col(partition).isin([x for x in touched if x is not None])
+        merged = (insert_if_absent if mode == "insert" else upsert)(existing.filter(here | F.col(partition).isNull() if None in touched else here), part, keys, *by)
+        rows = after(merged) if after else merged
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(target)
+
+    stream = spark.readStream.schema(schema)
+    stream = (stream.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else stream).parquet(landing)
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
