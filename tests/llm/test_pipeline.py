@@ -2,6 +2,8 @@ import hashlib
 import re
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from marketloom.llm import bpe_codec, toxicity
 from marketloom.llm.common import crc_bucket
 
@@ -55,6 +57,37 @@ def test_near_duplicates_with_repeated_and_null_ids(spark):
     assert sorted(map(str, kept)) == sorted(map(str, wanted))
 
 
+def stages_of(spark, docs):
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SMALL)
+        yield name, docs
+
+
+def test_stages_of_an_empty_table(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(0)
+    for name, out in stages_of(spark, docs):
+        assert out.count() == 0 and (name == "bpe" or out.columns == corpus_pipeline.COLUMNS)
+
+
+def test_stages_with_null_columns_and_clashing_names(spark):
+    own = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, None, None, None, None), (None, own, None, None, None), (1, own, "en", None, 9), (2, "", None, "s", None), (3, None, "en", "s", 0), (4, "x " * 60_000, "en", "s", 120_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("kept", "n_dropped", "key", "host", "lines", "score", "component_id", "row_key", "text_hash", "words", "ids"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    counts = {name: out.count() for name, out in stages_of(spark, docs)}
+    assert counts == {"toxicity": 6, "line_dedup": 6, "near_duplicates": 5, "decontamination": 5, "bpe": 5}  # of the two copies one stays
+
+
+def test_run_removes_the_rows_of_earlier_stages(spark):
+    import glob
+
+    before = set(glob.glob(f"{spark.sparkContext.getCheckpointDir().removeprefix('file:')}/corpus-*")) if spark.sparkContext.getCheckpointDir() else set()
+    corpus_pipeline.run(spark, SMALL).count()
+    new = set(glob.glob(f"{spark.sparkContext.getCheckpointDir().removeprefix('file:')}/corpus-*")) - before
+    assert [sorted(p.split("/")[-1] for p in glob.glob(f"{x}/*")) for x in new] == [["decontamination"]]
+
+
 def test_each_stage_against_a_plain_version(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     rows = {r["doc_id"]: r["text"] for r in docs.collect()}
