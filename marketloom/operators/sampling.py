@@ -29,6 +29,11 @@ def split(df: DataFrame, key: str, ratio: float = 0.01, seed: int = 42) -> tuple
     return df.filter(~held), df.filter(held)
 
 
+def first_rows(df: DataFrame, key: str, n: int | None) -> DataFrame:
+    """The first ``n`` rows in key order; all without ``n``."""
+    return df if n is None else df.orderBy(key).limit(n)
+
+
 def subset_size(n: int, ratio: float) -> int:
     return min(max(ceil(n * ratio), 1), n)
 

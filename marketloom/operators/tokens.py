@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 IGNORED = -100
@@ -24,5 +26,18 @@ def training_window(prompt: Column, response: Column, max_length: int) -> Column
     return F.struct(ids.alias("input_ids"), F.transform(ids, lambda _: F.lit(1)).alias("attention_mask"), F.concat(ignored, answer).alias("labels"))
 
 
+def templated(df: DataFrame, render: Callable[[str], str], encode: Callable[[str], list[int]], decode: Callable[[list[int]], str], most: int, column: str = "prompt") -> DataFrame:
+    """``df`` with ``column`` put through a chat template (``render`` takes the stripped text) and, where that has more
+    than ``most`` tokens, cut to the last of them."""
+
+    def run(batches):
+        for part in batches:
+            shown = [render((text or "").strip()) for text in part[column]]
+            ids = [encode(text) for text in shown]
+            yield part.assign(**{column: [decode(i[-most:]) if len(i) > most else text for i, text in zip(ids, shown)]})
+
+    return df.mapInPandas(run, df.schema)
+
+
 def padded(ids: Column, length: Column, value: int) -> Column:
     return F.concat(ids, F.array_repeat(F.lit(value), F.greatest(F.lit(0), length - F.size(ids))))

@@ -20,6 +20,34 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True, escape='"', quote='"', emptyValue="", nullValue="")
 
 
+def write_dataset(df: DataFrame, path: str, *order: str) -> None:
+    """A training set as CSV in its order, each file with a header, lines ending in CR LF (those within values stay)."""
+    line = F.to_csv(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"quote": '"', "escape": '"', "emptyValue": "", "nullValue": ""})
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    rows = df.orderBy(*order).select(F.when(first, F.concat(F.lit(",".join(df.columns) + "\r\n"), line)).otherwise(line).alias("value"))
+    rows.write.mode("overwrite").option("lineSep", "\r\n").text(path)
+
+
+def export_files(files: DataFrame, folder: str) -> None:
+    """Write (path, value) as text files under ``folder``, which all executors must share.  A file appears whole, and
+    one that is written again by a repeated task is the same."""
+
+    def write(rows) -> None:
+        import os
+
+        for r in rows:
+            target = os.path.normpath(os.path.join(folder, r["path"]))
+            if not target.startswith(os.path.normpath(folder) + os.sep):
+                raise ValueError(f"{r['path']} leaves {folder}")
+            os.makedirs(os.path.dirname(target), exist_ok=True)
+            staging = f"{target}.{uuid.uuid4().hex}"
+            with open(staging, "w", encoding="utf-8", newline="") as out:
+                out.write(r["value"])
+            os.replace(staging, target)
+
+    files.select("path", "value").foreachPartition(write)
+
+
 def replace_folder(spark: SparkSession, df: DataFrame, path: str, write) -> None:
     """Write beside ``path``, then rename twice; ``df`` may read ``path``.
 

@@ -160,3 +160,74 @@ def test_four_places_by_the_exact_value(spark):
     df = spark.createDataFrame([(x,) for x in values], "x double")
     for r in df.select("x", S.fmt4(F.col("x")).alias("a"), S.fmt_signed4(F.col("x")).alias("b"), S.round4(F.col("x")).alias("c")).collect():
         assert (r["a"], r["b"]) == (f"{r['x']:.4f}", f"{r['x']:+.4f}") and (abs(r["x"]) > 1e11 or r["c"] == round(r["x"], 4))
+
+
+def test_section_summaries_and_predictions(spark):
+    from marketloom.plans import live
+
+    kind = "symbol string, name string, items array<struct<date: string, title: string, content: string>>"
+    df = spark.createDataFrame([("s", "n", [("d", "t", "c")])], kind)
+    echo = lambda texts: [f" {t} " for t in texts]
+    assert live.section_summaries(df, " News ", echo, "look").first()["summary"] == "股票：n（s）\nlook\n1. 日期=d\n标题=t\n正文=c"
+    with pytest.raises(ValueError):
+        live.section_summaries(df, "weather", echo)
+    with pytest.raises(Exception, match="nothing to summarise"):
+        live.section_summaries(spark.createDataFrame([("s", "n", [])], kind), "news", echo).collect()
+    with pytest.raises(Exception, match="no answer"):
+        live.section_summaries(df, "news", lambda texts: [" "] * len(texts)).collect()
+    bars = "kline array<struct<trade_date: string, open: double, close: double, high: double, low: double, change_amount: double, pct_change: double, volume: double, amount: double>>"
+    rows_ = spark.createDataFrame([("s", "n", [("d", 1.0, 2.0, 3.0, 0.5, 1.0, 2.0, 9.0, 8.0)], " up ", None, "")], f"symbol string, name string, {bars}, news_summary string, reports_summary string, serp_summary string")
+    told = live.trend_predictions(rows_, echo).first()["prediction"]
+    assert "新闻 Summary：\nup" in told and told.count("未提供") == 2 and "1. 日期=d 开=1.0" in told
+    with pytest.raises(Exception, match="no bars"):
+        live.trend_predictions(rows_.withColumn("kline", F.filter("kline", lambda x: F.lit(False))), echo).collect()
+
+
+def test_newest_comments_are_limited_in_page_order(spark):
+    from marketloom.plans import live
+
+    posts = [("s", 1, 0, "a", "2026-01-01"), ("s", 1, 1, "b", "2026-01-03"), ("s", 1, 2, "a", "2026-01-09"), ("s", 2, 0, "c", "2026-01-02"), ("s", 2, 1, "d", "2026-01-08"), ("s", 4, 0, "e", "2026-02-01"), ("s", 1, 3, " ", "2026-01-01")]
+    got = live.newest_comments(spark.createDataFrame(posts, "symbol string, page int, pos int, url string, publish_time string"), limit=3)
+    assert [(r["rank"], r["url"]) for r in got.orderBy("rank").collect()] == [(1, "b"), (2, "c"), (3, "a")]
+
+
+def test_search_results_with_the_text_of_their_pages(spark):
+    from marketloom.plans import live
+
+    pages = {"u1": "<article><p>a long enough paragraph</p></article>", "u2": ""}
+    found = spark.createDataFrame([("u1", 1), ("u2", 2), ("u1", 3)], "url string, position int")
+    got = live.with_contents(found, lambda r: [{"url": r["url"], "html": pages[r["url"]]}])
+    assert rows(got.select("position", "content")) == [(1, "a long enough paragraph"), (2, ""), (3, "a long enough paragraph")]
+
+
+def test_dataset_files_and_exports(spark, tmp_path):
+    df = spark.createDataFrame([(2, 'b "x"\ny'), (1, "a")], "i int, t string")
+    writers.write_dataset(df.coalesce(1), str(tmp_path / "set"), "i")
+    text = "".join(open(f"{tmp_path}/set/{f}", newline="").read() for f in sorted(os.listdir(tmp_path / "set")) if f.startswith("part"))
+    assert [x for x in text.split("\r\n") if x and x != "i,t"] == ["1,a", '2,"b ""x""\ny"']
+    files = spark.createDataFrame([("news/2026-01/x.txt", "héllo\n"), ("report/y.txt", "")], "path string, value string")
+    for _ in range(2):
+        writers.export_files(files, str(tmp_path / "out"))
+    assert open(tmp_path / "out/news/2026-01/x.txt", encoding="utf-8").read() == "héllo\n" and os.listdir(tmp_path / "out/report") == ["y.txt"]
+    with pytest.raises(Exception, match="leaves"):
+        writers.export_files(spark.createDataFrame([("../z.txt", "")], "path string, value string"), str(tmp_path / "out"))
+
+
+def test_chat_template_before_the_cut(spark):
+    from marketloom.operators import tokens
+
+    df = spark.createDataFrame([(1, " abc "), (2, "a" * 20), (3, None)], "i int, prompt string")
+    out = tokens.templated(df, lambda t: f"<{t}>", lambda t: [ord(c) for c in t], lambda ids: "".join(map(chr, ids)), 10)
+    assert rows(out) == [(1, "<abc>"), (2, "a" * 9 + ">"), (3, "<>")]
+
+
+def test_resume_and_shares(spark):
+    from marketloom.operators import scoring
+
+    paths = spark.createDataFrame([("o/checkpoint-5",), ("o/checkpoint-40/",), ("o/other",)], "path string")
+    assert scoring.resume_from(" None ", paths) is None and scoring.resume_from("auto", paths) == "o/checkpoint-40/" and scoring.resume_from("checkpoint-5", paths) == "o/checkpoint-5"
+    assert scoring.resume_from("auto", paths.limit(0)) is None
+    with pytest.raises(ValueError):
+        scoring.resume_from("checkpoint-6", paths)
+    assert scoring.trainable_share(spark.createDataFrame([(1, True), (3, False)], "n long, trainable boolean")).first()["percent"] == 25.0
+    assert [r["k"] for r in sampling.first_rows(spark.createDataFrame([(3,), (1,), (2,)], "k int"), "k", 2).collect()] == [1, 2]
