@@ -17,13 +17,13 @@ Buckets with over ``HOT_BUCKET`` members are split; their probes go to each part
 yield fewer than ``k`` neighbours is searched against all rows, in blocks.  Nothing is capped or dropped.
 
 Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do those whose length is
-not the table's most common one.  Ties go to the smaller id.  Ids are taken as unique; rows without id take no part.
+not the table's most common one.  Ties go to the smaller id.  Rows without id take no part.  Of rows with one id the one
+with the smallest vector (as an array) counts, once.  Extra columns are not used.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +52,15 @@ def usable(df: DataFrame, is_query: Column) -> DataFrame:
     return df.select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("embedding"), is_query.alias("is_query")).filter(F.col("vec_id").isNotNull()).filter(fine)
 
 
+def once(rows: DataFrame) -> DataFrame:
+    """One row an id.  Only ids are shuffled, unless some repeat: then their rows are."""
+    repeated = rows.groupBy("vec_id").agg(F.count("*").alias("n")).filter("n > 1").select("vec_id")
+    if repeated.isEmpty():
+        return rows
+    first = rows.join(repeated, "vec_id", "left_semi").groupBy("vec_id").agg(F.min("embedding").alias("embedding"), F.bool_or("is_query").alias("is_query"))
+    return rows.join(repeated, "vec_id", "left_anti").unionByName(first)
+
+
 def cells(points: np.ndarray, table: int, hashes: int, width: float) -> np.ndarray:
     """Position of each point along each projection of a table, in cells."""
     rng = np.random.default_rng([SEED, table])
@@ -66,13 +75,18 @@ def bucket_keys(cell: np.ndarray) -> np.ndarray:
 
 
 def probe_order(inside: np.ndarray, probes: int) -> np.ndarray:
-    """For each query (rows: position within its cell, 0 to 1) the ``probes`` best perturbations, best first."""
-    steps = np.array(list(product((-1, 0, 1), repeat=inside.shape[1])), np.int8)
-    cost = np.zeros((len(inside), len(steps)))
-    by_step = np.stack([inside**2, np.zeros_like(inside), (1 - inside) ** 2], -1)
-    for j in range(inside.shape[1]):
-        cost += by_step[:, j, steps[:, j] + 1]
-    return steps[np.argsort(cost, axis=1, kind="stable")[:, :probes]]
+    """For each query (rows: position within its cell, 0 to 1) the ``probes`` best perturbations, best first.
+
+    Projection by projection: the best perturbations of the first j go on from the best of the first j - 1, so the work
+    grows with the number of hashes, not with the number of perturbations.
+    """
+    cost, steps = np.zeros((len(inside), 1)), np.zeros((len(inside), 1, 0), np.int8)
+    for x in inside.T:
+        total = (cost[:, :, None] + np.stack([x**2, np.zeros_like(x), (1 - x) ** 2], -1)[:, None, :]).reshape(len(x), -1)
+        kept = np.argsort(total, axis=1, kind="stable")[:, :probes]
+        cost = np.take_along_axis(total, kept, axis=1)
+        steps = np.concatenate([np.take_along_axis(steps, kept[:, :, None] // 3, axis=1), (kept % 3 - 1).astype(np.int8)[:, :, None]], axis=2)
+    return steps
 
 
 def tuned_width(queries: np.ndarray, asked_by: np.ndarray, members: np.ndarray, first: int, tables: int, hashes: int, width: float, probes: int) -> float | None:
@@ -178,7 +192,7 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
 def nearest(df: DataFrame, is_query: Column, k: int = 20, tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH, probes: int = PROBES, small: int = SMALL_BAND) -> DataFrame:
     """query_id, rank, vec_id and score of the ``k`` nearest found for each row where ``is_query`` holds."""
     kind = "f4" if "float" in dict(df.dtypes)["embedding"] else "f8"
-    rows = usable(df, is_query)
+    rows = once(usable(df, is_query))
     square = F.aggregate(F.col("embedding"), F.lit(0.0), lambda a, x: a + x.cast("double") * x)
     facts = rows.groupBy(F.size("embedding").alias("dims")).agg(F.count("*").alias("n"), F.max(square).alias("largest")).orderBy(F.desc("n"), "dims").first()
     empty = df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")

@@ -307,6 +307,45 @@ def test_nearest_of_uneven_norms(spark):
         assert hits / 2000 >= 0.93
 
 
+def test_probes_come_in_order_of_success():
+    from itertools import product
+
+    rng = np.random.default_rng(9)
+    inside = rng.uniform(0, 1, (12, 5))
+    for x, found in zip(inside, ann.probe_order(inside, 18)):
+        costs = {step: sum({-1: p**2, 0: 0, 1: (1 - p) ** 2}[s] for s, p in zip(step, x)) for step in product((-1, 0, 1), repeat=5)}
+        assert np.allclose([costs[tuple(s)] for s in found.tolist()], sorted(costs.values())[:18])
+    assert ann.probe_order(rng.uniform(0, 1, (3, 40)), 18).shape == (3, 18, 40)  # no list of all perturbations
+
+
+def test_nearest_with_repeated_ids(spark):
+    rng = np.random.default_rng(3)
+    points = rng.standard_normal((1500, 8))
+    rows = [(i, p.tolist()) for i, p in enumerate(points)]
+    other = [(7, [9.0] * 8), (40, [-9.0] * 8), (41, points[41].tolist())]
+    one = {i: min(v for j, v in rows + other if j == i) for i, _ in rows}
+    df = spark.createDataFrame(rows + other, "vec_id long, embedding array<double>")
+    found = ann.nearest(df, F.col("vec_id") % 500 == 0).collect()
+    assert len(found) == 60 and len({(r["query_id"], r["vec_id"]) for r in found}) == 60
+    assert all(abs(r["score"] - np.dot(one[r["query_id"]], one[r["vec_id"]])) < 1e-9 for r in found)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_recall_on_the_tables_own_vectors(spark, sf):
+    df = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+    rows = df.select("vec_id", "embedding").toArrow()
+    ids, points = rows.column("vec_id").to_numpy(), np.array(rows.column("embedding").to_pylist(), np.float64)
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in got:
+        scores = points @ points[ids == q][0]
+        scores[ids == q] = -np.inf
+        hits += len(got[q] & set(ids[np.argsort(-scores, kind="stable")[:20]].tolist()))
+    assert set(got) == {int(i) for i in ids if i % 20 == 0} and hits / (20 * len(got)) >= 0.9
+
+
 def plain_stems(text):
     """Counts of the first four letters of each word; each letter without case begins a term of two."""
     out, low = {}, text.lower()
