@@ -43,7 +43,7 @@ FILTER_BITS = 1 << 23
 #: Classes and n-grams of a block.
 BLOCK_CLASSES, BLOCK_GRAMS = 512, 2_000_000
 #: First n-grams that a slot holds on average at most (a worker sorts one slot at a time), and parts into which the rows
-#: of a component are dealt for joins, so that a large component meets in no single task.
+#: of a component or class are dealt for joins, so that a large one meets in no single task.
 SLOT_GRAMS, SALT = 4_000_000, 16
 #: Lists of an n-gram up to this long are looked at pair by pair.
 SHORT_LIST = 12
@@ -267,7 +267,7 @@ class Join:
         beyond = parts.select("root", (F.col("level") + 1).alias("level"), F.col("parts").alias("parts_below"))
         above = parts.select("root", (F.col("level") - 1).alias("level"), F.col("parts").alias("parts_above"))
         cutting = large.join(parts, "root").join(beyond, ["root", "level"], "left").join(above, ["root", "level"], "left")
-        placed = salted(sized).join(copied(cutting), ["root", "level", "salt"], "left").drop("salt")
+        placed = salted(sized, "cls").join(copied(cutting), ["root", "level", "salt"], "left").drop("salt")
         own = F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")
         place = lambda level, i: F.concat_ws(":", level, i)
         me = place(F.col("level"), own)
@@ -289,12 +289,12 @@ class Join:
         return filled.mapInArrow(tidy(multiply), "a long, b long")
 
 
-def salted(df: DataFrame) -> DataFrame:
-    return df.withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALT)).cast("int"))
+def salted(df: DataFrame, by: str) -> DataFrame:
+    return df.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALT)).cast("int"))
 
 
 def copied(df: DataFrame) -> DataFrame:
-    """A copy of each row for each part: for tables with a row a component, or a few."""
+    """A copy of each row for each part: for tables with a row a component or a class."""
     return df.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALT)))))
 
 
@@ -385,7 +385,7 @@ def jaccard_join(documents: DataFrame, n: int = WORDS, percent: int = PERCENT) -
     join = Join(documents, n, percent)
     first = cut(join.first_pass())
     rows = first.filter("n_shingles is not null").select("doc_id", "n_shingles", "cls")
-    classes = rows.filter("cls is not null").groupBy("cls").agg(F.first("n_shingles").alias("n_shingles"), F.min("doc_id").alias("least"))
+    classes = rows.filter("cls is not null").groupBy("cls").agg(F.first("n_shingles").alias("n_shingles"), F.min("doc_id").alias("least"), F.count("*").alias("n_rows"))
     level = F.floor(F.log2(1 + F.sum("n"))).cast("byte")
     counted = first.filter("slot is not null").groupBy("slot").agg(level.alias("level")).toArrow()  # COUNT_SLOTS rows at most
     levels = np.zeros(COUNT_SLOTS, np.uint8)
@@ -399,6 +399,8 @@ def jaccard_join(documents: DataFrame, n: int = WORDS, percent: int = PERCENT) -
     # Components of one class need no join; the others' rows are dealt over parts.
     linked_ = roots_of.join(classes.select("cls", "least"), "cls")
     ids = linked_.groupBy("root").agg(F.min("least").alias("component_id"))
-    joined = salted(roots_of).join(copied(ids), ["root", "salt"]).select("cls", "component_id")
-    final = classes.select("cls", "least").join(joined, "cls", "left").select("cls", F.coalesce("component_id", "least").alias("component_id"))
-    return rows.join(final, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    joined = salted(roots_of, "cls").join(copied(ids), ["root", "salt"]).select("cls", "component_id")
+    named = classes.join(joined, "cls", "left").filter("n_rows > 1 or component_id is not null").select("cls", F.coalesce("component_id", "least").alias("component_id"))
+    # So are the copies of a text.
+    out = salted(rows, "doc_id").join(copied(named), ["cls", "salt"], "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
