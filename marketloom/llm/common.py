@@ -14,6 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of input a core up to which a table is dealt anew, and statistics that stand for plans of unknown size.
+SMALL_PART, UNKNOWN_SIZE = 4_000_000, 1 << 60
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -72,11 +76,23 @@ def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(columns, schema)], schema=schema)
 
 
+def known_size(df: DataFrame) -> int | None:
+    """Bytes that ``df`` reads, by its plan's statistics; None if they don't know."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < UNKNOWN_SIZE else None
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores, if it is so small that its files may not be split over them."""
+    cores, size = df.sparkSession.sparkContext.defaultParallelism, known_size(df)
+    return df.repartition(cores) if size is not None and size <= SMALL_PART * cores else df
+
+
 def crc_bucket(column: str, modulus: int):
     """crc32 of the id as text, modulo ``modulus``; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)
 
 
 def plain_ids(df: DataFrame, name: str) -> DataFrame:
-    """Only the id and text columns of an input, whatever else it carries."""
-    return df.select(F.col(name).cast("long").alias(name), F.col("text").cast("string").alias("text"))
+    """Only the id and text columns of an input, whatever else it carries, over all cores."""
+    return spread(df.select(F.col(name).cast("long").alias(name), F.col("text").cast("string").alias("text")))

@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import plain_ids
+
 WIDTH, N_RAREST = 10, 2
 #: Bits of the bitmap of wanted terms (a multiple of 64), and parts of a term's list, where the windows aren't broadcast.
 BITMAP, SALT = 1 << 20, 8
@@ -63,8 +65,7 @@ class Index:
     """Postings of the training text for the terms of a set of test items."""
 
     def __init__(self, documents: DataFrame, items: DataFrame, width: int = WIDTH, n_rarest: int = N_RAREST):
-        text = F.col("text").cast("string")
-        self.tokens = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), words_of(text).alias("words"))
+        self.tokens = plain_ids(documents, "doc_id").select("doc_id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("words"))
         n_bytes = items.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
         self.is_small = n_bytes <= BROADCAST_BYTES
         self.windows, self.width, self.n_rarest = windows_of(items, width), width, n_rarest

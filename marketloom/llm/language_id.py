@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, slices, texts
+from .common import batch, plain_ids, slices, spread, texts
 
 GRAMS = 1 << 15
 SHARPNESS, AMBIGUOUS, UNKNOWN = 20.0, 0.1, "und"
@@ -130,6 +130,7 @@ def by_language(b: pa.RecordBatch) -> Iterator[tuple[str, list[str]]]:
 def fit(training: DataFrame) -> Model:
     """Learn from all rows of ``training`` (text, lang) with a text and a language."""
     rows = training.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("text is not null and lang is not null")
+    rows = spread(rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
@@ -189,5 +190,4 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
             out = [p for s, e in stretches(rows) for p in held.value.predict(rows[s:e])]
             yield batch(PREDICTED, b.column("doc_id"), *([p[k] for p in out] for k in range(3)))
 
-    picked = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, lang_pred string, score double, ambiguous boolean")
+    return plain_ids(documents, "doc_id").mapInArrow(run, "doc_id long, lang_pred string, score double, ambiguous boolean")

@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import spread
+
 RATIO, MIN_PAGES = 0.1, 2
 
 UNSEEN = r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->"
@@ -66,7 +68,7 @@ def line_dedup(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGE
 def page_lines(pages: DataFrame) -> DataFrame:
     """(key, host, lines) of raw web pages (page_id, url, html)."""
     lines = F.coalesce(html_lines(F.col("html").cast("string")), F.array().cast("array<string>"))
-    return pages.select(F.col("page_id").cast("long").alias("key"), host_of(F.col("url").cast("string")).alias("host"), lines.alias("lines"))
+    return spread(pages.select("page_id", "url", "html")).select(F.col("page_id").cast("long").alias("key"), host_of(F.col("url").cast("string")).alias("host"), lines.alias("lines"))
 
 
 def document_lines(documents: DataFrame) -> DataFrame:

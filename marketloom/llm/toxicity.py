@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, plain_ids, slices, texts, tidy
+from .common import batch, plain_ids, slices, spread, texts, tidy
 
 N_EXAMPLES, STEM, IDF_POWER = 4_000, 4, 1.5
 #: Examples of a block, share of the examples from which on a term is frequent, hashed slots of terms without example.
@@ -267,7 +267,7 @@ def document_frequencies(documents: DataFrame, model: Model) -> tuple[np.ndarray
         at = np.flatnonzero(df)
         yield batch(COUNTS, pa.array(at, pa.int32()), pa.array(df[at]))
 
-    found = documents.select(F.col("text").cast("string").alias("text")).mapInArrow(tidy(run), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    found = spread(documents.select(F.col("text").cast("string").alias("text"))).mapInArrow(tidy(run), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(size + 1, np.int64)
     out[found.column("term").to_numpy()] = found.column("n").to_numpy()
     return out[:-1], int(out[-1])
@@ -374,4 +374,4 @@ def without_toxic(documents: DataFrame, model: Model, threshold: float = 0.5) ->
             scores = [value for value, _, _ in index.read(texts(b.column("text")))]
             yield b.filter(pa.array(np.concatenate(scores) < threshold if scores else [], pa.bool_()))
 
-    return documents.mapInArrow(tidy(run), documents.schema)
+    return spread(documents).mapInArrow(tidy(run), documents.schema)
