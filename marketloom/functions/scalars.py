@@ -64,17 +64,23 @@ def exact4(x: Column) -> Column:
     return F.when(F.abs(x) < 1e11, F.when((near == 0) & (x < 0), F.lit(-0.0)).otherwise(near)).otherwise(x)
 
 
+def near_tie(x: Column) -> Column:
+    """Whether x lies so near the middle of two values of 4 places that Spark's own rounding may be off."""
+    y = x * 1e4
+    return F.abs(y - F.floor(y) - 0.5) < 1e-6 + F.abs(y) * 1e-15
+
+
 def round4(x: Column) -> Column:
     """Rounded to 4 places, 0 for null."""
-    return F.coalesce(exact4(x) + F.lit(0.0), F.lit(0.0))
+    return F.coalesce(F.when(near_tie(x), exact4(x) + F.lit(0.0)).otherwise(F.round(x, 4)), F.lit(0.0))
 
 
-def fmt4(x: Column) -> Column:
-    return F.when(x.isNull(), F.lit("N/A")).otherwise(F.format_string("%.4f", exact4(x)))
+def fmt4(x: Column, form: str = "%.4f") -> Column:
+    return F.when(x.isNull(), F.lit("N/A")).when(near_tie(x), F.format_string(form, exact4(x))).otherwise(F.format_string(form, x))
 
 
 def fmt_signed4(x: Column) -> Column:
-    return F.when(x.isNull(), F.lit("N/A")).otherwise(F.format_string("%+.4f", exact4(x)))
+    return fmt4(x, "%+.4f")
 
 
 def plain_decimal(x: Column) -> Column:
