@@ -14,7 +14,10 @@ strings mostly share an anchor, so there is about one anchor for every ``(length
     those that a smaller document holds are removed.
 4.  The removed ranges go to the texts.
 
-Steps move packed arrays by a number of slots (``spark.sql.shuffle.partitions``), each small enough for a task.
+Steps move packed arrays by a number of slots: ``spark.sql.shuffle.partitions``, or more where the plan's statistics
+say that the input is large, so that a slot, which a worker holds whole, stays small.  An anchor's strings meet in one
+slot, less those settled before: where a passage stands in very many documents amid ever other words, the strings at
+its two ends that cover such words all go to that slot.
 Null and empty texts, and texts shorter than ``length``, lose nothing.  Rows without id come after all others; rows
 with one id do not count as each other's source.
 """
@@ -31,13 +34,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, plain_ids
+from .common import batch, known_size, plain_ids
 from .rolling import between, mix, prefix_hashes
 from .suffix_sort import Comparer, equal_runs
 
 LENGTH, ANCHOR = 50, 24
 #: Bytes of text hashed together, anchors packed together, strings sorted together.
 STRETCH, PACKED, SORTED = 1_000_000, 1_500_000, 250_000
+#: Bytes of input (as the plan's statistics count them) for a slot.
+SLOT_BYTES = 16_000_000
 #: Stands for a null id: after all others.
 NO_ID = np.iinfo(np.int64).max
 PARCEL = pa.schema([("slot", pa.int32()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("x", pa.binary()), ("y", pa.binary()), ("z", pa.binary())])
@@ -146,7 +151,8 @@ class Dedup:
     def __init__(self, documents: DataFrame, length: int = LENGTH):
         self.rows, self.length = plain_ids(documents, "doc_id"), length
         self.anchor = min(ANCHOR, length)
-        self.slots = min(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), 60_000)
+        wanted = -(-(known_size(documents) or 0) // SLOT_BYTES)
+        self.slots = min(max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), wanted), 60_000)
 
     def dealt(self, parcels_: DataFrame) -> DataFrame:
         """Parcels of a slot together, by kind; texts with one id one after the other, always in the same order."""

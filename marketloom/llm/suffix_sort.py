@@ -3,13 +3,16 @@
 Two substrings are compared by their longest common extension, found by binary search over prefix polynomial hashes:
 logarithmically many look-ups for any length.  A bottom-up mergesort works on all groups of substrings at once, one
 array step a level; equal neighbours are verified byte by byte, so a collision of hashes can't pass for a match.
+Substrings whose hash no other of their group has are equal to none, and are left out of the sort.
 """
 
 from __future__ import annotations
 
+from copy import copy
+
 import numpy as np
 
-from .rolling import between, prefix_hashes
+from .rolling import between, mix, prefix_hashes
 
 
 class Comparer:
@@ -20,6 +23,12 @@ class Comparer:
         self.prefix = prefix_hashes(data)
         self.hashes = between(self.prefix, starts, starts + lengths)
 
+    def take(self, at: np.ndarray) -> Comparer:
+        """The comparer of some of the substrings."""
+        out = copy(self)
+        out.starts, out.lengths, out.hashes = self.starts[at], self.lengths[at], self.hashes[at]
+        return out
+
     def extension(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
         """Length of the longest common extension from each pair of places, up to ``most``."""
         low, high = np.zeros(len(a), np.int64), most.copy()
@@ -96,13 +105,31 @@ def sort_groups(compare: Comparer, group: np.ndarray) -> np.ndarray:
     return order
 
 
+def may_repeat(hashes: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Numbers of the substrings whose hash another of their group may have; the others are equal to none."""
+    keys = mix(hashes + mix(group.astype(np.uint64)))
+    size = 1 << max(int(4 * len(keys) - 1).bit_length(), 1)
+    slot = (keys & np.uint64(size - 1)).astype(np.int64)
+    some = np.flatnonzero(np.bincount(slot, minlength=size)[slot] > 1)
+    _, place, times = np.unique(keys[some], return_inverse=True, return_counts=True)
+    return some[times[place] > 1]
+
+
 def equal_runs(compare: Comparer, group: np.ndarray) -> np.ndarray:
-    """A number for each substring, equal where group and content are equal."""
+    """A number for each substring, less than how many there are, equal where group and content are equal.
+
+    Only substrings that may have an equal are sorted.
+    """
+    out = np.arange(len(group))
+    some = may_repeat(compare.hashes, group)
+    if not len(some):
+        return out
+    compare, group = compare.take(some), group[some]
     order = sort_groups(compare, group)
     a, b = order[:-1], order[1:]
     equal = (compare.hashes[a] == compare.hashes[b]) & (group[a] == group[b])
     check = np.flatnonzero(equal)
     equal[check] = compare.same_bytes(a[check], b[check])
-    out = np.empty(len(order), np.int64)
-    out[order] = np.cumsum(np.append(0, ~equal)) if len(order) else 0
+    first = np.flatnonzero(np.append(True, ~equal))
+    out[some[order]] = some[order[np.repeat(first, np.diff(np.append(first, len(order))))]]
     return out

@@ -79,6 +79,18 @@ def test_jaccard_join(spark, docs, monkeypatch, blocks, short):
         assert got == plain_components(rows)
 
 
+def test_one_component_of_many_texts_and_copies(spark, monkeypatch):
+    """A chain of near copies, each linked only with its neighbours, and hundreds of copies of one of them."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_CLASSES", 40)
+    words = [f"v{i}" for i in range(700)]
+    rows = [(1000 + i, " ".join(words[2 * i : 2 * i + 60])) for i in range(300)]
+    rows += [(5000 + i, rows[7][1]) for i in range(400)] + [(9000 + i, f"other text number {i} " + " ".join(f"o{i}x{j}" for j in range(20))) for i in range(50)]
+    random.Random(1).shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_join(df).collect()}
+    assert got == {d: 1000 if d < 9000 else d for d, _ in rows}
+
+
 def plain_dedup(rows, length=50):
     ordered = [((1 << 62) if d is None else d, (t or "").encode()) for d, t in rows]
     first = {}
@@ -106,6 +118,22 @@ def test_substring_dedup(spark, docs):
         assert got == plain_dedup(rows)
 
 
+def test_one_passage_in_every_document(spark):
+    """Each amid other words: one anchor holds all documents."""
+    rng = random.Random(12)
+    passage = "this very passage stands in every single document of the corpus, word for word"
+    rows = [(i, f"{rng.random()}" * 3 + passage + f"{rng.random()}" * 3) for i in range(150)] + [(200 + i, passage) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
+    got = sorted((str(r["doc_id"]), *r[1:]) for r in substring_dedup.substring_dedup(df).collect())
+    assert got == plain_dedup(rows)
+
+
+def test_substrings_without_equal_hash_are_not_sorted():
+    hashes = np.array([5, 7, 5, 9, 7, 7, 5], np.uint64)
+    assert suffix_sort.may_repeat(hashes, np.array([0, 0, 0, 0, 1, 1, 1])).tolist() == [0, 2, 4, 5]
+    assert suffix_sort.may_repeat(hashes[:0], np.zeros(0, int)).tolist() == []
+
+
 def test_suffix_sort_orders_by_content():
     rng = np.random.default_rng(2)
     data = rng.integers(97, 99, 3000).astype(np.uint8)
