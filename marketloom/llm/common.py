@@ -83,9 +83,9 @@ def known_size(df: DataFrame) -> int | None:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` dealt over all cores, if it is so small that its files may not be split over them."""
+    """``df`` dealt over all cores, if it is so small, and of so few files, that scans may leave cores idle."""
     cores, size = df.sparkSession.sparkContext.defaultParallelism, known_size(df)
-    return df.repartition(cores) if size is not None and size <= SMALL_PART * cores else df
+    return df.repartition(cores) if size is not None and size <= SMALL_PART * cores and 0 < len(df.inputFiles()) < cores else df
 
 
 def crc_bucket(column: str, modulus: int):
