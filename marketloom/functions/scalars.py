@@ -162,7 +162,7 @@ def vendor_symbol(symbol: Column, market: Column) -> Column:
 
 
 def endpoint(market: Column) -> Column:
-    """The vendor's service for a market's daily bars."""
+    """The vendor's service for a market's daily bars (fixed values)."""
     return F.when(market == "a", F.lit("stock_zh_a_hist")).otherwise(F.lit("stock_hk_hist"))
 
 

@@ -29,7 +29,9 @@ def merge_stream(spark: SparkSession, landing: str, schema: str, target: str, ke
     def merge(part: DataFrame, _: int) -> None:
         own = part.sparkSession
         there, by = restore(own, target), [order] if order else keys
-        existing = own.read.schema(part.schema).parquet(target).select(part.columns) if there else part.limit(0)
+        # A partition's value is read from its folder's name: only the schema says of what type it was.
+        reader = own.read.schema(part.schema) if partition else own.read
+        existing = reader.parquet(target) if there else part.limit(0)
         if partition is None:
             merged = (insert_if_absent if mode == "insert" else upsert)(existing, part, keys, *by)
             return replace_folder(own, after(merged) if after else merged, target, lambda df, p: df.write.parquet(p))
@@ -37,7 +39,7 @@ def merge_stream(spark: SparkSession, landing: str, schema: str, target: str, ke
         here = F.col(partition).isin([x for x in touched if x is not None])
         merged = (insert_if_absent if mode == "insert" else upsert)(existing.filter(here | F.col(partition).isNull() if None in touched else here), part, keys, *by)
         rows = after(merged) if after else merged
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(target)
+        rows.select(part.columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(target)
 
     stream = spark.readStream.schema(schema)
     stream = (stream.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else stream).parquet(landing)
