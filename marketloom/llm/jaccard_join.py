@@ -380,12 +380,31 @@ def linked(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray
     return np.nonzero(np.triu((100 + percent) * shared >= bound, 1))
 
 
+def classes_of(rows: DataFrame) -> DataFrame:
+    return rows.filter("cls is not null").groupBy("cls").agg(F.first("n_shingles").alias("n_shingles"), F.min("doc_id").alias("least"), F.count("*").alias("n_rows"))
+
+
+def settled(join: Join, rows: DataFrame, members: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id of ``rows`` (doc_id, n_shingles, cls), by the links that the sets of
+    ``members`` (cls, root: its coarse component) confirm."""
+    classes = classes_of(rows)
+    roots_of = components(join.links(members, classes.select("cls", "n_shingles"))).withColumnRenamed("node", "cls")
+    # Components of one class need no join; the others' rows are dealt over parts.
+    linked_ = roots_of.join(classes.select("cls", "least"), "cls")
+    ids = linked_.groupBy("root").agg(F.min("least").alias("component_id"))
+    joined = salted(roots_of, "cls").join(copied(ids), ["root", "salt"]).select("cls", "component_id")
+    named = classes.join(joined, "cls", "left").filter("n_rows > 1 or component_id is not null").select("cls", F.coalesce("component_id", "least").alias("component_id"))
+    # So are the copies of a text.
+    out = salted(rows, "doc_id").join(copied(named), ["cls", "salt"], "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
 def jaccard_join(documents: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) of every row of ``documents``."""
     join = Join(documents, n, percent)
     first = cut(join.first_pass())
     rows = first.filter("n_shingles is not null").select("doc_id", "n_shingles", "cls")
-    classes = rows.filter("cls is not null").groupBy("cls").agg(F.first("n_shingles").alias("n_shingles"), F.min("doc_id").alias("least"), F.count("*").alias("n_rows"))
+    classes = classes_of(rows)
     level = F.floor(F.log2(1 + F.sum("n"))).cast("byte")
     counted = first.filter("slot is not null").groupBy("slot").agg(level.alias("level")).toArrow()  # COUNT_SLOTS rows at most
     levels = np.zeros(COUNT_SLOTS, np.uint8)
@@ -394,13 +413,4 @@ def jaccard_join(documents: DataFrame, n: int = WORDS, percent: int = PERCENT) -
     pa.default_memory_pool().release_unused()
     n_first = classes.agg(F.sum(F.expr(f"n_shingles - ({percent} * n_shingles + 99) div 100 + 1"))).first()[0] or 0
     join.slots = max(join.slots, -(-int(n_first) // SLOT_GRAMS))
-    members = cut(components(join.coarse_links(levels)).withColumnRenamed("node", "cls"))
-    roots_of = components(join.links(members, classes.select("cls", "n_shingles"))).withColumnRenamed("node", "cls")
-    # Components of one class need no join; the others' rows are dealt over parts.
-    linked_ = roots_of.join(classes.select("cls", "least"), "cls")
-    ids = linked_.groupBy("root").agg(F.min("least").alias("component_id"))
-    joined = salted(roots_of, "cls").join(copied(ids), ["root", "salt"]).select("cls", "component_id")
-    named = classes.join(joined, "cls", "left").filter("n_rows > 1 or component_id is not null").select("cls", F.coalesce("component_id", "least").alias("component_id"))
-    # So are the copies of a text.
-    out = salted(rows, "doc_id").join(copied(named), ["cls", "salt"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return settled(join, rows, cut(components(join.coarse_links(levels)).withColumnRenamed("node", "cls")))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe_codec, chat_format, decontaminate, jaccard_join, language_id, line_dedup, substring_dedup, token_counts, toxicity
+from . import ann, bpe_codec, chat_format, decontaminate, hard_negatives, jaccard_join, language_id, line_dedup, minhash, periodic_runs, substring_dedup, token_counts, toxicity
 from .common import crc_bucket, table
 
 
@@ -64,8 +64,22 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), length=50)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label, n_positives=5, n_negatives=10)
+
+
+def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.minhash_dedup(table(spark, sf_dir, "documents"), n=5, percent=85)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), prepare=periodic_runs.periodic)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_nearest_neighbours, op3_chat_format, op4_toxicity, op5_language_id, op6_token_counts, op7_bpe_round_trip, op8_ngram_jaccard_join, op9_line_dedup, op10_substring_dedup)}
+    named = (op1_decontamination, op2_nearest_neighbours, op3_chat_format, op4_toxicity, op5_language_id, op6_token_counts, op7_bpe_round_trip, op8_ngram_jaccard_join, op9_line_dedup, op10_substring_dedup, op11_hard_negatives, op12_minhash_dedup, op13_periodic_runs)
+    return {f.__name__: f for f in named}
 
 
 OP1_SQL = r"""
@@ -131,5 +145,19 @@ FROM d LEFT JOIN sums USING (doc_id) LEFT JOIN heads USING (doc_id)
 """
 
 
+OP11_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score
+FROM (SELECT anchor_id, positive_id, positive_score, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score)
+WHERE rank <= 10
+"""
+
+OP12_SQL = OP8_SQL.replace("100 * shared >= 75 *", "100 * shared >= 85 *").replace("c.component_id FROM d", "c.component_id, d.doc_id = c.component_id AS kept FROM d")
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op3_chat_format": OP3_SQL, "op8_ngram_jaccard_join": OP8_SQL, "op9_line_dedup": OP9_SQL, "op10_substring_dedup": OP10_SQL}
+    return {"op1_decontamination": OP1_SQL, "op3_chat_format": OP3_SQL, "op8_ngram_jaccard_join": OP8_SQL, "op9_line_dedup": OP9_SQL, "op10_substring_dedup": OP10_SQL, "op11_hard_negatives": OP11_SQL, "op12_minhash_dedup": OP12_SQL}
