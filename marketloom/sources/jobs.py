@@ -11,7 +11,7 @@ from typing import Protocol
 
 from pyspark.sql import SparkSession
 
-from .writers import replace_folder
+from .versions import Table
 
 STATE = "job_id string, requests string, status string"
 #: The states that a job doesn't leave.
@@ -27,7 +27,7 @@ class Service(Protocol):
 
 
 def _remember(spark: SparkSession, state_path: str, *row: str) -> None:
-    replace_folder(spark, spark.createDataFrame([row], STATE), state_path, lambda df, path: df.coalesce(1).write.json(path))
+    Table(spark, state_path, "json").replace(spark.createDataFrame([row], STATE).coalesce(1))
 
 
 def submit(spark: SparkSession, service: Service, requests_path: str, state_path: str) -> str:
@@ -39,7 +39,8 @@ def submit(spark: SparkSession, service: Service, requests_path: str, state_path
 
 def collect_results(spark: SparkSession, service: Service, state_path: str, results_path: str) -> bool:
     """Look once: False while the job runs; when it is complete its results are downloaded; a lost job is an error."""
-    known = spark.read.schema(STATE).json(state_path).first()
+    state = Table(spark, state_path, "json").read()
+    known = state.first() if state is not None else None
     if known is None:
         raise ValueError(f"no job in {state_path}; submit one first")
     now = service.status(known["job_id"])

@@ -16,14 +16,18 @@ RESULT = "struct<custom_id: string, error: string, response: struct<status_code:
 
 
 def read_master(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """A master CSV with its fixed fields, stripped; absent columns are '', an absent file is an empty table."""
-    fields = TABLES[table]
-    empty = spark.createDataFrame([], T.StructType([T.StructField(f, T.StringType()) for f in fields]))
-    from .writers import restore
-
-    if not restore(spark, path):
-        return empty
-    raw = spark.read.csv(path, header=True, multiLine=True, escape='"', inferSchema=False)
+    """A master table with its fixed fields, stripped: its current version, or a plain CSV file or folder at ``path``.
+
+    Absent columns are '', an absent table is empty.
+    """
+    from .writers import master
+
+    fields, known = TABLES[table], master(spark, path)
+    raw = known.read()
+    if raw is None and known.files.exists():
+        raw = spark.read.csv(path, header=True, multiLine=True, escape='"', inferSchema=False)
+    if raw is None:
+        return spark.createDataFrame([], T.StructType([T.StructField(f, T.StringType()) for f in fields]))
     return raw.select([(S.strip_u(F.coalesce(F.col(f"`{f}`"), F.lit(""))) if f in raw.columns else F.lit("")).alias(f) for f in fields])
 
 
@@ -113,9 +117,22 @@ def resolve_symbol(dim: DataFrame, symbol: str) -> dict:
 
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """(custom_id, completion) of a batch result file: the last line of an id wins, failed calls are ''."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("_seq"))
-    return parse_results(lines, "value", "_seq")
+    """(custom_id, completion) of batch result files: the last line of an id wins, failed calls are ''.
+
+    Of several files the one whose name is last comes last; within a file lines go by their place in it, however Spark
+    splits and packs the files.
+    """
+    return parse_results(ordered_lines(spark, path), "value", "_at")
+
+
+def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, _at) of the lines of text files; _at (file, start of the split, line) is their order.
+
+    A task reads the lines of a split one after the other, so the row number within the task orders them; splits of one
+    file are ordered by where they start.
+    """
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line"))
+    return spark.read.text(path).select("value", at.alias("_at"))
 
 
 def parse_results(lines: DataFrame, value: str, order: str) -> DataFrame:

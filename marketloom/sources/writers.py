@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..schemas import TABLES
+from . import text_files
+from .versions import Table
 
 ORDER = {"quotes": ["symbol", "trade_date"], "report": ["symbol", "date", "url"], "comments": ["symbol", "publish_time", "url"], "news": ["url"]}
 #: Limits of the batch service.
 REQUESTS_PER_FILE = 50_000
+#: Options of master tables.
+CSV = {"header": True, "escape": '"', "quote": '"', "emptyValue": "", "nullValue": "", "multiLine": True}
 
 
 def write_csv(df: DataFrame, path: str) -> None:
@@ -29,66 +31,22 @@ def write_dataset(df: DataFrame, path: str, *order: str) -> None:
 
 
 def export_files(files: DataFrame, folder: str) -> None:
-    """Write (path, value) as text files under ``folder``, which all executors must share.  A file appears whole, and
-    one that is written again by a repeated task is the same."""
-
-    def write(rows) -> None:
-        import os
-
-        for r in rows:
-            target = os.path.normpath(os.path.join(folder, r["path"]))
-            if not target.startswith(os.path.normpath(folder) + os.sep):
-                raise ValueError(f"{r['path']} leaves {folder}")
-            os.makedirs(os.path.dirname(target), exist_ok=True)
-            staging = f"{target}.{uuid.uuid4().hex}"
-            with open(staging, "w", encoding="utf-8", newline="") as out:
-                out.write(r["value"])
-            os.replace(staging, target)
-
-    files.select("path", "value").foreachPartition(write)
-
-
-def replace_folder(spark: SparkSession, df: DataFrame, path: str, write) -> None:
-    """Write beside ``path``, then rename twice; ``df`` may read ``path``.
-
-    Between the two renames the table isn't there.  If the second fails the old table is put back; if the driver dies
-    between them, ``restore`` puts it back (it is called here and by readers of a missing table).
-    """
-    restore(spark, path)
-    staging, old = (f"{path}.{kind}-{uuid.uuid4().hex}" for kind in ("new", "old"))
-    write(df, staging)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    had = fs.exists(hadoop(path))
-    if had and not fs.rename(hadoop(path), hadoop(old)):
-        raise OSError(f"can't move {path} aside")
-    if not fs.rename(hadoop(staging), hadoop(path)):
-        if had and not fs.rename(hadoop(old), hadoop(path)):
-            raise OSError(f"can't put {path} back; it is at {old}")
-        raise OSError(f"can't move the new table to {path}")
-    if had:
-        fs.delete(hadoop(old), True)
-
-
-def restore(spark: SparkSession, path: str) -> bool:
-    """Whether the table is at ``path``; a table left aside by a replacement that didn't end is put back."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    at = hadoop(path)
-    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(at):
-        return True
-    aside = [x.getPath() for x in fs.globStatus(hadoop(f"{path}.old-*")) or []]
-    return bool(aside) and fs.rename(aside[0], at)
+    """Write (path, value) as text files under ``folder``, all or none (see ``text_files``)."""
+    text_files.write(files, folder)
 
 
 def write_master(df: DataFrame, path: str, table: str) -> None:
-    """A master table as CSV in its order, replaced as a whole."""
+    """A master table as CSV in its order, replaced as a whole: a new version (see ``versions``); ``df`` may read the old."""
     rows = df.select([F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f) for f in TABLES[table]]).orderBy(*ORDER[table])
-    replace_folder(df.sparkSession, rows, path, write_csv)
+    master(df.sparkSession, path).replace(rows)
+
+
+def master(spark: SparkSession, path: str) -> Table:
+    return Table(spark, path, "csv", **CSV)
 
 
 def init_master(spark: SparkSession, path: str, table: str) -> None:
-    write_csv(spark.createDataFrame([], ", ".join(f"{f} string" for f in TABLES[table])).coalesce(1), path)
+    master(spark, path).replace(spark.createDataFrame([], ", ".join(f"{f} string" for f in TABLES[table])).coalesce(1))
 
 
 def request_line(custom_id: Column, model: str, user: Column, system: str | None = None, url: str = "/v1/chat/completions") -> Column:

@@ -1,49 +1,82 @@
 """Incremental ingestion: file streams merged by key, with marks of progress in tables.
 
-There is no watermark: late rows must still be merged.  Each micro-batch is an idempotent merge, so a batch that is
-run again after a failure changes nothing.
+There is no watermark: late rows must still be merged.  Each micro-batch is one version of the target (see
+``sources.versions``), which also holds the batch's number: a batch that is run again after a failure finds itself in the
+ledger and changes nothing, one that failed before has left nothing.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.merge import insert_if_absent, upsert
-from ..sources.writers import replace_folder, restore
+from ..operators.merge import insert_if_absent, update_from, upsert
+from ..operators.sampling import ordinal
+from ..sources.versions import Files, Table, label
 
 
-def merge_stream(spark: SparkSession, landing: str, schema: str, target: str, keys: list[str], checkpoint: str, mode: str = "insert", order: str | None = None, after: Callable[[DataFrame], DataFrame] | None = None, partition: str | None = None, files_a_batch: int | None = None):
-    """A started stream of Parquet files in ``landing`` into the Parquet table ``target``; takes what is there and ends.
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark keeps for a stream in its checkpoint folder."""
+    return json.loads(Files(spark, checkpoint).read("metadata"))["id"]
+
+
+def merge_batch(table: Table, part: DataFrame, batch: int, stream: str, keys: list[str], mode: str = "insert", order: str | None = None, after: Callable[[DataFrame], DataFrame] | None = None) -> bool:
+    """Merge a micro-batch into ``table``; False if the table holds it already.
+
+    Of a split table the parts that the batch touches are read and replaced, all in one version; parts that ``after``
+    empties go.
+    """
+    now = table.current()
+    if now and now.ledger.get(stream, -1) >= batch:
+        return False
+    merge, by = insert_if_absent if mode == "insert" else upsert, [order] if order else keys
+    touched = None if table.split is None else [r[0] for r in part.select(label(F.col(table.split))).distinct().collect()]  # as many as the batch has days
+    existing = table.read(now, touched) if now else part.limit(0)
+    merged = merge(existing, part.select(existing.columns), keys, *by)
+    rows = after(merged) if after else merged
+    table.commit(rows.select(existing.columns), now, touched, {stream: batch})
+    return True
+
+
+def merge_stream(spark: SparkSession, landing: str, schema: str, target: str, keys: list[str], checkpoint: str, mode: str = "insert", order: str | None = None, after: Callable[[DataFrame], DataFrame] | None = None, partition: str | None = None, files_a_batch: int | None = None, bytes_a_batch: int | None = None):
+    """A started stream of Parquet files in ``landing`` into the versioned table ``target``; takes what is there and ends.
 
     ``mode`` is insert (existing rows win) or upsert (new rows win, the last by ``order``).  ``after`` is applied to
-    each merged table (or merged partitions), for instance to retain only the top comments.  ``files_a_batch`` bounds
-    what is merged at once.
+    each merged table (or merged parts), for instance to retain only the top comments.  ``files_a_batch`` and
+    ``bytes_a_batch`` bound what is merged, and lost by a failure, at once.
 
-    With ``partition``, a column that a row's keys determine (a day or month), the table is partitioned by it and a
-    batch reads and rewrites only the partitions it touches.  Without, it rewrites the table: for small tables.
+    With ``partition``, a column that a row's keys determine (a day or month), the table is split by it and a batch reads
+    and rewrites only the parts it touches.  Without, it rewrites the table: for small tables.
     """
 
-    def merge(part: DataFrame, _: int) -> None:
+    def merge(part: DataFrame, batch: int) -> None:
         own = part.sparkSession
-        there, by = restore(own, target), [order] if order else keys
-        # A partition's value is read from its folder's name: only the schema says of what type it was.
-        reader = own.read.schema(part.schema) if partition else own.read
-        existing = reader.parquet(target) if there else part.limit(0)
-        if partition is None:
-            merged = (insert_if_absent if mode == "insert" else upsert)(existing, part, keys, *by)
-            return replace_folder(own, after(merged) if after else merged, target, lambda df, p: df.write.parquet(p))
-        touched = [r[0] for r in part.select(partition).distinct().collect()]  # as many as the batch has days
-        here = F.col(partition).isin([x for x in touched if x is not None])
-        merged = (insert_if_absent if mode == "insert" else upsert)(existing.filter(here | F.col(partition).isNull() if None in touched else here), part, keys, *by)
-        rows = after(merged) if after else merged
-        rows.select(part.columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(target)
+        merge_batch(Table(own, target, split=partition), part, batch, stream_id(own, checkpoint), keys, mode, order, after)
 
     stream = spark.readStream.schema(schema)
-    stream = (stream.option("maxFilesPerTrigger", files_a_batch) if files_a_batch else stream).parquet(landing)
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    for option, value in (("maxFilesPerTrigger", files_a_batch), ("maxBytesPerTrigger", bytes_a_batch)):
+        stream = stream.option(option, value) if value else stream
+    return stream.parquet(landing).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def flush_updates(updates: DataFrame, table: Table, keys: list[str], column: str, every: int = 50) -> int:
+    """Write updates (keys, ``column``) of fetched texts to ``table``, ``every`` rows a version; the number of versions.
+
+    Updates whose text is null failed for now: they stay out and are pending still.  What is fetched is numbered by key
+    in a checkpoint, so it is fetched once.  After a failure the versions so far hold what was written; a run over what
+    is pending then goes on.
+    """
+    found = ordinal(updates.filter(F.col(column).isNotNull()).select(*keys, column), keys[0], "_n").withColumn("_flush", F.floor(F.col("_n") / every))
+    last = found.agg(F.max("_flush")).first()[0]
+    for n in range(0 if last is None else last + 1):
+        now = table.current()
+        if now is None:
+            raise ValueError(f"there is no table at {table.path}")
+        table.commit(update_from(table.read(now), found.filter(F.col("_flush") == n), keys, column, "_n"), now)
+    return 0 if last is None else last + 1
 
 
 def high_water(rows: DataFrame, key: str = "symbol", date: str = "trade_date") -> DataFrame:

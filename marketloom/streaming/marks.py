@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.writers import replace_folder
+from ..sources.versions import Table
 from .incremental import pages_done
 
 #: Rows of a company after which no more pages are asked for.
@@ -58,16 +58,14 @@ def capped_marks(marks: DataFrame, saved: DataFrame, cap: int = CAP) -> DataFram
 
 
 def write_marks(marks: DataFrame, path: str) -> None:
-    """The marks of all companies, sorted, replaced as a whole."""
-    replace_folder(marks.sparkSession, marks.orderBy("company"), path, lambda df, p: df.write.mode("overwrite").json(p))
+    """The marks of all companies, sorted, as the next version of their table."""
+    Table(marks.sparkSession, path, "json").replace(marks.select("company", "state").orderBy("company"))
 
 
 def read_marks(spark: SparkSession, path: str, use_marks: bool = True) -> DataFrame:
     """(company, state); none if they aren't to be used or were never written."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not use_marks or not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        return spark.createDataFrame([], "company string, state string")
-    return spark.read.schema("company string, state string").json(path)
+    known = Table(spark, path, "json").read() if use_marks else None
+    return spark.createDataFrame([], "company string, state string") if known is None else known
 
 
 def completed(done: DataFrame, platform: str) -> DataFrame:

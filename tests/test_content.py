@@ -1,4 +1,4 @@
-"""Content, marks, list pages, merges by partition and the replacement of tables."""
+"""Content, marks, list pages and merges by partition."""
 
 import os
 from datetime import date
@@ -10,7 +10,8 @@ from marketloom.functions import answers as A
 from marketloom.functions import html
 from marketloom.functions import scalars as S
 from marketloom.operators import content, sampling
-from marketloom.sources import writers
+from marketloom.sources import text_files, writers
+from marketloom.sources.versions import Table
 from marketloom.streaming import incremental, marks
 
 
@@ -133,26 +134,18 @@ def test_a_stream_rewrites_only_the_partitions_it_touches(spark, tmp_path):
     landing, target, checkpoint = (str(tmp_path / x) for x in ("landing", "target", "checkpoint"))
     schema = "symbol string, trade_date string, close double, o int"
 
-    def land(*new):
+    def land(*new, after=None):
         spark.createDataFrame(list(new), schema).write.mode("append").parquet(landing)
-        incremental.merge_stream(spark, landing, schema, target, ["symbol", "trade_date"], checkpoint, mode="upsert", order="o", partition="trade_date", files_a_batch=1).awaitTermination()
+        incremental.merge_stream(spark, landing, schema, target, ["symbol", "trade_date"], checkpoint, mode="upsert", order="o", partition="trade_date", files_a_batch=1, after=after).awaitTermination()
+        return Table(spark, target, split="trade_date")
 
-    land(("a", "d1", 1.0, 1), ("b", "d1", 2.0, 1), ("a", "d2", 3.0, 1))
-    untouched = {f: os.path.getmtime(f"{target}/trade_date=d1/{f}") for f in os.listdir(f"{target}/trade_date=d1")}
-    land(("a", "d2", 4.0, 2), ("c", "d2", 5.0, 1), ("a", "d3", 6.0, 1))
-    assert untouched == {f: os.path.getmtime(f"{target}/trade_date=d1/{f}") for f in os.listdir(f"{target}/trade_date=d1")}
-    assert rows(spark.read.schema(schema).parquet(target).select("symbol", "trade_date", "close")) == [("a", "d1", 1.0), ("a", "d2", 4.0), ("a", "d3", 6.0), ("b", "d1", 2.0), ("c", "d2", 5.0)]
-
-
-def test_a_replacement_that_did_not_end_is_put_back(spark, tmp_path):
-    path = str(tmp_path / "t")
-    write = lambda df, p: df.write.parquet(p)
-    writers.replace_folder(spark, spark.range(3), path, write)
-    os.rename(path, f"{path}.old-x")  # the driver died between the renames
-    writers.replace_folder(spark, spark.range(5).union(spark.range(1)), f"{path}2", write)
-    assert writers.restore(spark, path) and spark.read.parquet(path).count() == 3 and not writers.restore(spark, str(tmp_path / "none"))
-    writers.replace_folder(spark, spark.read.parquet(path).union(spark.range(1)), path, write)
-    assert spark.read.parquet(path).count() == 4 and sorted(x for x in os.listdir(tmp_path) if not x.startswith(".")) == ["t", "t2"]
+    untouched = land(("a", "d1", 1.0, 1), ("b", "d1", 2.0, 1), ("a", "d2", 3.0, 1)).current().parts
+    table = land(("a", "d2", 4.0, 2), ("c", "d2", 5.0, 1), ("a", "d3", 6.0, 1))
+    assert table.current().parts["vd1"] == untouched["vd1"] and table.current().parts["vd2"] != untouched["vd2"]
+    assert rows(table.read().select("symbol", "trade_date", "close")) == [("a", "d1", 1.0), ("a", "d2", 4.0), ("a", "d3", 6.0), ("b", "d1", 2.0), ("c", "d2", 5.0)]
+    # A part whose rows all go is empty afterwards.
+    table = land(("a", "d3", 7.0, 3), after=lambda df: df.filter("close < 7"))
+    assert rows(table.read().select("symbol", "trade_date")) == [("a", "d1"), ("a", "d2"), ("b", "d1"), ("c", "d2")]
 
 
 def test_four_places_by_the_exact_value(spark):
@@ -208,7 +201,7 @@ def test_dataset_files_and_exports(spark, tmp_path):
     files = spark.createDataFrame([("news/2026-01/x.txt", "héllo\n"), ("report/y.txt", "")], "path string, value string")
     for _ in range(2):
         writers.export_files(files, str(tmp_path / "out"))
-    assert open(tmp_path / "out/news/2026-01/x.txt", encoding="utf-8").read() == "héllo\n" and os.listdir(tmp_path / "out/report") == ["y.txt"]
+    assert rows(text_files.read(spark, str(tmp_path / "out"))) == [("news/2026-01/x.txt", "héllo\n"), ("report/y.txt", "")]
     with pytest.raises(Exception, match="leaves"):
         writers.export_files(spark.createDataFrame([("../z.txt", "")], "path string, value string"), str(tmp_path / "out"))
 

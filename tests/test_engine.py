@@ -11,6 +11,7 @@ from marketloom.operators import asof, bars, merge, sampling, scoring, tokens
 from marketloom.schemas import require_columns, resolve_quotes
 from marketloom.session import load_env
 from marketloom.sources import fetch, jobs, readers, writers
+from marketloom.sources.versions import Table
 from marketloom.streaming import incremental
 
 
@@ -152,7 +153,7 @@ def test_stream_merges_late_rows(spark, tmp_path):
     for rows in ([("s", "2026-01-02", 1.0)], [("s", "2026-01-01", 2.0), ("s", "2026-01-02", 3.0)]):
         spark.createDataFrame(rows, "symbol string, trade_date string, close double").write.mode("append").parquet(landing)
         incremental.merge_stream(spark, landing, "symbol string, trade_date string, close double", target, ["symbol", "trade_date"], str(tmp_path / "cp"), mode="upsert").awaitTermination()
-    assert sorted(map(tuple, spark.read.parquet(target).collect())) == [("s", "2026-01-01", 2.0), ("s", "2026-01-02", 3.0)]
+    assert sorted(map(tuple, Table(spark, target).read().collect())) == [("s", "2026-01-01", 2.0), ("s", "2026-01-02", 3.0)]
 
 
 def test_page_marks(spark):
@@ -246,7 +247,7 @@ def test_batch_jobs(spark, tmp_path):
     assert jobs.submit(spark, service, "requests", state) == "j1" and not jobs.collect_results(spark, service, state, out)
     service.state = "completed"
     assert jobs.collect_results(spark, service, state, out) and service.got == ("j1", out)
-    assert tuple(spark.read.schema(jobs.STATE).json(state).first()) == ("j1", "requests", "completed")
+    assert tuple(Table(spark, state, "json").read().first()) == ("j1", "requests", "completed")
     service.state = "expired"
     with pytest.raises(RuntimeError, match="expired"):
         jobs.collect_results(spark, service, state, out)
