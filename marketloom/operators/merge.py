@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 
 def filled(keys: list[str]) -> Column:
     """Whether no key is null or blank."""
@@ -81,10 +83,35 @@ def stop_after_streak(df: DataFrame, groups: list[str], order: str, counts: Colu
     """Rows up to and with the one that completes the first run of ``streak`` rows for which ``counts`` holds.
 
     Rows where it doesn't hold (or is null) start the run anew.
+
+    A scan in two levels, so that a large group is the work of many tasks: rows are dealt by ranges of (group, order), and
+    what a task has of a group is a block.  A block's summary (its first hits until a miss, its last hits since one, its
+    own first run) tells, with the hits before it, where the run is completed; summaries are combined along a group's
+    blocks, of which there are as many as tasks at most.  The dealt rows are checkpointed: blocks must not change.
     """
-    ordered_ = Window.partitionBy(*groups).orderBy(order)
-    so_far, hit = ordered_.rowsBetween(Window.unboundedPreceding, 0), F.coalesce(counts, F.lit(False))
-    islands = df.withColumns({"_hit": hit, "_island": F.sum(F.when(hit, 0).otherwise(1)).over(so_far)})
-    run = islands.withColumn("_run", F.sum(F.col("_hit").cast("int")).over(Window.partitionBy(*groups, "_island").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
-    before = Window.partitionBy(*groups).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return run.withColumn("_done", F.coalesce(F.max(F.col("_run") >= streak).over(before), F.lit(False))).filter(~F.col("_done")).drop("_hit", "_island", "_run", "_done")
+    ensure_checkpoint_dir(df.sparkSession)
+    rows = df.withColumn("_hit", F.coalesce(counts, F.lit(False))).repartitionByRange(*groups, order).sortWithinPartitions(*groups, order)
+    held = rows.withColumn("_at", F.monotonically_increasing_id()).withColumn("_block", F.shiftright("_at", 33)).checkpoint()
+    own = [*groups, "_block"]
+
+    in_block = Window.partitionBy(*own).orderBy("_at")
+    # The last miss before a row of the block; hits since then are its run.
+    missed = F.max(F.when(~F.col("_hit"), F.col("_at"))).over(in_block.rowsBetween(Window.unboundedPreceding, 0))
+    first = F.min("_at").over(Window.partitionBy(*own))
+    runs = held.select(*own, "_at", "_hit", missed.alias("_missed"), first.alias("_first")).withColumn("_run", F.col("_at") - F.coalesce("_missed", F.col("_first") - 1))
+    leading = F.col("_hit") & F.col("_missed").isNull()
+    blocks = runs.groupBy(*own).agg(
+        F.min("_at").alias("_begins"), F.count_if(leading).alias("_leading"), F.max("_missed").isNotNull().alias("_broken"),
+        F.max_by("_run", "_at").alias("_trailing"), F.min(F.when(F.col("_hit") & (F.col("_run") >= streak), F.col("_at"))).alias("_inside"),
+    )
+    along = Window.partitionBy(*groups).orderBy("_block")
+    since = blocks.withColumn("_piece", F.sum(F.col("_broken").cast("int")).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = since.withColumn("_ends", F.sum("_trailing").over(Window.partitionBy(*groups, "_piece").orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)))
+    lacking = F.greatest(streak - F.coalesce(F.lag("_ends").over(along), F.lit(0)), F.lit(1))
+    across = F.when(F.col("_leading") >= lacking, F.col("_begins") + lacking - 1)
+    stops = ends.withColumn("_stop", F.least(across, "_inside")).withColumn("_stop", F.min("_stop").over(Window.partitionBy(*groups))).filter("_stop is not null").select(*own, "_stop")
+    same = F.lit(True)
+    for c in own:
+        same &= F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}"))
+    joined = held.alias("r").join(stops.alias("s"), same, "left").filter(F.col("_stop").isNull() | (F.col("_at") <= F.col("_stop")))
+    return joined.select(*[F.col(f"r.`{c}`") for c in df.columns])

@@ -14,8 +14,31 @@ def hash_order(key: str | Column, seed: int = 42) -> Column:
     return F.xxhash64(F.col(key) if isinstance(key, str) else key, F.lit(seed))
 
 
+def nth_key(df: DataFrame, key: Column, n: int):
+    """The ``n``-th smallest (from 1) value of ``key``, nulls first; (value, how many rows there are if fewer than ``n``).
+
+    Keys alone are sorted in ranges (by splitters that Spark samples) and counted a range; the one that holds the n-th is
+    looked into.  No task, and not the driver, sees more than a range.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    place = F.monotonically_increasing_id()
+    held = df.select(key.alias("k")).orderBy(F.asc_nulls_first("k")).withColumns({"part": F.shiftright(place, 33), "within": place.bitwiseAND(F.lit((1 << 33) - 1))}).checkpoint()
+    before = 0
+    for r in sorted(held.groupBy("part").count().collect()):  # a row a range
+        if before + r["count"] >= n:
+            return held.filter((F.col("part") == r["part"]) & (F.col("within") == n - before - 1)).first()["k"], None
+        before += r["count"]
+    return None, before
+
+
 def sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    return df.orderBy(hash_order(key, seed), key).limit(n)
+    """``n`` rows (all, if there are fewer), by a hash of their key: those under the n-th hash."""
+    if n <= 0:
+        return df.limit(0)
+    hashed = hash_order(key, seed)
+    last, fewer = nth_key(df, hashed, n)
+    # Keys of one hash are so rare that a top list has only those of the last.
+    return df if fewer is not None else df.filter(hashed < last).unionByName(df.filter(hashed == last).orderBy(key).limit(n - df.filter(hashed < last).count()))
 
 
 def step_sample(df: DataFrame, key: str, n: int, step: int, seed: int = 42) -> DataFrame:
@@ -49,16 +72,25 @@ def fitted_batch(workers: int, generations: int, wanted: int) -> int:
 
 
 def numbered(df: DataFrame, key: str, offset: int, limit: int | None, valid: Column) -> DataFrame:
-    """Rows past ``offset`` in key order, of these the first ``limit`` valid ones, with their ordinal among them.
+    """Rows past ``offset`` in key order, of these the first ``limit`` valid ones, in key order.
 
-    The offset counts all rows, the limit only valid ones.  Keys are unique; rows without one come first.  The first
-    ``offset`` keys are taken by partial top lists, each of at most as many; the rows themselves aren't sorted for it.
+    The offset counts all rows, the limit only valid ones.  Keys are unique; rows without one come first.  Both ends are
+    found as the n-th key (see ``nth_key``); no top list grows with them.
     """
-    skipped = df.select(key).orderBy(F.asc_nulls_first(key)).limit(offset).agg(F.max(key).alias("last"), F.count("*").alias("n")).first()
-    if skipped["n"] < offset:
-        return df.limit(0)
-    rest = df.filter(valid) if skipped["last"] is None else df.filter(F.col(key) > F.lit(skipped["last"])).filter(valid)
-    return rest.orderBy(key).limit(limit) if limit is not None else rest
+    rest = df
+    if offset > 0:
+        last, fewer = nth_key(df, F.col(key), offset)
+        if fewer is not None:
+            return df.limit(0)
+        rest = df.filter(F.col(key).isNotNull() if last is None else F.col(key) > F.lit(last))
+    rest = rest.filter(valid)
+    if limit is not None:
+        if limit <= 0:
+            return df.limit(0)
+        last, fewer = nth_key(rest, F.col(key), limit)
+        if fewer is None:
+            rest = rest.filter(F.col(key).isNull() if last is None else F.col(key).isNull() | (F.col(key) <= F.lit(last)))
+    return rest.orderBy(F.asc_nulls_first(key))
 
 
 def ordinal(df: DataFrame, key: str, name: str = "i") -> DataFrame:
