@@ -4,8 +4,8 @@ Vectors are made integer (components floor(256 x)).  A row's vector gets one mor
 length of the longest; an anchor's is scaled to that length.  All lie on one sphere then, where a larger inner product with
 an anchor is a smaller angle to it, and angles obey the triangle inequality.
 
-1.  Of a bounded sample of rows (SAMPLE, chosen by hash) some are pivots, as many as the root of the number of anchors,
-    PIVOTS at most.  Each anchor belongs to the cell of its nearest pivot.  Inner products with the sample give each
+1.  Of a bounded sample of rows (SAMPLE, chosen by hash) some are pivots, as many as anchors, PIVOTS at most, each the row
+    farthest from those before.  Each anchor belongs to the cell of its nearest pivot.  Inner products with the sample give each
     anchor a score that all it needs must reach (its k-th best there; none, if the sample holds fewer), that is an angle.
     A cell's bound is the largest sum of an anchor's angle to the pivot and of that angle.
 2.  A row is sent to a cell only if its angle to the pivot is within the cell's bound: no anchor of the cell needs others.
@@ -33,7 +33,7 @@ from pyspark.sql.window import Window
 
 from .common import cut, tidy
 
-SAMPLE, PIVOTS, GROUP, SLICE, SCALE = 2048, 512, 128, 20_000, 256
+SAMPLE, PIVOTS, GROUP, SLICE, SCALE = 2048, 256, 128, 20_000, 256
 #: Rows that meet a task's anchors at once.
 BLOCK = 512
 #: Angles are compared with this slack, for the rounding of their cosines.
@@ -78,7 +78,16 @@ class Sphere:
 
     def __init__(self, ids: np.ndarray, labels: np.ndarray, vectors: np.ndarray, radius: float, pivots: int):
         self.ids, self.labels, self.vectors, self.radius = ids, labels, vectors, max(radius, 1.0)
-        self.pivots = self.members(vectors[:pivots])
+        self.pivots = self.spread_out(self.members(vectors), pivots)
+
+    @staticmethod
+    def spread_out(points: np.ndarray, n: int) -> np.ndarray:
+        """The first point and, one after the other, the one farthest from those taken so far."""
+        nearest, taken = points @ points[0], [0]
+        while len(taken) < n:
+            taken.append(int(nearest.argmin()))
+            nearest = np.maximum(nearest, points @ points[taken[-1]])
+        return points[taken]
 
     def members(self, vectors: np.ndarray) -> np.ndarray:
         """Unit vectors with one more component."""
@@ -182,7 +191,7 @@ class Join:
         got = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow().combine_chunks().to_batches() if self.n_anchors else []
         if got:
             one = got[0]
-            n_pivots = min(pivots, one.num_rows, int(np.ceil(np.sqrt(self.n_anchors))))
+            n_pivots = min(pivots, one.num_rows, self.n_anchors)
             self.sphere = Sphere(one.column("vec_id").to_numpy(), one.column("label").to_numpy(), vectors_of(one, self.dims), np.sqrt(facts["square"]), n_pivots)
 
     def joined(self, anchors: DataFrame, k: int, ranges: bool) -> DataFrame:
@@ -239,10 +248,7 @@ class Join:
             """Whether each row might serve an anchor of each group."""
             most, group_of = laid.value
             near = angles(held.value.members(vectors) @ held.value.pivots.T) <= most
-            out = np.zeros((len(vectors), n_groups), bool)
-            for cell in np.flatnonzero(group_of >= 0):
-                out[:, group_of[cell]] |= near[:, cell]
-            return out
+            return near.astype(np.float32) @ (group_of[:, None] == np.arange(n_groups)).astype(np.float32) > 0
 
         def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = np.zeros(n_groups, np.int64)
