@@ -81,16 +81,3 @@ def summary_text(metadata: Column, body: Column) -> Column:
 
 def write_report(row: DataFrame, path: str) -> None:
     row.coalesce(1).write.mode("overwrite").json(path)
-
-
-def cached(df: DataFrame, folder: str, config: dict) -> DataFrame:
-    """``df`` from the cache of its configuration, written there first if it isn't complete."""
-    import hashlib
-    import json
-
-    spark = df.sparkSession
-    path = f"{folder}/{hashlib.sha1(json.dumps(config, sort_keys=True).encode()).hexdigest()[:12]}"
-    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
-        df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
