@@ -66,3 +66,50 @@ def recent(bars: DataFrame, rows: int = 7) -> DataFrame:
     """The last ``rows`` rows of each symbol."""
     newest = Window.partitionBy("symbol").orderBy(F.desc("trade_date"))
     return bars.withColumn("_r", F.row_number().over(newest)).filter(F.col("_r") <= rows).drop("_r")
+
+
+def _state(frame: Window | None) -> dict[str, Column]:
+    """The scaler's sufficient statistics, of a group or over a window's frame."""
+    over = (lambda c: c) if frame is None else (lambda c: c.over(frame))
+    out = {"n_fit": over(F.count("*"))}
+    for f in [*SCALED, "volume"]:
+        x = S.log_volume(F.col("volume")) if f == "volume" else F.col(f)
+        out |= {f"{f}_min": over(F.min(x)), f"{f}_max": over(F.max(x))}
+    n = over(F.count("pct_change"))
+    return out | {"moments": F.struct(n.alias("n"), F.coalesce(over(F.avg("pct_change")), F.lit(0.0)).alias("mean"), F.coalesce(over(F.var_pop("pct_change")) * n, F.lit(0.0)).alias("m2"))}
+
+
+def merged_moments(a: Column, b: Column) -> Column:
+    """Number, mean and sum of squared deviations of two sets of values together (Chan's rule)."""
+    n = a["n"] + b["n"]
+    share, apart = F.when(n > 0, b["n"] / n).otherwise(F.lit(0.0)), b["mean"] - a["mean"]
+    return F.struct(n.alias("n"), (a["mean"] + apart * share).alias("mean"), (a["m2"] + b["m2"] + apart * apart * a["n"] * share).alias("m2"))
+
+
+def expanding_scalers(bars: DataFrame) -> DataFrame:
+    """For each row of ``bars`` the scaler fitted on its symbol's rows before it, as ``fit_scaler`` would (symbol,
+    trade_date, ...); rows with none before them drop out.
+
+    One pass over the bars: blocks (symbol, month) have mergeable statistics; a row's are those of the blocks before its
+    own, merged along the symbol's months, and of the rows before it in its block.
+    """
+    blocked = bars.withColumn("_block", F.trunc("trade_date", "month"))
+    none = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+    names = [f"{f}_{end}" for f in [*SCALED, "volume"] for end in ("min", "max")]
+
+    totals = blocked.groupBy("symbol", "_block").agg(*[c.alias(n) for n, c in _state(None).items()])
+    before = Window.partitionBy("symbol").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = {n: (F.min if n.endswith("_min") else F.max)(n).over(before) for n in names} | {"n_fit": F.coalesce(F.sum("n_fit").over(before), F.lit(0)), "_earlier": F.collect_list("moments").over(before)}
+    carry = totals.select("symbol", "_block", *[c.alias(f"c_{n}") for n, c in carried.items()]).withColumn("c_moments", F.aggregate("c__earlier", none, merged_moments)).drop("c__earlier")
+
+    within = Window.partitionBy("symbol", "_block").orderBy("trade_date").rowsBetween(Window.unboundedPreceding, -1)
+    own = blocked.select("symbol", "_block", "trade_date", *[c.alias(n) for n, c in _state(within).items()])
+    rows = own.join(carry, ["symbol", "_block"]).withColumns({"n_fit": F.col("n_fit") + F.col("c_n_fit"), "moments": merged_moments(F.col("c_moments"), F.col("moments"))}).filter("n_fit > 0")
+    columns = []
+    for f in [*SCALED, "volume"]:
+        lo, hi = F.coalesce(F.least(f"{f}_min", f"c_{f}_min"), F.lit(0.0)), F.coalesce(F.greatest(f"{f}_max", f"c_{f}_max"), F.lit(1.0))
+        columns += [lo.alias(f"{f}_lo"), F.when(hi <= lo, lo + EPSILON).otherwise(hi).alias(f"{f}_hi")]
+    m = F.col("moments")
+    deviation = F.sqrt(m["m2"] / m["n"])
+    columns += [F.when(m["n"] > 0, m["mean"]).otherwise(F.lit(0.0)).alias("pct_mean"), F.when((m["n"] < 2) | (deviation < 1e-12), F.lit(1.0)).otherwise(deviation).alias("pct_std")]
+    return rows.select("symbol", "trade_date", *columns, "n_fit")

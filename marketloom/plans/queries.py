@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,9 +12,11 @@ from ..functions import answers as A
 from ..functions import html as H
 from ..functions import prompts as P
 from ..functions import scalars as S
-from ..operators import asof, bars as B, content, merge as M, sampling, scoring, tokens
-from ..sources import fetch, readers, writers
-from ..streaming import incremental, marks
+from ..operators import asof, bars as B, consensus, content, merge as M, sampling, scoring, tokens
+from ..session import ensure_checkpoint_dir
+from ..sources import fetch, readers, text_files, writers
+from ..sources.versions import Table
+from ..streaming import incremental, marks, retention
 from . import datasets as D
 from .views import BARS_SQL, ITEMS_SQL, bars, items, table, universe
 
@@ -598,3 +601,66 @@ def q58_pages_to_fetch(spark, sf_dir):
     state = F.when(F.col("company") % 3 == 0, F.col("done").cast("string")).when(F.col("company") % 3 == 1, F.to_json(pages)).otherwise(F.to_json(F.struct(F.col("total").alias("total_pages"), pages.alias("completed"))))
     saved = m.select("company", F.when(F.col("company") % 10 == 0, 10_000).otherwise(9_999).alias("n_rows"))
     return marks.pages_to_fetch(m.select("company", "total", state.alias("state")), saved).select("company", long(F.col("page"), "page"))
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that the cluster's machines share for checkpoints."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+EXPANDING_SQL = ", ".join(f"coalesce(min({x}) OVER w, 0) AS {f}_lo, CASE WHEN coalesce(max({x}) OVER w, 1) <= coalesce(min({x}) OVER w, 0) THEN coalesce(min({x}) OVER w, 0) + 1e-9 ELSE coalesce(max({x}) OVER w, 1) END AS {f}_hi" for f, x in [*((f, f) for f in B.SCALED), ("volume", "ln(1 + greatest(volume, 0))")])
+
+
+@query(f"""WITH {BARS_SQL} SELECT * EXCLUDE (deviation, n_pct), CASE WHEN n_pct < 2 OR deviation < 1e-12 THEN 1 ELSE deviation END AS pct_std FROM (SELECT symbol, CAST(trade_date AS VARCHAR) AS trade_date, {EXPANDING_SQL}, coalesce(avg(pct_change) OVER w, 0) AS pct_mean, count(pct_change) OVER w AS n_pct, stddev_pop(pct_change) OVER w AS deviation, count(*) OVER w AS n_fit
+  FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE n_fit > 0""")
+def q59_expanding_scalers(spark, sf_dir):
+    return B.expanding_scalers(bars(spark, sf_dir)).withColumn("trade_date", text("trade_date"))
+
+
+@query("""WITH u AS (SELECT o_orderkey AS k, CAST(o_orderdate AS VARCHAR)[1:7] AS month, o_totalprice AS v FROM orders)
+SELECT k, month, CASE WHEN k % 4 = 0 THEN 2 * v ELSE v END AS v FROM u""")
+def q60_versioned_upserts(spark, sf_dir):
+    """Orders in a table split by month; every fourth is upserted by a second batch, and both batches come twice."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.col("o_totalprice").alias("v"))
+    target = Table(spark, shared_folder(spark, "orders"), split="month")
+    for batch in (0, 0, 1, 1):
+        part = rows if batch == 0 else rows.filter("k % 4 = 0").withColumn("v", 2 * F.col("v"))
+        incremental.merge_batch(target, part, batch, "orders", ["k", "month"], mode="upsert")
+    return target.read()
+
+
+@query(f"SELECT 'news/' || doc_id || '.txt' AS path, sha256(CASE WHEN doc_id % 6 = 0 THEN 'new ' || doc_id WHEN doc_id % 9 = 0 THEN '' ELSE coalesce(text, '') END) AS digest FROM documents")
+def q61_committed_files(spark, sf_dir):
+    """Texts of documents as files, some of them empty; every sixth is written again by a later commit."""
+    d, folder = table(spark, sf_dir, "documents"), shared_folder(spark, "files")
+    path = F.concat(F.lit("news/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path")
+    text_files.write(d.select(path, F.when(F.col("doc_id") % 9 == 0, "").otherwise(F.coalesce("text", F.lit(""))).alias("value")), folder)
+    text_files.write(d.filter("doc_id % 6 = 0").select(path, F.concat(F.lit("new "), F.col("doc_id").cast("string")).alias("value")), folder)
+    return text_files.read(spark, folder).select("path", F.sha2("value", 256).alias("digest"))
+
+
+@query("""SELECT url, symbol, day, clicks FROM (SELECT CAST(event_id AS VARCHAR) AS url, event_type AS symbol, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, CAST(trunc(value) AS BIGINT) AS clicks, row_number() OVER (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY CAST(trunc(value) AS BIGINT) DESC, CAST(event_id AS VARCHAR)) AS r FROM events) WHERE r <= 20""")
+def q62_retention_by_batches(spark, sf_dir):
+    """Events as comments, merged in three batches against the floors of full days: equal to one trim of all."""
+    e = table(spark, sf_dir, "events")
+    posts = e.select(F.col("event_id").cast("string").alias("url"), F.col("event_id").cast("string").alias("post_id"), F.col("event_type").alias("symbol"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("publish_time"), F.col("value").cast("string").alias("click_count"))
+    kept, floors = retention.tables(spark, shared_folder(spark, "comments"))
+    for batch in range(3):
+        retention.retain_batch(kept, floors, posts.filter(F.pmod(F.col("url").cast("bigint"), F.lit(3)) == batch), batch, "events", 20)
+    return kept.read().select("url", "symbol", "day", S.truncated_int(F.col("click_count")).alias("clicks"))
+
+
+CONSENSUS_SQL = """WITH c AS (SELECT source AS symbol, doc_id AS url, split_part(text, chr(10), 1) AS title FROM documents WHERE source IS NOT NULL),
+w AS (SELECT symbol, url, unnest(list_distinct(list_filter(string_split_regex(lower(coalesce(title, '')), '[^\\p{L}\\p{N}]+'), lambda x: length(x) > 1))) AS word FROM c),
+n AS (SELECT symbol, count(*) AS total FROM c GROUP BY 1), k AS (SELECT symbol, word, count(*) AS n FROM w GROUP BY 1, 2 HAVING count(*) >= 2),
+b AS (SELECT symbol, url, first(word ORDER BY n DESC, word) AS topic FROM w JOIN k USING (symbol, word) JOIN n USING (symbol) WHERE n < total GROUP BY 1, 2)
+SELECT c.symbol, c.url, coalesce(topic, '') AS topic FROM c LEFT JOIN b ON b.symbol = c.symbol AND b.url = c.url"""
+
+
+@query(CONSENSUS_SQL)
+def q63_comment_clusters(spark, sf_dir):
+    """Documents' first lines as comments of their source, by the topic that names their cluster."""
+    d = table(spark, sf_dir, "documents").filter("source is not null")
+    posts = d.select(F.col("source").alias("symbol"), F.col("doc_id").alias("url"), F.substring_index("text", "\n", 1).alias("post_title"))
+    return consensus.clustered(posts).select("symbol", "url", "topic")
