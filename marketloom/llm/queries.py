@@ -56,7 +56,7 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = line_dedup.line_dedup(line_dedup.page_lines(table(spark, sf_dir, "pages")))
+    kept = line_dedup.line_dedup(line_dedup.page_lines(table(spark, sf_dir, "pages")), distinct=True)
     return kept.select(F.col("key").alias("page_id"), "host", F.size("lines").cast("long").alias("n_lines"), "n_dropped", F.sha2(F.array_join("kept", "\n"), 256).alias("kept_sha256"))
 
 
@@ -121,8 +121,8 @@ OP9_SQL = r"""
 WITH p AS (SELECT page_id, lower(coalesce(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1), '')) AS host,
   list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', '', 'gis'),
     '</?(p|div|li|ul|ol|nav|article|section|header|footer|h[1-6]|br|tr|td|th|table|title|body|html|head|main|aside)([ /][^>]*)?>', chr(10), 'gi'), '<[^>]*>', '', 'g'), chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS lines FROM pages),
-hosts AS (SELECT host, count(*) AS host_pages FROM p GROUP BY host),
-counted AS (SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM p) GROUP BY host, line),
+different AS (SELECT DISTINCT host, lines FROM p), hosts AS (SELECT host, count(*) AS host_pages FROM different GROUP BY host),
+counted AS (SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM different) GROUP BY host, line),
 boiler AS (SELECT host, list(line) AS dropped FROM counted JOIN hosts USING (host) WHERE n >= 2 AND n > 0.1 * host_pages GROUP BY host),
 k AS (SELECT page_id, p.host, coalesce(lines, []) AS lines, list_filter(coalesce(lines, []), lambda x: NOT list_contains(coalesce(dropped, []), x)) AS kept FROM p LEFT JOIN boiler USING (host))
 SELECT page_id, host, CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(kept) AS BIGINT) AS n_dropped, sha256(coalesce(array_to_string(kept, chr(10)), '')) AS kept_sha256 FROM k

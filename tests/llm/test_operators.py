@@ -294,6 +294,15 @@ def test_line_dedup_of_small_and_nameless_hosts_with_clashing_columns(spark):
     assert sorted(out.columns) == sorted(df.columns) and line_dedup.line_dedup(df.limit(0)).count() == 0 and line_dedup.line_dedup(df, distinct=True).count() == len(rows)
 
 
+def test_equal_pages_and_groups_count_once(spark):
+    rows = [(1, "h", ["a", "b"]), (2, "h", ["a", "b"]), (3, "h", ["c"]), (4, "g", ["a", "x"]), (5, "g", ["a", "y"]), (6, "g", ["z"])]
+    df = spark.createDataFrame(rows, "key long, host string, lines array<string>")
+    kept = lambda **more: {r["key"]: r["kept"] for r in line_dedup.line_dedup(df, **more).collect()}
+    assert kept()[1] == [] and kept(distinct=True) == {1: ["a", "b"], 2: ["a", "b"], 3: ["c"], 4: ["x"], 5: ["y"], 6: ["z"]}
+    pair = df.filter("key in (4, 5)").select(line_dedup.text_hash("lines").alias("text_hash"), F.lit(1).cast("long").alias("grp"))
+    assert kept(groups=pair) == {k: lines for k, _, lines in rows}
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(1)
     points = rng.standard_normal((600, 16)) * rng.uniform(0.5, 2, (600, 1))
