@@ -41,8 +41,11 @@ from .suffix_sort import Comparer, equal_runs
 LENGTH, ANCHOR = 50, 24
 #: Bytes of text hashed together, anchors packed together, strings sorted together.
 STRETCH, PACKED, SORTED = 1_000_000, 1_500_000, 250_000
-#: Bytes of input (as the plan's statistics count them) for a slot.
-SLOT_BYTES = 16_000_000
+#: Bytes of input (as the plan's statistics count them) for a slot, and the slots that a key has bits for: a slot stays of
+#: this size up to 268 TB of input.
+SLOT_BYTES, SLOTS = 16_000_000, 1 << 24
+#: A key's lower bits are its anchor's hash, the others its slot.
+KEY_BITS, KEY_BYTES = np.uint64(40), 5
 #: Stands for a null id: after all others.
 NO_ID = np.iinfo(np.int64).max
 PARCEL = pa.schema([("slot", pa.int32()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("x", pa.binary()), ("y", pa.binary()), ("z", pa.binary())])
@@ -68,7 +71,7 @@ def doc_slot(ids: np.ndarray, slots: int) -> np.ndarray:
 
 
 def key_slot(keys: np.ndarray, slots: int) -> np.ndarray:
-    return ((keys >> np.uint64(48)) % np.uint64(slots)).astype(np.int32)
+    return ((keys >> KEY_BITS) % np.uint64(slots)).astype(np.int32)
 
 
 class Anchors:
@@ -152,7 +155,7 @@ class Dedup:
         self.rows, self.length = plain_ids(documents, "doc_id"), length
         self.anchor = min(ANCHOR, length)
         wanted = -(-(known_size(documents) or 0) // SLOT_BYTES)
-        self.slots = min(max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), wanted), 60_000)
+        self.slots = min(max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), wanted), SLOTS)
 
     def dealt(self, parcels_: DataFrame) -> DataFrame:
         """Parcels of a slot together, by kind; texts with one id one after the other, always in the same order."""
@@ -192,16 +195,16 @@ class Dedup:
                 yield from deal(joined(ids, np.int64), joined(keys, np.uint64))
 
         def deal(ids: np.ndarray, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-            # Six bytes of the hash within a slot: a chance match only sends a few strings on for nothing.
-            yield from parcels(FINDINGS, key_slot(keys, slots), x=ids, y=keys.view(np.uint8).reshape(-1, 8)[:, :6])
+            # Five bytes of the hash within a slot: a chance match only sends a few strings on for nothing.
+            yield from parcels(FINDINGS, key_slot(keys, slots), x=ids, y=keys.view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES])
 
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for slot, rows in by_slot(batches):
                 got = list(rows)
                 ids = joined([unpacked(r["x"], np.int64) for r in got], np.int64)
-                short = joined([unpacked(r["y"], np.uint8) for r in got], np.uint8).reshape(-1, 6)
+                short = joined([unpacked(r["y"], np.uint8) for r in got], np.uint8).reshape(-1, KEY_BYTES)
                 keys = np.zeros((len(ids), 8), np.uint8)
-                keys[:, :6] = short
+                keys[:, :KEY_BYTES] = short
                 keys = keys.view(np.uint64).ravel()
                 order = np.lexsort((ids, keys))
                 ids, keys = ids[order], keys[order]
@@ -212,7 +215,7 @@ class Dedup:
                 new = np.append(True, keys[1:] != keys[:-1])
                 shared = np.repeat(np.diff(np.append(np.flatnonzero(new), len(keys))) > 1, np.diff(np.append(np.flatnonzero(new), len(keys))))
                 ids, keys = ids[shared], keys[shared]
-                yield from parcels(FINDINGS, doc_slot(ids, slots), x=ids, y=keys | np.uint64(slot << 48))
+                yield from parcels(FINDINGS, doc_slot(ids, slots), x=ids, y=keys | (np.uint64(slot) << KEY_BITS))
 
         return self.dealt(self.rows.mapInArrow(post, PARCEL_DDL)).mapInArrow(meet, PARCEL_DDL)
 
@@ -333,7 +336,7 @@ def strings_of(slot: int, wanted: np.ndarray, held: list[tuple[int, bytes]], slo
         found = Anchors([t for _, t, _ in rows], length, anchor)
         ids = np.array([i for i, _, _ in rows], np.int64)[found.row]
         shift = np.array([s for _, _, s in rows], np.int64) - found.begins
-        keys = (found.keys & np.uint64((1 << 48) - 1)) | (key_slot(found.keys, slots).astype(np.uint64) << np.uint64(48))
+        keys = (found.keys & ((np.uint64(1) << KEY_BITS) - np.uint64(1))) | (key_slot(found.keys, slots).astype(np.uint64) << KEY_BITS)
         pairs = pair_hash(ids, keys)
         own = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, pairs), len(wanted) - 1)] == pairs)
         first = found.first[own]
