@@ -5,11 +5,16 @@ row starts.  Every round looks up the rank of each neighbouring pair, finds each
 pair at all its places in the row at once (left to right where places overlap), and drops finished rows.  The
 symbols that survive are counted.
 
+A long row (a line without blanks of thousands of letters) has as many rounds as different ranks, so it isn't looked
+through each round: its places are kept by rank, and a round touches the places of the lowest rank and their neighbours
+only.  All its work is in proportion to its merges, whatever its length.
+
 Null and empty texts have no tokens.  Repeated rows are counted alike.  Nothing is truncated.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -24,6 +29,10 @@ MEMORY, MEMORY_CHARS = 200_000, 4_000_000
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
 
+#: Symbols from which on a row's places are kept by rank.
+LONG = 1_000
+
+
 class RankTable:
     """Sorted pair keys with ranks and results, for array look-ups."""
 
@@ -69,6 +78,56 @@ def surviving(rows: list[list[int]], table: RankTable) -> np.ndarray:
     return counts
 
 
+def surviving_long(symbols: list[int], table: RankTable) -> int:
+    """Number of symbols left in one row, as ``surviving`` counts them."""
+    flat = np.array(symbols, np.int64)
+    n = len(flat)
+    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)  # the symbols still there, linked
+    rank = np.full(n + 1, table.none)  # of the pair that begins at a place; ``none`` beyond the last
+    made = np.zeros(n + 1, np.int64)
+    waiting: dict[int, list[np.ndarray]] = {}
+    ranks: list[int] = []
+
+    def pair(at: np.ndarray) -> None:
+        """Look up the pairs at these places (sorted) and keep the places by rank."""
+        right = after[at]
+        found, where = table.look_up(flat[at], flat[np.minimum(right, n - 1)])
+        rank[at], made[at] = np.where(right < n, found, table.none), table.made[where]
+        at = at[rank[at] < table.none]
+        order = np.argsort(rank[at], kind="stable")
+        at = at[order]
+        cuts = np.flatnonzero(np.diff(rank[at])) + 1
+        for s, e in zip([0, *cuts], [*cuts, len(at)]):
+            if e > s:
+                r = int(rank[at[s]])
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(ranks, r)
+                waiting[r].append(at[s:e])
+
+    pair(np.arange(n - 1))
+    left = n
+    while ranks:
+        lowest = heapq.heappop(ranks)
+        here = np.unique(np.concatenate(waiting.pop(lowest)))
+        here = here[rank[here] == lowest]  # some have changed since
+        if not len(here):
+            continue
+        # Of places that overlap every second one, from the left, is merged.
+        index = np.arange(len(here))
+        chained = np.append(False, after[here[:-1]] == here[1:])
+        here = here[(index - np.maximum.accumulate(np.where(chained, 0, index))) % 2 == 0]
+        gone = after[here]
+        flat[here], rank[gone] = made[here], table.none
+        after[here] = after[gone]
+        inside = after[here] < n
+        before[after[here][inside]] = here[inside]
+        left -= len(here)
+        changed = np.concatenate([here, before[here][before[here] >= 0]])
+        pair(np.unique(changed))
+    return left
+
+
 class PieceCounts(dict):
     """Token counts of pieces without white space, filled a batch at a time."""
 
@@ -82,7 +141,10 @@ class PieceCounts(dict):
         new = [p for p in pieces if p not in self]
         split = [self.vocabulary.pre_tokens(p) for p in new]
         words = list({w for s in split for w in s if isinstance(w, str)})
-        counted = dict(zip(words, surviving([self.vocabulary.symbols(w) for w in words], self.table).tolist())) if words else {}
+        rows = {w: self.vocabulary.symbols(w) for w in words}
+        short = {w: r for w, r in rows.items() if len(r) < LONG}
+        counted = dict(zip(short, surviving(list(short.values()), self.table).tolist())) if short else {}
+        counted |= {w: surviving_long(r, self.table) for w, r in rows.items() if w not in short}
         for piece, parts in zip(new, split):
             self.chars += len(piece)
             self[piece] = sum(counted[w] if isinstance(w, str) else 1 for w in parts)
