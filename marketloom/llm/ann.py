@@ -7,8 +7,8 @@ in every band, its own cell and the ``probes - 1`` perturbed cells whose boundar
 order, by the sum of squared distances to the boundaries).
 
 The width is set by measured recall: ``SAMPLE`` queries are searched exactly, and a band's cells are widened from
-``width`` on until the share ``RECALL`` of the sample's true neighbours in that band lie in visited cells.  A band of
-at most ``small`` rows, or one for which no width is enough, is a single bucket that every query visits.
+``width`` on until the share ``RECALL`` of the sample's true neighbours in that band lie in visited cells.  A band for
+which no width is enough is a single bucket that every query visits.
 
 Members and probes of a bucket meet in one place, where all candidates are ranked by exact inner product in double
 precision; each task merges its tables' candidates and passes on its best ``k`` a query.
@@ -37,8 +37,6 @@ TABLES, HASHES, WIDTH, PROBES, SEED = 8, 6, 2.0, 18, 20_011
 HOT_BUCKET = 20_000
 #: Share of true neighbours to be found, of this many queries; a band's rows have norms within the factor BAND (the last of BANDS: any).
 RECALL, SAMPLE, BAND, BANDS = 0.95, 100, 1.5, 8
-#: A query is sent to 144 buckets of a band; one bucket is less work for as few rows as this.
-SMALL_BAND = 1_000
 #: Rows of the best-so-far table of a task after which it is passed on and begun anew.
 HELD = 2_000_000
 ROUTED = pa.schema([("tab", pa.int32()), ("bucket", pa.int64()), ("is_query", pa.bool_()), ("vec_id", pa.int64()), ("vec", pa.binary())])
@@ -189,7 +187,7 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
     return once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def nearest(df: DataFrame, is_query: Column, k: int = 20, tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH, probes: int = PROBES, small: int = SMALL_BAND) -> DataFrame:
+def nearest(df: DataFrame, is_query: Column, k: int = 20, tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH, probes: int = PROBES) -> DataFrame:
     """query_id, rank, vec_id and score of the ``k`` nearest found for each row where ``is_query`` holds."""
     kind = "f4" if "float" in dict(df.dtypes)["embedding"] else "f8"
     rows = once(usable(df, is_query))
@@ -208,7 +206,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, tables: int = TABLES,
         return b.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(b.num_rows, dims)
 
     widths = dict.fromkeys(bands)
-    if any(n > small for n, _ in bands.values()):
+    if bands:
         sample = rows.filter("is_query").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow().combine_chunks().to_batches()
         if not sample:
             return empty
@@ -227,10 +225,9 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, tables: int = TABLES,
         row_of = {q: at for at, q in enumerate(sample_ids.tolist())}
         for n, (size, largest) in bands.items():
             at = np.flatnonzero(near[0].column("band").to_numpy(zero_copy_only=False) == n) if near else np.array([], int)
-            if size > small:
-                asked_by = np.array([row_of[q] for q in near[0].column("query_id").take(pa.array(at)).to_pylist()], int) if len(at) else at
-                members = as_members(vectors_of(near[0])[at].astype(np.float64), largest) if len(at) else np.zeros((0, dims + 1))
-                widths[n] = tuned_width(as_seekers(sampled), asked_by, members, n * tables, tables, hashes, width, probes)
+            asked_by = np.array([row_of[q] for q in near[0].column("query_id").take(pa.array(at)).to_pylist()], int) if len(at) else at
+            members = as_members(vectors_of(near[0])[at].astype(np.float64), largest) if len(at) else np.zeros((0, dims + 1))
+            widths[n] = tuned_width(as_seekers(sampled), asked_by, members, n * tables, tables, hashes, width, probes)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def sent(tab: int, keys: np.ndarray, asking: bool, ids: np.ndarray, raw: pa.Array) -> pa.RecordBatch:

@@ -162,6 +162,26 @@ def test_tokens_equal_the_library(spark, docs):
     assert sorted((str(r[0]), *r[1:]) for r in bpe_codec.round_trip_digests(docs).collect()) == sorted((d, len(i), sha(" ".join(map(str, i))), sha(library.decode(i, skip_special_tokens=False))) for d, i in wanted)
 
 
+def test_long_lines_without_blanks_are_counted_in_time():
+    import time
+
+    rng = random.Random(7)
+    known = token_counts.PieceCounts(bpe_files.default_path())
+    symbols = lambda text: known.vocabulary.symbols(text)
+    for letters in ("ab", "a", "abcdefghijklmnopqrstuvwxyz", "acgt", "eestanrio"):
+        for n in (1, 2, 3, 40, 300, 2500):
+            text = "".join(rng.choice(letters) for _ in range(n))
+            assert token_counts.surviving_long(symbols(text), known.table) == token_counts.surviving([symbols(text)], known.table)[0]
+    library = bpe_codec.Codec()
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "ACGT", "abcABC123+/"):
+        text = "".join(rng.choice(letters) for _ in range(20_000))
+        known.learn([text])
+        assert known[text] == len(library.encode(text))
+    began = time.perf_counter()
+    known.learn(["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))])
+    assert time.perf_counter() - began < 60
+
+
 def test_template_language():
     render = lambda source, **v: [p for p in chat_template.compile_template(source)(v)]
     assert "".join(t for t, _ in render("{% for x in xs %}{% if x.a == 'b' and not x.c %}1{% elif x.a %}2{% else %}{{ 'z' + x.d | upper }}{% endif %}{% endfor %}", xs=[{"a": "b"}, {"a": "q"}, {"d": "e"}])) == "12zE"
@@ -383,6 +403,33 @@ def test_recall_on_the_tables_own_vectors(spark, sf):
     assert set(got) == {int(i) for i in ids if i % 20 == 0} and hits / (20 * len(got)) >= 0.9
 
 
+def test_clustered_vectors_are_searched_in_few_cells():
+    """Of vectors that have near neighbours a query visits few; the tables' own are spread evenly in 64 dimensions, where
+    no width finds nine in ten neighbours without visiting most rows (README)."""
+    rng = np.random.default_rng(12)
+    shares = []
+    for n in (2000, 8000):
+        centres = rng.standard_normal((n // 40, 64))
+        points = centres[rng.integers(0, len(centres), n)] + 0.35 * rng.standard_normal((n, 64))
+        points /= np.linalg.norm(points, axis=1)[:, None]
+        asked = np.arange(0, n, n // 100)
+        scores = points[asked] @ points.T
+        scores[np.arange(len(asked)), asked] = -np.inf
+        near = np.argsort(-scores, axis=1)[:, :20]
+        members, seekers = ann.as_members(points, 1.0), ann.as_seekers(points[asked])
+        width = ann.tuned_width(seekers, np.repeat(np.arange(len(asked)), 20), members[near.ravel()], 0, ann.TABLES, ann.HASHES, 0.5, ann.PROBES)
+        visited = np.zeros(scores.shape, bool)
+        for t in range(ann.TABLES):
+            place = ann.cells(seekers, t, ann.HASHES, width)
+            home = np.floor(place)
+            own, probed = ann.bucket_keys(np.floor(ann.cells(members, t, ann.HASHES, width))), ann.bucket_keys(home[:, None, :] + ann.probe_order(place - home, ann.PROBES))
+            for row, keys in zip(visited, probed):
+                row |= np.isin(own, keys)
+        assert np.take_along_axis(visited, near, 1).mean() >= 0.9
+        shares.append(visited.mean())
+    assert shares[0] < 0.2 and shares[1] < 0.2
+
+
 def plain_stems(text):
     """Counts of the first four letters of each word; each letter without case begins a term of two."""
     out, low = {}, text.lower()
