@@ -40,20 +40,19 @@ SUMMARY_TASK = "全文，请你用中文总结其主要观点。\n\n要求：\n1
 ITEM_LIMITS = {"news": 1200, "reports": 1600, "serp": 1500}
 
 
-def day_line(i: Column, bar: Column) -> Column:
-    """One normalised day; ``bar`` has n_* fields and amplitude."""
-    return F.concat(
-        F.lit("Day"), i.cast("string"), F.lit(": open="), S.fmt4(bar["n_open"]), F.lit(", high="), S.fmt4(bar["n_high"]), F.lit(", low="), S.fmt4(bar["n_low"]), F.lit(", close="), S.fmt4(bar["n_close"]),
-        F.lit(", volume="), S.fmt4(bar["n_volume"]), F.lit(", amplitude="), S.fmt_amplitude(bar["amplitude"]), F.lit(", pct_change="), S.fmt_signed4(bar["n_pct_change"]), F.lit(", turnover="), S.fmt4(bar["n_turnover"]),
-    )
+def day_text() -> Column:
+    """A normalised day of a row with n_* columns and amplitude, as it follows its number."""
+    parts = [F.concat(F.lit(f"{f}="), S.fmt4(F.col(f"n_{f}"))) for f in ("open", "high", "low", "close", "volume")]
+    parts += [F.concat(F.lit("amplitude="), S.fmt_amplitude(F.col("amplitude"))), F.concat(F.lit("pct_change="), S.fmt_signed4(F.col("n_pct_change"))), F.concat(F.lit("turnover="), S.fmt4(F.col("n_turnover")))]
+    return F.concat_ws(", ", *parts)
 
 
-def week_prompt(window: Column, kind: str = "train") -> Column:
-    """Prompt over seven normalised days; kind is train, eval or horizons."""
+def week_prompt(days: Column, kind: str = "train") -> Column:
+    """Prompt over seven days' texts (see ``day_text``); kind is train, eval or horizons."""
     header = WEEK_HEADER if kind == "train" else f"{WEEK_HEADER}\n{FIELD_NOTE}"
     tail = {"train": NEXT_DAY_TAIL, "eval": NEXT_DAY_THINK_TAIL, "horizons": HORIZONS_TAIL}[kind]
-    days = F.array_join(F.transform(window, lambda bar, i: day_line(i + 1, bar)), "\n")
-    return F.concat_ws("\n", F.lit(header), days, F.lit(""), F.lit(tail))
+    lines = F.array_join(F.transform(days, lambda day, i: F.concat(F.lit("Day"), (i + 1).cast("string"), F.lit(": "), day)), "\n")
+    return F.concat_ws("\n", F.lit(header), lines, F.lit(""), F.lit(tail))
 
 
 def shown(x: Column, missing: str) -> Column:

@@ -47,14 +47,16 @@ def indexed(bars: DataFrame) -> DataFrame:
     return bars.withColumns({"k": F.row_number().over(ordered()), "n": F.count("*").over(Window.partitionBy("symbol"))})
 
 
-def look_back(bars: DataFrame, rows: int, with_anchor: bool, *fields: str) -> DataFrame:
+def look_back(bars: DataFrame, rows: int, with_anchor: bool, *fields: str, **made: Column) -> DataFrame:
     """With ``window``: the last ``rows`` rows (with or without the present one), oldest first, as structs.
 
-    Expects ``indexed`` bars; rows with fewer rows behind them drop out.
+    ``made`` names further arrays: of an expression of each row, computed once a row and not once a window.  It must not
+    be null.  Expects ``indexed`` bars; rows with fewer rows behind them drop out.
     """
     frame = ordered().rowsBetween(-(rows - 1), 0) if with_anchor else ordered().rowsBetween(-rows, -1)
     least = rows if with_anchor else rows + 1
-    return bars.withColumn("window", F.collect_list(F.struct(*fields)).over(frame)).filter(F.col("k") >= least)
+    collected = {"window": F.collect_list(F.struct(*fields)).over(frame)} | {n: F.collect_list(f"_{n}").over(frame) for n in made}
+    return bars.withColumns({f"_{n}": c for n, c in made.items()}).withColumns(collected).drop(*[f"_{n}" for n in made]).filter(F.col("k") >= least)
 
 
 def horizon_labels(bars: DataFrame, horizons: tuple[int, ...] = (1, 3, 7)) -> DataFrame:

@@ -34,30 +34,27 @@ def walk_forward(bars: DataFrame, start: str) -> Column:
 def kline7(bars: DataFrame, start: str, before: str, kind: str = "train", fits: Column | None = None) -> DataFrame:
     """symbol, trade_date, window (7 rows before the label row), label and prompt; label days in [start, before)."""
     inside = half_open(start, before)
-    rows = B.look_back(scaled(bars, inside if fits is None else fits), 7, False, *FIELDS).filter(inside & (F.col("n") >= 8))
+    rows = B.look_back(scaled(bars, inside if fits is None else fits), 7, False, *FIELDS, days=P.day_text()).filter(inside & (F.col("n") >= 8))
     out = rows.withColumn("label", S.direction(F.col("pct_change"))).filter("label is not null")
-    return out.select("symbol", "trade_date", "window", "label", P.week_prompt(F.col("window"), kind).alias("prompt"))
+    return out.select("symbol", "trade_date", "window", "label", P.week_prompt(F.col("days"), kind).alias("prompt"))
 
 
-def horizon_samples(bars: DataFrame, look_back: int, inside: Column, fits: Column) -> DataFrame:
+def horizon_samples(bars: DataFrame, look_back: int, inside: Column, fits: Column, **made: Column) -> DataFrame:
     """Anchors with look_back rows up to and with them, 7 rows after them, and labels 1, 3 and 7 rows ahead."""
     labelled = B.horizon_labels(scaled(bars, fits))
-    rows = B.look_back(labelled, look_back, True, *FIELDS).filter((F.col("k") <= F.col("n") - 7) & inside)
+    rows = B.look_back(labelled, look_back, True, *FIELDS, **made).filter((F.col("k") <= F.col("n") - 7) & inside)
     return rows.dropna(subset=["label_1", "label_3", "label_7"])
 
 
 def kline7_horizons(bars: DataFrame, start: str, before: str) -> DataFrame:
-    rows = horizon_samples(bars, 7, half_open(start, before), half_open(start, before))
-    return rows.select("symbol", "trade_date", "window", P.week_prompt(F.col("window"), "horizons").alias("prompt"), F.concat_ws("，", "label_1", "label_3", "label_7").alias("future_1_3_7_trade_day_labels"))
+    rows = horizon_samples(bars, 7, half_open(start, before), half_open(start, before), days=P.day_text())
+    return rows.select("symbol", "trade_date", "window", P.week_prompt(F.col("days"), "horizons").alias("prompt"), F.concat_ws("，", "label_1", "label_3", "label_7").alias("future_1_3_7_trade_day_labels"))
 
 
-def rounded_bars(window: Column) -> Column:
-    """Normalised bars as they are stored: 4 places, 0 for missing values."""
-    def bar(x: Column) -> Column:
-        fields = [S.round4(x[f"n_{f}"]).alias(f) for f in ("open", "high", "low", "close", "volume")]
-        return F.struct(x["trade_date"].alias("trade_date"), *fields, S.round4(x["amplitude"].try_cast("double")).alias("amplitude"), S.round4(x["n_pct_change"]).alias("pct_change"), S.round4(x["n_turnover"]).alias("turnover"))
-
-    return F.transform(window, bar)
+def stored_bar() -> Column:
+    """A normalised bar as it is stored: 4 places, 0 for missing values."""
+    fields = [S.round4(F.col(f"n_{f}")).alias(f) for f in ("open", "high", "low", "close", "volume")]
+    return F.struct("trade_date", *fields, S.round4(F.col("amplitude").try_cast("double")).alias("amplitude"), S.round4(F.col("n_pct_change")).alias("pct_change"), S.round4(F.col("n_turnover")).alias("turnover"))
 
 
 def items_as(items: Column, text: str) -> Column:
@@ -66,7 +63,7 @@ def items_as(items: Column, text: str) -> Column:
 
 def kline5_text(bars: DataFrame, news: DataFrame, reports: DataFrame, start: str, end: str, n_news: int = 30, n_reports: int = 3, max_age_days: int = 30) -> DataFrame:
     """The multi-source set: five days, news and report summaries of the last 30 days, labels for three horizons."""
-    rows = horizon_samples(bars, 5, closed(start, end), closed(start, end)).select("symbol", F.col("trade_date").alias("day"), rounded_bars(F.col("window")).alias("kline_5d"), F.concat_ws("，", "label_1", "label_3", "label_7").alias("future_1_3_7_trade_day_labels"))
+    rows = horizon_samples(bars, 5, closed(start, end), closed(start, end), kline_5d=stored_bar()).select("symbol", F.col("trade_date").alias("day"), "kline_5d", F.concat_ws("，", "label_1", "label_3", "label_7").alias("future_1_3_7_trade_day_labels"))
     with_news = asof.topk_asof(rows, news, n_news, max_age_days).withColumnRenamed("items", "news")
     both = asof.topk_asof(with_news, reports, n_reports, max_age_days)
     return both.select(F.col("day").alias("date"), F.col("symbol").alias("stock"), "kline_5d", items_as(F.col("news"), "summary").alias("news"), items_as(F.col("items"), "summary").alias("reports"), "future_1_3_7_trade_day_labels")

@@ -120,7 +120,7 @@ def q06_multi_horizon_labels(spark, sf_dir):
 
 @query(f"WITH {SERIES_SQL} SELECT symbol, CAST(trade_date AS VARCHAR) AS trade_date, {AHEAD_SQL}, {', '.join([four_places(f'l{5 - i}') + f' AS d{i}' for i in range(1, 5)])}, {four_places('n_close')} AS d5 FROM k WHERE k >= 5 AND k <= n - 7")
 def q07_kline5_arrays(spark, sf_dir):
-    rows = D.horizon_samples(bars(spark, sf_dir), 5, D.half_open(*ALL), D.half_open(*ALL)).withColumn("b", D.rounded_bars(F.col("window")))
+    rows = D.horizon_samples(bars(spark, sf_dir), 5, D.half_open(*ALL), D.half_open(*ALL), b=D.stored_bar())
     return rows.select("symbol", text("trade_date"), "label_1", "label_3", "label_7", *[F.col("b")[i - 1]["close"].alias(f"d{i}") for i in range(1, 6)])
 
 
