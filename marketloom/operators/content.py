@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import prompts as P
 from ..functions import scalars as S
 from ..sources.readers import parse_content
+from ..sources.versions import Table
 from .merge import filled, keep_first
 
 #: Requests that a dry run shows, and comments that a consensus is asked of.
@@ -132,3 +133,12 @@ def chosen_bodies(chosen: DataFrame, listed: DataFrame, content: DataFrame, most
 def feedback(predictions: DataFrame, realised: DataFrame) -> DataFrame:
     """Rows for the feedback log: predictions (symbol, day, snapshot, output) with the label that came true, if known."""
     return predictions.join(realised.select("symbol", "day", "label"), ["symbol", "day"], "left")
+
+
+def append_feedback(log: Table, predictions: DataFrame, realised: DataFrame, batch: int, source: str = "feedback") -> bool:
+    """Append the rows of a batch to the feedback log; False if the log holds the batch already."""
+    now = log.current()
+    if now and now.ledger.get(source, -1) >= batch:
+        return False
+    log.append(feedback(predictions, realised), {source: batch})
+    return True

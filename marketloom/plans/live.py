@@ -51,6 +51,29 @@ def trend_predictions(companies: DataFrame, client: Client, instructions: str =
     return answers(asked, client, "prediction")
 
 
+JUDGEMENT = "direction string, horizon int, confidence double, evidence array<string>, conflicts array<string>"
+#: Horizons in trading days, and the form in which a judgement is asked for.
+HORIZONS = (1, 3, 7)
+JUDGED = '\n请综合以上各方信息，只输出一个 JSON 数组，每个元素对应一个时间尺度（1、3、7 个交易日）：[{"direction": "涨或跌", "horizon": 1, "confidence": 0到1的小数, "evidence": ["主要依据"], "conflicts": ["冲突点"]}]'
+
+
+def judged_predictions(companies: DataFrame, client: Client, instructions: str = "") -> DataFrame:
+    """(symbol, direction, horizon, confidence, evidence, conflicts): what the model judges of each horizon, from the same
+    inputs as ``trend_predictions``.
+
+    A judgement counts if its direction is one of the two, its horizon one of HORIZONS and its confidence from 0 to 1; of
+    several for a horizon the most confident.  A company of which no judgement can be read has one row with the failure's
+    mark and no horizon.
+    """
+    said = trend_predictions(companies, client, instructions + JUDGED)
+    text = F.regexp_extract("prediction", r"(?s)\[.*\]", 0)
+    fine = lambda j: j["direction"].isin(S.UP, S.DOWN) & j["horizon"].isin(*HORIZONS) & j["confidence"].between(0.0, 1.0)
+    read = said.select("symbol", F.filter(F.coalesce(F.from_json(text, f"array<struct<{', '.join(f.replace(' ', ': ', 1) for f in JUDGEMENT.split(', '))}>>"), F.array()), fine).alias("j"))
+    failed = F.array(F.from_json(F.lit(f'{{"direction": "{S.FAILED}"}}'), JUDGEMENT))
+    each = read.select("symbol", F.explode(F.when(F.size("j") > 0, F.col("j")).otherwise(failed)).alias("j")).select("symbol", "j.*")
+    return keep_first(each, ["symbol", "horizon"], F.desc_nulls_last("confidence"), "direction")
+
+
 def newest_comments(posts: DataFrame, limit: int = 10, max_pages: int = 3) -> DataFrame:
     """The first ``limit`` different posts of each symbol in page order (page, pos), numbered by time, newest first.
 

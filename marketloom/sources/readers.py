@@ -31,6 +31,21 @@ def read_master(spark: SparkSession, path: str, table: str) -> DataFrame:
     return raw.select([(S.strip_u(F.coalesce(F.col(f"`{f}`"), F.lit(""))) if f in raw.columns else F.lit("")).alias(f) for f in fields])
 
 
+def read_dataset(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A training set from its CSV files (see ``writers.write_dataset``), typed by ``schema``; columns go by their names in
+    the header.  Columns that the files lack, and values that don't fit, are null; a text that is null was written like one
+    that is empty, so it is ''.  Line ends within values stay."""
+    wanted = T.StructType.fromDDL(schema)
+    raw = spark.read.csv(path, header=True, multiLine=True, escape='"', inferSchema=False, emptyValue="", nullValue=None, lineSep="\r\n", enforceSchema=False)
+
+    def typed(f: T.StructField) -> Column:
+        if f.name not in raw.columns:
+            return F.lit(None).cast(f.dataType)
+        return F.coalesce(F.col(f"`{f.name}`"), F.lit("")) if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`").try_cast(f.dataType)
+
+    return raw.select([typed(f).alias(f.name) for f in wanted.fields])
+
+
 def typed_quotes(raw: DataFrame, before: str | None = None, symbols: DataFrame | None = None) -> DataFrame:
     """Quotes with dates and doubles; blank keys and unreadable dates drop out.  ``before`` is exclusive."""
     numbers = [S.number(F.col(c)).alias(c) for c in ("open", "close", "high", "low", "volume", "amount", "pct_change", "change_amount", "turnover")]

@@ -175,6 +175,28 @@ class Table:
         """``rows``, which may be read from the table, as the whole table."""
         return self.commit(rows, self.current())
 
+    def append(self, rows: DataFrame, ledger: dict[str, int] | None = None, attempts: int = 5) -> Version:
+        """``rows`` behind those that the table has, which aren't read: parts of their own, in the order of their versions."""
+        if self.split is not None:
+            raise ValueError("rows of a split table belong to its parts; commit them")
+        staged = self.stage(rows)[WHOLE]
+        for _ in range(attempts):
+            now = self.current()
+            number = (now.number if now else 0) + 1
+            new = Version(number, (now.parts if now else {}) | {f"{WHOLE}-{number:012}": staged}, now.schema if now else rows.schema.json(), (now.ledger if now else {}) | (ledger or {}))
+            if self.files.publish(f"_versions/{number:012}.json", new.text()):
+                return new
+        self.files.delete(staged)
+        raise Conflict(f"{self.path} is changing faster than it can be appended to")
+
+    def in_order(self) -> DataFrame | None:
+        """The rows with ``_appended``, the number of the version that appended them."""
+        now = self.current()
+        if now is None or not now.parts:
+            return None if now is None else self.read(now).withColumn("_appended", F.lit(0).cast("bigint"))
+        number = F.create_map(*[F.lit(x) for p, f in now.parts.items() for x in (f, int(p.rpartition("-")[2]) if "-" in p else 0)])
+        return self.read(now).withColumn("_appended", number[F.regexp_extract(F.col("_metadata.file_path"), r"/(d-[0-9a-f]{32})/", 1)].cast("bigint"))
+
     def change(self, make: Callable[[DataFrame | None], DataFrame], attempts: int = 5) -> Version:
         """Replace the table by what ``make`` makes of it, anew if another writer was faster."""
         for attempt in range(attempts):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators.merge import filled, keep_first
 from ..schemas import TABLES
 from . import text_files
 from .versions import Table
@@ -14,17 +15,17 @@ ORDER = {"quotes": ["symbol", "trade_date"], "report": ["symbol", "date", "url"]
 #: Limits of the batch service.
 REQUESTS_PER_FILE = 50_000
 #: Options of master tables.
-CSV = {"header": True, "escape": '"', "quote": '"', "emptyValue": "", "nullValue": "", "multiLine": True}
+CSV = {"header": True, "escape": '"', "quote": '"', "emptyValue": "", "nullValue": "", "multiLine": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def write_csv(df: DataFrame, path: str) -> None:
     """With header and doubled quotes; readers need multiLine and escape='"'."""
-    df.write.mode("overwrite").csv(path, header=True, escape='"', quote='"', emptyValue="", nullValue="")
+    df.write.mode("overwrite").csv(path, header=True, escape='"', quote='"', emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_dataset(df: DataFrame, path: str, *order: str) -> None:
     """A training set as CSV in its order, each file with a header, lines ending in CR LF (those within values stay)."""
-    line = F.to_csv(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"quote": '"', "escape": '"', "emptyValue": "", "nullValue": ""})
+    line = F.to_csv(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"quote": '"', "escape": '"', "emptyValue": "", "nullValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"})
     first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
     rows = df.orderBy(*order).select(F.when(first, F.concat(F.lit(",".join(df.columns) + "\r\n"), line)).otherwise(line).alias("value"))
     rows.write.mode("overwrite").option("lineSep", "\r\n").text(path)
@@ -45,6 +46,20 @@ def master(spark: SparkSession, path: str) -> Table:
     return Table(spark, path, "csv", **CSV)
 
 
+def append_master(new: DataFrame, path: str, table: str, *order: str) -> None:
+    """New rows behind those of a master table whose order is that of coming (news): the first of each url that it lacks.
+
+    The rows that are there are read for their keys only and not written again; ``master(...).in_order()`` tells which
+    rows came together, and within a batch rows are sorted by ``order``, then url.
+    """
+    known = master(new.sparkSession, path)
+    fields = [F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f) for f in TABLES[table]]
+    fresh, old = keep_first(new.filter(filled(["url"])), ["url"], *order, "url"), known.read()
+    if old is not None:
+        fresh = fresh.join(old.select("url"), "url", "left_anti")
+    known.append(fresh.select(fields).orderBy(*order, "url"))
+
+
 def init_master(spark: SparkSession, path: str, table: str) -> None:
     master(spark, path).replace(spark.createDataFrame([], ", ".join(f"{f} string" for f in TABLES[table])).coalesce(1))
 
