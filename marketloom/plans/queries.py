@@ -14,7 +14,7 @@ from ..functions import prompts as P
 from ..functions import scalars as S
 from ..operators import asof, bars as B, consensus, content, merge as M, sampling, scoring, tokens
 from ..session import ensure_checkpoint_dir
-from ..sources import fetch, readers, text_files, writers
+from ..sources import readers, text_files, writers
 from ..sources.versions import Table
 from ..streaming import incremental, marks, retention
 from . import datasets as D
@@ -469,12 +469,12 @@ def q47_token_window(spark, sf_dir):
     return rows.select("conv_id", "turn", long(F.size("w.input_ids"), "n_input"), long(F.size(F.filter("w.labels", lambda x: x == tokens.IGNORED)), "n_ignored"))
 
 
-@query(f"WITH {WEEK_SQL} SELECT symbol, CAST(trade_date AS VARCHAR) AS trade_date, label AS reference, CASE WHEN length(prompt) % 2 = 1 THEN '涨' ELSE '跌' END AS predicted FROM p")
+@query(f"WITH {SERIES_SQL} SELECT symbol, CAST(trade_date AS VARCHAR) AS trade_date, CASE WHEN pct_change >= 0 THEN '涨' ELSE '跌' END AS reference, CASE WHEN l1 >= l2 THEN '涨' ELSE '跌' END AS predicted FROM k WHERE k >= 8 AND pct_change IS NOT NULL")
 def q48_offline_predictions(spark, sf_dir):
-    """The evaluation loop: samples, prompts, a stand-in for the model, parsed answers."""
-    out = D.kline7(bars(spark, sf_dir), *ALL, kind="eval").select("symbol", text("trade_date"), "prompt", F.col("label").alias("reference"))
-    said = fetch.generate(out, fetch.offline_client)
-    return said.select("symbol", "trade_date", "reference", A.single_label(F.col("raw_output")).alias("predicted"))
+    """Next-day samples with the baseline that every model is held against: the direction of the day before goes on."""
+    out = D.kline7(bars(spark, sf_dir), *ALL, kind="eval")
+    last = F.col("window")
+    return out.select("symbol", text("trade_date"), F.col("label").alias("reference"), S.direction_between(last[5]["n_close"], last[6]["n_close"]).alias("predicted"))
 
 
 STORED = {"open": "n_open", "high": "n_high", "low": "n_low", "close": "n_close", "volume": "n_volume", "amplitude": "amplitude", "pct_change": "n_pct_change", "turnover": "n_turnover"}

@@ -69,19 +69,21 @@ def cached_or_fetched(wanted: DataFrame, cache: DataFrame, key: str, fetcher: Fe
 
 
 def generate(prompts: DataFrame, client: Callable[[list[str]], list[str]], column: str = "prompt", batch_size: int = 64) -> DataFrame:
-    """``prompts`` with raw_output from a text model; ``client`` takes and returns lists of texts."""
+    """``prompts`` with raw_output from a text model; ``client`` takes and returns lists of texts.
+
+    ``client`` is called in each task with at most ``batch_size`` prompts, and is an error if it returns another number of
+    answers.  It is the caller's, as are its settings (model, adapter, sampling): a closure over them, pickled by value.
+    """
     fields = ", ".join(f"`{n}` {t}" for n, t in prompts.dtypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             for at in range(0, len(part), batch_size):
                 own = part.iloc[at : at + batch_size].copy()
-                own["raw_output"] = client(own[column].tolist())
+                answers = list(client(own[column].tolist()))
+                if len(answers) != len(own):
+                    raise ValueError(f"{len(own)} prompts, but {len(answers)} answers")
+                own["raw_output"] = answers
                 yield own
 
     return prompts.mapInPandas(run, f"{fields}, raw_output string")
-
-
-def offline_client(texts: list[str]) -> list[str]:
-    """Stands in for a model: names a direction by the prompt's length."""
-    return [f"{'涨' if len(t) % 2 else '跌'}" for t in texts]

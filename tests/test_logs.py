@@ -3,11 +3,12 @@
 import json
 from datetime import date
 
+import pytest
 from pyspark.sql import functions as F
 
 from marketloom.operators import content
 from marketloom.plans import live
-from marketloom.sources import readers, writers
+from marketloom.sources import fetch, readers, writers
 from marketloom.sources.versions import Table
 
 
@@ -56,3 +57,19 @@ def test_judgements_have_horizon_confidence_and_evidence(spark):
     got = {(r["symbol"], r["horizon"]): (r["direction"], r["confidence"], r["evidence"]) for r in live.judged_predictions(df, client).collect()}
     assert got == {("good", 1): ("涨", 0.7, ["news"]), ("good", 7): ("跌", 1.0, ["bars", "x"]), ("half", 3): ("跌", 0.4, None), ("bad", None): ("提取失败", None, None)}
     assert live.judged_predictions(df.filter(F.lit(False)), client).count() == 0
+
+
+def test_the_contract_of_text_models(spark):
+    prompts = spark.createDataFrame([(i, None if i == 3 else f"p{i}") for i in range(10)], "i int, prompt string").coalesce(1)
+    adapter = "lora"
+
+    def client(texts):
+        assert len(texts) <= 4
+        return [f"{adapter}:{len(texts)}:{t}" for t in texts]
+
+    got = {r["i"]: r["raw_output"] for r in fetch.generate(prompts, client, batch_size=4).collect()}
+    assert got[0] == "lora:4:p0" and got[9] == "lora:2:p9" and got[3] == "lora:4:None" and len(got) == 10
+    assert fetch.generate(prompts, lambda texts: iter(texts)).columns == ["i", "prompt", "raw_output"]
+    with pytest.raises(Exception, match="4 prompts, but 3 answers"):
+        fetch.generate(prompts, lambda texts: texts[1:], batch_size=4).collect()
+    assert fetch.generate(prompts.limit(0), client).count() == 0
