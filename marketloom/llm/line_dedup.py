@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread
+from .common import cut, spread
 
 RATIO, MIN_PAGES = 0.1, 2
 #: Parts of the pages of a host that hold one line to drop.
@@ -42,12 +42,18 @@ def html_lines(html: Column) -> Column:
 
 def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, line_hash, n_pages, host_pages) of the lines to drop.  ``pages`` has host and hashes (of its lines); if it
-    has grp as well, pages with one value of it count as one."""
-    lines, hosts = pages.select("host", *(["grp"] if "grp" in pages.columns else []), F.explode(F.array_distinct("hashes")).alias("line_hash")), pages.drop("hashes")
-    if "grp" in pages.columns:
-        lines, hosts = lines.distinct(), hosts.distinct()
-    counted = lines.groupBy("host", "line_hash").agg(F.count("*").alias("n_pages")).filter(F.col("n_pages") >= min_pages)
-    return counted.join(hosts.groupBy("host").agg(F.count("*").alias("host_pages")), "host").filter(F.col("n_pages") > ratio * F.col("host_pages"))
+    has grp as well, pages with one value of it count as one.
+
+    A page's own row, without a line, is counted along with its lines, so pages are read once; what is counted more than
+    once is checkpointed.
+    """
+    grp = ["grp"] if "grp" in pages.columns else []
+    own = F.array_append(F.array_distinct(F.coalesce("hashes", F.array().cast("array<bigint>"))), F.lit(None).cast("bigint"))
+    lines = pages.select("host", *grp, F.explode(own).alias("line_hash"))
+    counts = (lines.distinct() if grp else lines).groupBy("host", "line_hash").agg(F.count("*").alias("n_pages"))
+    counted = cut(counts.filter((F.col("n_pages") >= min_pages) | F.col("line_hash").isNull()))
+    hosts = counted.filter("line_hash is null").select("host", F.col("n_pages").alias("host_pages"))
+    return counted.filter("line_hash is not null").join(hosts, "host").filter(F.col("n_pages") > ratio * F.col("host_pages"))
 
 
 def text_hash(lines: str) -> Column:
