@@ -78,3 +78,12 @@ def test_entry_counts(spark):
 
     assert entry.entry(spark).count() == 292
     assert QUERIES["q06_multi_horizon_labels"](spark, SMALL).count() == 202
+
+
+def test_predictions_go_through_the_model_one_prompt_a_sample(spark, monkeypatch):
+    from marketloom.functions import scalars as S
+    from marketloom.sources import fetch
+
+    monkeypatch.setattr(fetch, "offline_client", lambda texts: [S.DOWN if "K线" in t else "?" for t in texts])
+    rows = QUERIES["q48_offline_predictions"](spark, SMALL).collect()
+    assert len(rows) == QUERIES["q05_kline7_samples"](spark, SMALL).count() and {r["predicted"] for r in rows} == {S.DOWN}
