@@ -220,3 +220,20 @@ def test_bounds_spare_rows_far_from_all_anchors_of_a_group(spark):
 @pytest.mark.parametrize("operator", [minhash.minhash_dedup, periodic_runs.periodic_runs])
 def test_new_operators_on_empty_tables(docs, operator):
     assert operator(docs.limit(0)).count() == 0
+
+
+def test_near_copies_are_sent_to_pivots_once_however_many_they_are(spark, monkeypatch):
+    from marketloom.llm import jaccard_join
+
+    sent, real = [], jaccard_join.Join.block_links
+    monkeypatch.setattr(jaccard_join, "BLOCK_CLASSES", 20)
+    monkeypatch.setattr(jaccard_join.Join, "block_links", lambda self, members, routed: sent.append(routed.count()) or real(self, members, routed))
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(base[: i % 197] + [f"x{i}"] + base[i % 197 + 1 :])) for i in range(400)]
+    rows += [(1000 + i, " ".join(base[:170] + [f"y{j}" for j in range(30)] + [f"z{i}"])) for i in range(3)]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {i: jaccard_join.shingle_sets([t])[0] for i, t in rows}
+    ids = sorted(sets)
+    left, right = jaccard_join.linked([sets[i] for i in ids], jaccard_join.PERCENT)
+    assert got == dict(zip(ids, np.array(ids)[jaccard_join.roots(len(ids), left, right)].tolist()))
+    assert sum(sent) < 3 * len(rows)  # one by one in pairs of blocks: 20 times as many
