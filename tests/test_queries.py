@@ -87,3 +87,19 @@ def test_predictions_go_through_the_model_one_prompt_a_sample(spark, monkeypatch
     monkeypatch.setattr(fetch, "offline_client", lambda texts: [S.DOWN if "K线" in t else "?" for t in texts])
     rows = QUERIES["q48_offline_predictions"](spark, SMALL).collect()
     assert len(rows) == QUERIES["q05_kline7_samples"](spark, SMALL).count() and {r["predicted"] for r in rows} == {S.DOWN}
+
+
+def test_a_page_s_tree_goes_with_its_last_use():
+    import gc
+    import weakref
+
+    from marketloom.functions import html as pages
+
+    gc.disable()
+    try:
+        gone = weakref.ref(root := pages.tree("<div><p>a<br>b</p></x><p/>c</div>d"))
+        assert root.text("|") == "a|b|c|d"
+        del root
+        assert gone() is None
+    finally:
+        gc.enable()
