@@ -12,6 +12,9 @@ from functools import lru_cache
 
 import regex
 
+#: By symbol, the ranks of its merges by the symbol after it; by rank, the made symbol.
+Merges = tuple[list[dict[int, int]], list[int]]
+
 #: Control characters that str.split() takes as white space and the vocabulary's pattern does not.
 ODD_SPACES = regex.compile("[\x1c-\x1f]")
 SPACES = regex.compile(r"\p{White_Space}+")
@@ -40,6 +43,12 @@ class Vocabulary:
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, (a, b) in enumerate(model["merges"]):
             self.merges[self.ids[a], self.ids[b]] = (rank, self.ids[a + b])
+        none: dict[int, int] = {}
+        follow = [none] * (max(self.strings) + 1)
+        for (a, b), (rank, _) in self.merges.items():
+            follow[a] = follow[a] or {}
+            follow[a][b] = rank
+        self.table: Merges = (follow, [self.ids[a + b] for a, b in model["merges"]])
         symbols = byte_symbols()
         self.inner = [self.ids[s] for s in symbols]
         self.last = [self.ids[s + self.suffix] for s in symbols]
@@ -56,11 +65,12 @@ class Vocabulary:
             if part in self.special:
                 out.append(self.special[part])
             elif part:
-                # Lower-casing goes character by character: no final-sigma rule.
-                part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-                out += self.split.findall(part)
+                out += self.split.findall(normal(part))
         return out
 
+    def has_special(self, text: str) -> bool:
+        return any(s in text for s in self.special)
+
     def symbols(self, word: str) -> list[int]:
         raw = word.encode("utf-8", "surrogatepass")
         out = [self.inner[b] for b in raw]
@@ -68,6 +78,11 @@ class Vocabulary:
         return out
 
 
+def normal(text: str) -> str:
+    """NFC in lower case.  Lower-casing goes character by character: no final-sigma rule."""
+    return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+
 def chunks(text: str) -> list[str]:
     """Pieces between white space.  No rule of the vocabulary crosses white space, so each piece stands alone."""
     return SPACES.split(text) if ODD_SPACES.search(text) else text.split()

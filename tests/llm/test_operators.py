@@ -162,6 +162,19 @@ def test_tokens_equal_the_library(spark, docs):
     assert sorted((str(r[0]), *r[1:]) for r in bpe_codec.round_trip_digests(docs).collect()) == sorted((d, len(i), sha(" ".join(map(str, i))), sha(library.decode(i, skip_special_tokens=False))) for d, i in wanted)
 
 
+def test_pieces_are_merged_once_in_any_case_and_company():
+    from tokenizers import Tokenizer
+
+    library, codec = Tokenizer.from_file(bpe_files.default_path()), bpe_codec.Codec()
+    shown = bpe_codec.Shown(codec)
+    assert shown.text("Erbleha ERBLEHA, erbleha")[0].count(" ") == len(codec.encode("erbleha erbleha, erbleha")) and set(shown) == {"erbleha", "erbleha,", ","}
+    odd = ["", " \x1c ", "a\x1cb\x85c", "x<|endoftext|>y", "<|ENDOFTEXT|> <|endoftext|>É", "ΣΑΣ ΑΣ.", "e\u0301te\u0301 E\u0301", "İI\u0307", "don't WE'LL ''s '", "１２ ab12", "aaaa" * 400, "Å\u2000\u0301"]
+    for text in odd + [" ".join(odd)]:
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert codec.encode(text) == ids
+        assert shown.text(text) == ("".join(f" {i}" for i in ids), "".join(f" {library.id_to_token(i)}" for i in ids)), text
+
+
 def test_long_lines_without_blanks_are_counted_in_time():
     import time
 
