@@ -4,12 +4,15 @@
 
 Each write is a layer: a folder that tasks fill, named by a version (see ``versions``) once all of them have ended.  A task
 writes a file under a hidden name and renames it, so one that is killed leaves nothing to read, and its second attempt
-writes the same.  A write that fails is removed; what its last tasks or a
+writes the same.  At its end it lists its files' paths.  A write that fails is removed; what its last tasks or a
 driver that dies leave is named by no version, so it is never read.
 A file of a later layer replaces one of the same path; ``overwrite`` begins anew.
 
-Tasks and commits write through Arrow's file systems, by the folder's address (hdfs, s3, gs, abfs, or a path that all
-machines share); ``read`` reads with Spark.
+``read`` finds the newest file of each path by the lists alone: the driver lists no files, replaced ones aren't opened,
+and texts aren't shuffled.  Files are dealt over tasks by number, whatever their size.
+
+Tasks and commits read and write files through Arrow's file systems, by the folder's address (hdfs, s3, gs, abfs, or a
+path that all machines share); the lists are read with Spark.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
@@ -28,16 +32,18 @@ from pyspark.sql.types import StringType, StructField, StructType
 from .versions import Conflict, Files, Table, Version
 
 NAME, SCHEMA = "marketloom_files", StructType([StructField("path", StringType()), StructField("value", StringType())])
+#: Tasks a core that read files, and characters and files of a batch of theirs.
+READERS, CHARS, FILES = 4, 4_000_000, 1_000
 
 
 @dataclass
 class Written(WriterCommitMessage):
-    n_empty: int
+    n_files: int
 
 
-def empties(layer: str) -> str:
-    """The folder that lists a layer's empty files."""
-    return "e-" + layer[2:]
+def lists(layer: str) -> str:
+    """The folder that lists a layer's files."""
+    return "l-" + layer[2:]
 
 
 def opened(address: str):
@@ -56,7 +62,7 @@ class FilesWriter(DataSourceWriter):
     def write(self, iterator: Iterator) -> Written:
         fs, root = opened(f"{self.folder}/{self.layer}")
         fs.create_dir(root, recursive=True)
-        empty, known = [], set()
+        names, known = [], set()
         for row in iterator:
             target = posixpath.normpath(posixpath.join(root, row["path"] or "."))
             if not target.startswith(root + "/"):
@@ -66,19 +72,19 @@ class FilesWriter(DataSourceWriter):
                 fs.create_dir(parent, recursive=True)
                 known.add(parent)
             staged = posixpath.join(parent, f".{name}-{uuid.uuid4().hex}")
-            with fs.open_output_stream(staged) as out:
+            with fs.open_output_stream(staged, compression=None) as out:
                 out.write((row["value"] or "").encode())
             fs.move(staged, target)
-            if not row["value"]:
-                empty.append(target.removeprefix(root + "/"))
-        if empty:  # Spark gives no row for a file without bytes
-            fs, root = opened(f"{self.folder}/{empties(self.layer)}")
+            names.append(target.removeprefix(root + "/"))
+        if names:
+            fs, root = opened(f"{self.folder}/{lists(self.layer)}")
             fs.create_dir(root, recursive=True)
             staged = f"{root}/.{uuid.uuid4().hex}"
-            with fs.open_output_stream(staged) as out:
-                out.write("".join(json.dumps({"path": p}) + "\n" for p in empty).encode())
+            with fs.open_output_stream(staged, compression=None) as out:
+                for name in names:
+                    out.write((json.dumps({"path": name}) + "\n").encode())
             fs.move(staged, staged.replace("/.", "/part-"))
-        return Written(len(empty))
+        return Written(len(names))
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         from pyarrow import fs as arrow
@@ -93,7 +99,7 @@ class FilesWriter(DataSourceWriter):
                 parts = {} if self.overwrite else json.loads(old.read())["parts"]
         parts[f"{number:012}"] = self.layer
         target, staged = f"{root}/{number:012}.json", f"{root}/.{self.layer}"
-        with fs.open_output_stream(staged) as out:
+        with fs.open_output_stream(staged, compression=None) as out:
             out.write(Version(number, parts, SCHEMA.json()).text().encode())
         if fs.get_file_info(target).type != arrow.FileType.NotFound:
             fs.delete_file(staged)
@@ -103,7 +109,7 @@ class FilesWriter(DataSourceWriter):
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         from pyarrow import fs as arrow
 
-        for name in (self.layer, empties(self.layer)):
+        for name in (self.layer, lists(self.layer)):
             fs, root = opened(f"{self.folder}/{name}")
             if fs.get_file_info(root).type != arrow.FileType.NotFound:
                 fs.delete_dir(root)
@@ -132,16 +138,28 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     """(path, value) of the files that were committed, the newest of each path; paths are below ``folder``."""
     version, files, root = Table(spark, folder).current(), Files(spark, folder), folder.rstrip("/")
     layers = [layer for _, layer in sorted(version.parts.items())] if version else []
-    order = F.create_map(*[F.lit(x) for at, layer in enumerate(layers) for x in (layer[2:], at)]) if layers else None
-    place = lambda n: F.regexp_extract(F.col("_metadata.file_path"), r"/[de]-([0-9a-f]{32})/(.*)$", n)
-    found = []
-    # A folder without files is none that Spark would read.
-    if there := [f"{root}/{layer}" for layer in layers if files.names(layer)]:
-        name = F.url_decode(F.replace(place(2), F.lit("+"), F.lit("%2B")))
-        found.append(spark.read.text(there, wholetext=True, recursiveFileLookup=True).select(name.alias("path"), "value", order[place(1)].alias("_at")))
-    if there := [f"{root}/{empties(layer)}" for layer in layers if files.exists(empties(layer))]:
-        found.append(spark.read.schema("path string").json(there).select("path", F.lit("").alias("value"), order[place(1)].alias("_at")))
-    if not found:
+    there = [f"{root}/{lists(layer)}" for layer in layers if files.exists(lists(layer))]
+    if unlisted := [layer for layer in layers if not files.exists(lists(layer)) and files.names(layer)]:
+        raise ValueError(f"{folder}: {unlisted} has files and no list of them")
+    if not there:
         return spark.createDataFrame([], SCHEMA)
-    rows = found[0] if len(found) == 1 else found[0].unionByName(found[1])
-    return rows.select("path", "value") if len(layers) == 1 else rows.groupBy("path").agg(F.max_by("value", "_at").alias("value"))
+    order = F.create_map(*[F.lit(x) for at, layer in enumerate(layers) for x in (layer[2:], at)])
+    at = order[F.regexp_extract(F.col("_metadata.file_path"), r"/l-([0-9a-f]{32})/[^/]*$", 1)]
+    newest = spark.read.schema("path string").json(there).groupBy("path").agg(F.max(at).alias("at"))
+
+    def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, top = opened(root)
+        made = lambda rows: pa.RecordBatch.from_pydict({"path": pa.array([r[0] for r in rows], pa.string()), "value": pa.array([r[1] for r in rows], pa.string())})
+        for b in batches:
+            rows, chars = [], 0
+            for path, k in zip(b.column("path").to_pylist(), b.column("at").to_pylist()):
+                with fs.open_input_stream(f"{top}/{layers[k]}/{path}", compression=None) as file:
+                    rows.append((path, file.read().decode()))
+                chars += len(rows[-1][1])
+                if chars >= CHARS or len(rows) >= FILES:
+                    yield made(rows)
+                    rows, chars = [], 0
+            if rows:
+                yield made(rows)
+
+    return newest.repartition(READERS * spark.sparkContext.defaultParallelism).mapInArrow(contents, SCHEMA)

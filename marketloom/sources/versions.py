@@ -215,7 +215,7 @@ class Table:
             self.files.delete(f"_versions/{number:012}.json")
         named = {f.split("/")[0][2:] for number in numbers[-max(keep, 1) :] for f in self.version(number).parts.values()}
         before = (time.time() - grace) * 1000
-        gone = [n for n, changed in self.files.names().items() if n[:2] in ("d-", "e-") and n[2:] not in named and changed <= before]
+        gone = [n for n, changed in self.files.names().items() if n[:2] in ("d-", "e-", "l-") and n[2:] not in named and changed <= before]
         for name in gone:
             self.files.delete(name)
         return sorted(gone)

@@ -167,6 +167,22 @@ def test_files_are_committed_as_a_whole(spark, tmp_path):
     assert text_files.read(spark, folder).count() == 0
 
 
+def test_files_that_a_later_commit_replaces_are_not_read(spark, tmp_path):
+    folder = str(tmp_path / "files")
+    files = lambda rows: spark.createDataFrame(rows, "path string, value string")
+    text_files.write(files([(f"n/{k}.txt", "" if k % 3 else f"old {k}") for k in range(40)]), folder)
+    (first,) = [n for n in os.listdir(folder) if n.startswith("d-")]
+    text_files.write(files([(f"n/{k}.txt", f"new {k}") for k in range(20)]), folder)
+    for k in range(20):  # a reader that opened these would fail
+        os.remove(f"{folder}/{first}/n/{k}.txt")
+        os.symlink(f"{folder}/nowhere", f"{folder}/{first}/n/{k}.txt")
+    found = text_files.read(spark, folder)
+    assert dict(map(tuple, found.collect())) == {f"n/{k}.txt": f"new {k}" if k < 20 else "" if k % 3 else f"old {k}" for k in range(40)}
+    text_files.write(files([("n/a.txt.gz", "no archive")]), folder)
+    assert text_files.read(spark, folder).filter("path = 'n/a.txt.gz'").first()["value"] == "no archive"
+    assert "max_by" not in found._jdf.queryExecution().toString()
+
+
 def test_the_last_line_of_several_result_files_wins(spark, tmp_path):
     line = lambda i, text: '{"custom_id":"%s","response":{"status_code":200,"body":{"choices":[{"message":{"content":"%s"}}]}}}\n' % (i, text)
     (tmp_path / "part-1").write_text(line("a", "first") + line("b", "of the first file"))
