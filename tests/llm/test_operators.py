@@ -660,6 +660,23 @@ def test_components_of_nodes_between_roots(spark):
         assert sorted((r["node"], r["root"]) for r in got.collect()) == union_find(links)
 
 
+def test_components_of_few_links_take_no_rounds(spark, monkeypatch):
+    """A path of many nodes in few jobs, however many rounds it would take; by rounds the same."""
+    path = random.Random(7).sample(range(-3000, 3000), 2000)
+    links = list(zip(path[:1500], path[1:1500])) + list(zip(path[1500:], path[1501:])) + [(path[0], path[1]), (5000, 5000)]
+    df = spark.createDataFrame(links, "a long, b long").repartition(8)
+    spark.sparkContext.setJobGroup("few-links", "")
+    try:
+        got = sorted((r["node"], r["root"]) for r in graph.components(df).collect())
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == union_find(links)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-links")) < 10  # rounds take more
+    monkeypatch.setattr(graph, "TASK_LINKS", 100)
+    assert sorted((r["node"], r["root"]) for r in graph.components(df).collect()) == got
+    assert graph.components(df.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("empty", [jaccard_join.jaccard_join, substring_dedup.substring_dedup, token_counts.token_counts, bpe_codec.round_trip_digests])
 def test_empty_tables(docs, empty):
     assert empty(docs.limit(0)).count() == 0
